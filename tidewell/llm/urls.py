@@ -61,32 +61,30 @@ def url_key(url: Column) -> Column:
     return F.when(F.length(head) > 0, F.concat(F.translate(head, UPPER, UPPER.lower()), whole.substr(F.length(head) + 1, F.length(whole))))
 
 
-def resolved(link: Column, url: Column) -> Column:
-    """``link`` as an absolute URL, seen from ``url``."""
-    link = F.replace(link, F.lit("&amp;"), F.lit("&"))
-    head = F.regexp_extract(url, "^[^/?#]*://[^/?#]*", 0)
-    scheme = F.regexp_extract(url, "^[^/?#]*:", 0)
-    folder = F.regexp_replace(path_of(url), "[^/]*$", "")
-    return (
+def _resolved(parts: DataFrame) -> DataFrame:
+    """``(a, b)`` from ``(a, head, scheme, folder, link)``: links as absolute URLs, seen from a page."""
+    link = F.col("link")
+    whole = (
         F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(head, link))
+        .when(link.startswith("//"), F.concat("scheme", link))
+        .when(link.startswith("/"), F.concat("head", link))
         .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
-        .otherwise(F.concat(head, F.when(folder == "", "/").otherwise(folder), link))
+        .otherwise(F.concat("head", F.when(F.col("folder") == "", "/").otherwise(F.col("folder")), link))
     )
+    return parts.select("a", whole.alias("to")).select("a", url_key(F.col("to")).alias("b"))
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(a, b)``: each page's URL and where its canonical link or refresh leads."""
     url, html = F.col(url_col), F.col(html_col)
-
-    def target(tag: str, value: str) -> Column:
-        found = F.regexp_extract(F.regexp_extract(html, tag, 0), value, 1)
-        return F.when(F.length(found) > 0, url_key(resolved(found, url)))
-
-    likely = pages.where(html.rlike("(?i)canonical|refresh"))
-    both = likely.select(url_key(url).alias("a"), F.explode(F.array(target(CANONICAL, HREF), target(REFRESH, REFRESH_URL))).alias("b"))
-    return both.where("a is not null and b is not null and a <> b").distinct()
+    # One projection per step: each regular expression is then compiled and run once.
+    likely = pages.where(html.rlike("(?i)canonical|refresh")).select(url.alias("url"), F.regexp_extract(html, CANONICAL, 0).alias("c"), F.regexp_extract(html, REFRESH, 0).alias("r"))
+    raw = likely.select("url", F.explode(F.array(F.regexp_extract("c", HREF, 1), F.regexp_extract("r", REFRESH_URL, 1))).alias("link")).where("link <> ''")
+    parts = raw.select(
+        url_key(F.col("url")).alias("a"), F.regexp_extract("url", "^[^/?#]*://[^/?#]*", 0).alias("head"), F.regexp_extract("url", "^[^/?#]*:", 0).alias("scheme"),
+        F.regexp_replace(path_of(F.col("url")), "[^/]*$", "").alias("folder"), F.replace("link", F.lit("&amp;"), F.lit("&")).alias("link"),
+    )
+    return _resolved(parts).where("a is not null and b is not null and a <> b").distinct()
 
 
 def url_filter(
