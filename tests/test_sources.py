@@ -61,10 +61,10 @@ def test_migration_resumes(spark, tmp_path):
     tables = store.TableStore(spark, f"file://{tmp_path}/db")
     load = lambda s: rows_of(spark, statement(s, 1))
     first = migrate(spark, tables, load, max_requests=2)
-    assert (first.seeded_jobs, first.succeeded_jobs, first.pending_jobs, first.rows_written) == (3, 2, 1, 2)
+    assert (first.seeded_jobs, first.success_jobs, first.pending_jobs, first.due_jobs) == (3, 2, 1, 2)
     second = migrate(spark, tables, load, max_requests=2)
-    assert (second.seeded_jobs, second.processed_jobs, second.completed_jobs, second.pending_jobs) == (0, 1, 3, 0)
-    assert jobs.migration_status(tables)["status_counts"] == {"pending": 0, "retry": 0, "success": 3}
+    assert (second.seeded_jobs, second.processed_requests, second.completed_jobs, second.pending_jobs) == (0, 1, 3, 0)
+    assert jobs.migration_status(tables)["status_counts"] == {"success": 3}
 
 
 def test_migration_stops_at_quota_and_waits(spark, tmp_path):
@@ -74,7 +74,7 @@ def test_migration_stops_at_quota_and_waits(spark, tmp_path):
         raise RuntimeError("API quota reached")
 
     out = migrate(spark, tables, load)
-    assert (out.processed_jobs, out.failed_jobs, out.quota_hit, out.pending_jobs) == (1, 1, True, 3)
+    assert (out.processed_requests, out.retry_jobs, out.quota_hit, out.pending_jobs) == (1, 1, True, 3)
     job = tables.read("fundamental_migration_progress").where("status = 'retry'").first()
     assert job.next_retry_ts == NOW + timedelta(minutes=1440) and job.attempts == 1
     with pytest.raises(RuntimeError):
@@ -104,7 +104,7 @@ def test_snapshot_is_fetched_once_a_day(spark, tmp_path):
     fetch = lambda url: calls.append(url) or INDEX
     assert snapshots.ensure_snapshot(spark, "sp500", path, fetch).refreshed
     again = snapshots.ensure_snapshot(spark, "sp500", path, fetch)
-    assert (again.row_count, again.refreshed, len(calls)) == (1, False, 1)
+    assert (again.rows, again.refreshed, again.source, len(calls)) == (1, False, "cache", 1)
     assert snapshots.read_snapshot(spark, str(path), "sp500").first().symbol == "AB.C"
     assert snapshots.json_schema("nikkei225")["items"]["properties"]["source"]["const"] == "nikkei_indexes"
 
@@ -136,7 +136,7 @@ def test_rest_errors():
 
 
 def test_settings(monkeypatch, tmp_path):
-    for name in ("FINANCE_ENDPOINT", "FINANCE_PROVIDER", "DUCKDB_DATABASE", "ALPHAVANTAGE_API_KEY"):
+    for name in ("FINANCE_ENDPOINT", "FINANCE_PROVIDER", "FINANCE_DUCKDB_DATABASE", "ALPHAVANTAGE_API_KEY"):
         monkeypatch.delenv(name, raising=False)
     assert config.build_settings() == config.Settings("api", "alphavantage", ":memory:")
     monkeypatch.setenv("FINANCE_PROVIDER", "yfinance")

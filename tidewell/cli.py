@@ -56,7 +56,10 @@ def main(argv: Sequence[str] | None = None) -> int:
     """Exit codes: 0 done, 1 failed at work, 2 wrong use."""
     args = parse_args(argv)
     config.load_env_file()
-    settings = config.build_settings(args.endpoint, args.provider, args.duckdb_database)
+    try:
+        settings = config.build_settings(args.endpoint, args.provider, args.duckdb_database, args.sql)
+    except RuntimeError as e:
+        return _fail(e, 1)
     root = None if settings.database == ":memory:" else settings.database
     from tidewell.plans import jobs
     from tidewell.sources import payloads, rest, snapshots, store
@@ -73,7 +76,7 @@ def main(argv: Sequence[str] | None = None) -> int:
                     return _fail("--duckdb-database must be a folder", 2)
                 spark = get_session()
                 rows = rest.load_statements(spark, args.symbol, dataset, config.api_key(args.alphavantage_api_key))
-                return _print({"symbol": args.symbol, "dataset": dataset, "rows_written": store.TableStore(spark, root).upsert(payloads.TABLE_OF[dataset], rows)})
+                return _print({"symbol": args.symbol.upper(), "database": settings.database, "rows_written": store.TableStore(spark, root).upsert(payloads.TABLE_OF[dataset], rows)})
         if args.migrate_sp500_fundamentals or args.migration_status:
             if root is None:
                 return _fail("--duckdb-database must be a folder", 2)
@@ -90,13 +93,13 @@ def main(argv: Sequence[str] | None = None) -> int:
             key = config.api_key(args.alphavantage_api_key)
             loaders = {d: (lambda s, d=d: rest.load_statements(spark, s, d, key)) for d in jobs.DATASETS}
             summary = jobs.migrate(
-                tables, symbols, jobs.parse_datasets(args.migration_datasets), loaders, payloads.TABLE_OF, max_requests=args.max_requests, retry_delay_minutes=args.retry_delay_minutes, quota_retry_minutes=args.quota_retry_minutes
+                tables, symbols, jobs.parse_datasets(args.migration_datasets), loaders, payloads.TABLE_OF, max_requests=args.max_requests, retry_delay_minutes=args.retry_delay_minutes, quota_retry_minutes=args.quota_retry_minutes, source=args.sp500_input,
             )
             return _print(summary.as_dict())
         if settings.endpoint == "duckdb":
-            if not args.sql:
+            if not settings.sql:
                 return _fail("--sql is required with --endpoint duckdb", 2)
-            return _print(store.run_query(get_session(), args.sql, root))
+            return _print(store.run_query(get_session(), settings.sql, root))
         if not args.symbol:
             return _fail("a symbol is required", 2)
         if settings.provider == "yfinance":

@@ -23,20 +23,22 @@ class Settings:
     endpoint: str
     provider: str
     database: str
+    sql: str | None = None
 
 
 def _one_of(name: str, value: str, allowed: tuple[str, ...]) -> str:
     if value not in allowed:
-        raise ValueError(f"{name} must be one of {', '.join(allowed)}")
+        raise RuntimeError(f"{name} must be one of {', '.join(allowed)}")
     return value
 
 
-def build_settings(endpoint: str | None = None, provider: str | None = None, database: str | None = None) -> Settings:
+def build_settings(endpoint: str | None = None, provider: str | None = None, database: str | None = None, sql: str | None = None) -> Settings:
     env = os.environ.get
     return Settings(
         _one_of("endpoint", endpoint or env("FINANCE_ENDPOINT") or "api", ENDPOINTS),
         _one_of("provider", provider or env("FINANCE_PROVIDER") or "alphavantage", PROVIDERS),
-        database or env("DUCKDB_DATABASE") or ":memory:",
+        database or env("FINANCE_DUCKDB_DATABASE") or ":memory:",
+        sql or env("FINANCE_SQL"),
     )
 
 

@@ -9,7 +9,7 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.schemas import JOB_KEY, JOB_STATUSES, JOBS
+from tidewell.schemas import JOB_KEY, JOB_STATUSES, JOBS, STATEMENT_MEASURES
 from tidewell.sources.store import TableStore
 
 DATASETS = ("income_statement", "cash_flow", "balance_sheet")
@@ -32,11 +32,11 @@ def due_jobs(jobs: DataFrame, now: Column, limit: int) -> DataFrame:
 
 
 def recent_failures(jobs: DataFrame, limit: int = 10) -> DataFrame:
-    """The jobs in retry that were tried last; ties by symbol and dataset."""
+    """The jobs in retry that were tried last, times as text; ties by symbol and dataset."""
     if limit <= 0:
         raise RuntimeError("failure_limit must be positive")
     failed = jobs.where("status = 'retry'")
-    return failed.orderBy(F.coalesce("last_attempt_ts", F.expr(EPOCH)).desc(), "symbol", "dataset").limit(limit).select("symbol", "dataset", "attempts", "last_error")
+    return failed.orderBy(F.coalesce("last_attempt_ts", F.expr(EPOCH)).desc(), "symbol", "dataset").limit(limit).select("symbol", "dataset", "attempts", F.coalesce("last_error", F.lit("")).alias("last_error"), *(F.col(c).cast("string").alias(c) for c in ("last_attempt_ts", "next_retry_ts")))
 
 
 def status_counts(jobs: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def status_counts(jobs: DataFrame) -> DataFrame:
 
 
 def next_retry(jobs: DataFrame) -> DataFrame:
-    return jobs.agg(F.min(F.when(F.col("status") != "success", F.col("next_retry_ts"))).cast("string").alias("next_retry"))
+    return jobs.agg(F.min(F.when(F.col("status") == "retry", F.col("next_retry_ts"))).cast("string").alias("next_retry"))
 
 
 def status_rollup(jobs: DataFrame) -> DataFrame:
@@ -83,15 +83,20 @@ def parse_datasets(text: str | Sequence[str]) -> list[str]:
 
 @dataclass(frozen=True)
 class MigrationSummary:
-    total_jobs: int
+    """What a run did and what is left, as the command line prints it."""
+
+    database: str
+    sp500_source: str
+    dataset_count: int
+    symbol_count: int
     seeded_jobs: int
-    processed_jobs: int
-    succeeded_jobs: int
-    failed_jobs: int
-    completed_jobs: int
-    pending_jobs: int
-    rows_written: int
+    due_jobs: int
+    processed_requests: int
+    success_jobs: int
+    retry_jobs: int
     quota_hit: bool
+    pending_jobs: int
+    completed_jobs: int
     next_retry_ts: str | None
 
     def as_dict(self) -> dict:
@@ -109,7 +114,7 @@ def is_quota_message(message: str) -> bool:
 
 def migrate(
     store: TableStore, symbols: Sequence[str], datasets: Sequence[str], loaders: Mapping[str, Callable[[str], DataFrame]], tables: Mapping[str, str], *, max_requests: int = 5, retry_delay_minutes: int = 30,
-    quota_retry_minutes: int = 1440, now: Callable[[], datetime] = utc_now,
+    quota_retry_minutes: int = 1440, source: str = "", now: Callable[[], datetime] = utc_now,
 ) -> MigrationSummary:
     """Work off due jobs: load, upsert, note the outcome; stop at the first quota error.
 
@@ -119,18 +124,19 @@ def migrate(
     if max_requests <= 0 or retry_delay_minutes <= 0 or quota_retry_minutes <= 0:
         raise RuntimeError("max_requests, retry_delay_minutes and quota_retry_minutes must be positive")
     spark: SparkSession = store.spark
-    names, at = parse_datasets(datasets), now()
-    rows = [(s, d, "pending", 0, 0, None, None, None, at, at) for s in sorted(set(symbols)) for d in names]
-    seeded = store.insert_ignore("fundamental_migration_progress", spark.createDataFrame(rows, JOBS)) if rows else 0
-    queue = store.read("fundamental_migration_progress").where(F.col("dataset").isin(names))
+    names, at, symbols = parse_datasets(datasets), now(), sorted(set(symbols))
+    if not symbols:
+        raise RuntimeError(f"No symbols found in {source or 'the list given'}")
+    rows = [(s, d, "pending", 0, 0, None, None, None, at, at) for s in symbols for d in names]
+    seeded = store.insert_ignore("fundamental_migration_progress", spark.createDataFrame(rows, JOBS))
+    queue = store.read("fundamental_migration_progress")
     due = due_jobs(queue, F.lit(at), max_requests).collect()  # at most max_requests rows
-    outcomes, quota, written = [], False, 0
+    outcomes, quota = [], False
     for job in due:
         try:
             found = loaders[job.dataset](job.symbol)
             n = store.upsert(tables[job.dataset], found)
             outcomes.append((job.symbol, job.dataset, n, None, None))
-            written += n
         except RuntimeError as e:
             quota = is_quota_message(str(e))
             delay = quota_retry_minutes if quota else retry_delay_minutes * 2 ** min(job.attempts, 4)
@@ -143,18 +149,25 @@ def migrate(
     after = store.read("fundamental_migration_progress")
     total = status_rollup(after).first()
     good = sum(o[3] is None for o in outcomes)
-    return MigrationSummary(total.total, seeded, len(outcomes), good, len(outcomes) - good, total.completed, total.pending, written, quota, next_retry(after).first()[0])
+    return MigrationSummary(
+        store.root, source, len(names), len(symbols), seeded, len(due), len(outcomes), good, len(outcomes) - good, quota, total.pending, total.completed, next_retry(after).first()[0]
+    )
 
 
 def migration_status(store: TableStore, failure_limit: int = 10) -> dict:
     """Counts by status, next retry, recent failures and rows of each statement table."""
-    jobs = store.read("fundamental_migration_progress")
-    from tidewell.schemas import STATEMENT_MEASURES
-
-    return {
-        "status_counts": {r.status: r.jobs for r in status_counts(jobs).collect()},
-        "rollup": status_rollup(jobs).first().asDict(),
+    jobs = store.read("fundamental_migration_progress").cache()
+    failures = [r.asDict() for r in recent_failures(jobs, failure_limit).collect()]
+    total = status_rollup(jobs).first()
+    out = {
+        "database": store.root,
+        "total_jobs": total.total,
+        "completed_jobs": total.completed,
+        "pending_jobs": total.pending,
+        "status_counts": {r.status: r.n for r in jobs.groupBy("status").agg(F.count("*").alias("n")).orderBy("status").collect()},
         "next_retry_ts": next_retry(jobs).first()[0],
-        "recent_failures": [r.asDict() for r in recent_failures(jobs, failure_limit).collect()],
-        "table_rows": {name: store.read(name).count() for name in STATEMENT_MEASURES},
+        "table_counts": {name: store.read(name).count() for name in STATEMENT_MEASURES},
+        "recent_failures": failures,
     }
+    jobs.unpersist()
+    return out

@@ -113,9 +113,9 @@ CAST(count(*) FILTER (WHERE gated) AS BIGINT) AS gated_buys, CAST(count(*) AS BI
     "insert_ignore": "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey + 20, 'added' FROM nation WHERE n_nationkey + 20 NOT IN (SELECT n_nationkey FROM nation)",
     "seed_cross": "SELECT replace(upper(trim(n_name)), '.', '-') AS symbol, r_name AS dataset FROM nation, region GROUP BY 1, 2",
     "due_jobs_topk": f"WITH {_JOBS} SELECT symbol, dataset, attempts FROM jobs WHERE status <> 'success' AND (next_retry_ts IS NULL OR next_retry_ts <= TIMESTAMP '1998-01-01') ORDER BY coalesce(next_retry_ts, TIMESTAMP '1970-01-01'), attempts, symbol, dataset LIMIT 25",
-    "recent_failures_topk": f"WITH {_JOBS} SELECT symbol, dataset, attempts, last_error FROM jobs WHERE status = 'retry' ORDER BY coalesce(last_attempt_ts, TIMESTAMP '1970-01-01') DESC, symbol, dataset LIMIT 10",
+    "recent_failures_topk": f"WITH {_JOBS} SELECT symbol, dataset, attempts, last_error, CAST(last_attempt_ts AS VARCHAR) AS last_attempt_ts, CAST(next_retry_ts AS VARCHAR) AS next_retry_ts FROM jobs WHERE status = 'retry' ORDER BY coalesce(last_attempt_ts, TIMESTAMP '1970-01-01') DESC, symbol, dataset LIMIT 10",
     "status_counts": f"WITH {_JOBS} SELECT s.status, CAST(count(jobs.status) AS BIGINT) AS jobs FROM (VALUES ('pending'), ('retry'), ('success')) s(status) LEFT JOIN jobs ON jobs.status = s.status GROUP BY s.status",
-    "next_retry": f"WITH {_JOBS} SELECT CAST(min(next_retry_ts) FILTER (WHERE status <> 'success') AS VARCHAR) AS next_retry FROM jobs",
+    "next_retry": f"WITH {_JOBS} SELECT CAST(min(next_retry_ts) FILTER (WHERE status = 'retry') AS VARCHAR) AS next_retry FROM jobs",
     "status_rollup": f"WITH {_JOBS} SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE status = 'success') AS BIGINT) AS completed, CAST(count(*) FILTER (WHERE status <> 'success') AS BIGINT) AS pending, CAST(count(*) FILTER (WHERE status = 'retry') AS BIGINT) AS retrying FROM jobs",
     "backoff_delay": f"WITH {_JOBS} SELECT dataset, CAST(30 * (1 << least(attempts, 4)) AS BIGINT) AS minutes, next_retry_ts + to_minutes(CAST(30 * (1 << least(attempts, 4)) AS BIGINT)) AS again FROM jobs",
     "mark_outcomes": f"""WITH {_JOBS} SELECT symbol, dataset, CASE attempts WHEN 1 THEN 'success' WHEN 2 THEN 'retry' ELSE status END AS status, attempts + CASE WHEN attempts IN (1, 2) THEN 1 ELSE 0 END AS attempts,

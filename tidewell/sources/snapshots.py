@@ -21,6 +21,7 @@ PAGES = {
     "ftse250": "https://en.wikipedia.org/wiki/FTSE_250_Index",
     "nikkei225": "https://indexes.nikkei.co.jp/en/nkave/index/component?idx=nk225",
 }
+SOURCES = {"sp500": "wikipedia", "ftse250": "wikipedia", "nikkei225": "nikkei_indexes"}
 COLUMNS = {kind: list(names.values()) for kind, names in HEADERS.items()}
 COLUMNS["nikkei225"] = [*COLUMNS["nikkei225"], "industry_group", "industry", "source"]
 
@@ -28,8 +29,9 @@ COLUMNS["nikkei225"] = [*COLUMNS["nikkei225"], "industry_group", "industry", "so
 @dataclass(frozen=True)
 class RefreshSummary:
     output_path: str
-    row_count: int
     refreshed: bool
+    rows: int
+    source: str
 
 
 def fetch_page(url: str) -> str:
@@ -70,11 +72,11 @@ def ensure_snapshot(spark: SparkSession, kind: str, path: str | Path, fetch: Cal
     """Today's snapshot: kept if present, else fetched and parsed. RuntimeError if it can't be fetched."""
     path = Path(path)
     if is_current(path):
-        return RefreshSummary(str(path), len(json.loads(path.read_text(encoding="utf-8"))), False)
+        return RefreshSummary(str(path), False, len(json.loads(path.read_text(encoding="utf-8"))), "cache")
     try:
         page = fetch(PAGES[kind])
     except URLError as e:
         raise RuntimeError(f"Could not fetch {kind}: {e}") from e
     rows = parse_index(spark, page, kind)
     write_snapshot(rows, path, kind)
-    return RefreshSummary(str(path), len(rows), True)
+    return RefreshSummary(str(path), True, len(rows), SOURCES[kind])
