@@ -25,15 +25,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         up = _stars(live, scratch, f"up{k}")
         step = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
         if k == 0:
-            roots = scratch.save(up, "roots0")
+            roots = up
         else:
             roots = scratch.save(roots.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), f"roots{k}")
-            scratch.drop(f"roots{k - 1}")
         of_a, of_b = (up.select(F.col("node").alias(x), F.col("root").alias("r" + x)) for x in "ab")
         shrunk = live.join(of_a, "a").join(of_b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
         k += 1
         live = scratch.save(shrunk, f"edges{k}")
-        scratch.drop(f"edges{k - 1}", f"up{k - 1}")
+        scratch.drop(f"edges{k - 1}")
     return roots
 
 
@@ -42,13 +41,13 @@ def _stars(live: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     up = live.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root"))
     up, j = scratch.save(up, f"{name}.0"), 0
     while True:
-        again = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        jumped = up.join(again, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.coalesce(F.col("next") < F.col("root"), F.lit(False)).alias("moved"))
+        # Two jumps at once, so a chain of 2 ** 2 steps ends in one pass.
+        step = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        once = up.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        twice = once.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.coalesce(F.col("next") < F.col("root"), F.lit(False)).alias("moved"))
         j += 1
-        jumped = scratch.save(jumped, f"{name}.{j}")
+        jumped = scratch.save(twice, f"{name}.{j}")
         scratch.drop(f"{name}.{j - 1}")
-        if jumped.where("moved").isEmpty():
-            out = scratch.save(jumped.select("node", "root"), name)
-            scratch.drop(f"{name}.{j}")
-            return out
         up = jumped.select("node", "root")
+        if jumped.where("moved").isEmpty():
+            return up

@@ -37,6 +37,8 @@ from tidewell.llm.words import U, Slice, mix, signed, slices, windows
 
 LEAST_PARTS = 256
 HUB_MEMBERS = 400  # texts that one task compares with one copy of a hub's text
+HUBS = 6  # that a set is compared with in each round but the first
+HOT = 64  # a group of more sets is hot
 
 
 def bands() -> np.ndarray:
@@ -87,7 +89,7 @@ def signatures(value: np.ndarray, bounds: np.ndarray, percent: int) -> Iterator[
             if not len(chosen):
                 continue
             k = _most_differences(count[chosen], np.minimum(most[chosen], top - 1), percent)
-            extra = int(low[b + up] // 8)
+            extra = int(low[b + up] // 4)
             bits = int(np.log2(max(LEAST_PARTS, top)))
             where = np.repeat(np.arange(len(chosen)), count[chosen])
             start = np.repeat(bounds[chosen] - np.concatenate([[0], np.cumsum(count[chosen])[:-1]]), count[chosen])
@@ -177,13 +179,66 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, pe
 
 
 def _pruned(rows: DataFrame) -> DataFrame:
-    """Without sets that have fewer signatures left than a similar set must share."""
-    enough = rows.groupBy("node", "need").count().where("count >= need").select("node", "need")
-    return rows.join(enough, ["node", "need"], "left_semi")
+    """Without what no link needs, judged by the groups' present sizes.
+
+    Similar sets share ``need`` of their rows. A set with fewer rows goes. A set
+    with fewer than ``need`` rows in hot groups shares another row with every
+    similar set, so its hot rows go, and its need falls by their number.
+    """
+    hot = F.count_if(F.col("size") > HOT)
+    enough = rows.groupBy("node", "need").agg(F.count("*").alias("n"), hot.alias("hot")).where("n >= need").drop("n")
+    kept = rows.join(enough, ["node", "need"]).where(f"hot >= need or size <= {HOT}")
+    return kept.withColumn("need", F.when(F.col("hot") < F.col("need"), F.col("need") - F.col("hot")).otherwise(F.col("need")).cast("int")).drop("hot")
+
+
+def _features(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes = batch.column(0).to_numpy(zero_copy_only=False)
+        comps = batch.column(1).to_numpy(zero_copy_only=False)
+        for part in slices(batch.column(2)):
+            value, bounds = feature_sets(part, size)
+            count = np.diff(bounds)
+            mine = nodes[part.first : part.first + part.n]
+            count_here = np.where(signed(identities(value, bounds)) == mine, count, 0)
+            pick = np.repeat(count_here > 0, count)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(value[pick])), pa.array(np.repeat(mine, count_here)), pa.array(np.repeat(comps[part.first : part.first + part.n], count_here)), pa.array(np.repeat(count_here, count_here).astype(np.int32))],
+                ["f", "node", "comp", "s"],
+            )
+
+
+def _remaining_pairs(comp: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs of different components that can be similar, among the sets that are still open.
+
+    A similar pair shares ``percent`` of the larger set. A set with fewer features
+    than that in hot groups shares others with each similar set, so pairs are
+    counted over the groups that aren't hot. Sets that consist of hot features to
+    that degree meet in the features that come first in hash order: a set's first
+    ``s - percent * s + 1`` hold one of those that it shares.
+    """
+    nodes = comp.select("node", "comp").distinct().join(reps, "node").join(texts, "id").select("node", "comp", "text")
+    rows = scratch.save(nodes.mapInArrow(lambda it: _features(it, size), "f bigint, node bigint, comp bigint, s int").dropDuplicates(["f", "node"]), "features")
+    groups = rows.groupBy("f").agg(F.count("*").alias("df"), (F.min("comp") != F.max("comp")).alias("several")).where("several").drop("several")
+    least = f"ceil({percent} * s / 100)"
+    rows = rows.join(groups, "f")
+    judged = rows.groupBy("node").agg(F.count_if(F.col("df") > HOT).alias("hot"), F.count_if(F.col("df") <= HOT).alias("cold"), F.first("s").alias("s"))
+    judged = judged.withColumn("need", F.expr(f"{least} - hot")).where("cold >= need").select("node", "need", "hot")
+    rows = scratch.save(rows.join(judged, "node"), "live-features")
+    # Of a pair at least so many features are shared, and at most the hot ones of either besides those counted.
+    both = f"greatest(ceil({percent} * greatest(s, hub_s) / 100), ceil({percent} * (s + hub_s) / {100 + percent}))"
+    counted = _pairs(rows.where(F.col("df") <= HOT)).groupBy("hub", "node").agg(F.count("*").alias("n"), F.first(F.expr(f"{both} - least(hot, hub_hot)")).alias("need"))
+    heavy = rows.where("need <= 0").withColumn("k", F.expr("row_number() over (partition by node order by f)")).where(f"k <= s - {least} + 1")
+    return counted.where("n >= need").select("hub", "node").union(_pairs(heavy).where(f"least(hot, hub_hot) >= {both}").select("hub", "node")).distinct()
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Pairs in one group, of different components."""
+    other = rows.select("f", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"), F.col("s").alias("hub_s"), F.col("hot").alias("hub_hot"))
+    return rows.join(other, "f").where("comp <> hub_comp and hub < node")
 
 
 def ngram_jaccard_join(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, percent: int = 75, rounds: int = 3
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, percent: int = 75, rounds: int = 1
 ) -> DataFrame:
     """``(<id>, n_shingles, node, component_id)`` for each document.
 
@@ -194,8 +249,9 @@ def ngram_jaccard_join(
     smallest id that links lead to.
 
     Null or wordless text: ``n_shingles`` 0, ``node`` null, linked with nothing.
-    A null id takes part (its set may join others) but is nobody's component_id,
-    unless all of a component's are null. Rows with one id and several texts are judged each by its text.
+    A null id is never a component_id (unless no equal text has an id); a text that
+    only null ids hold is tied to equal texts alone. Rows with one id and several
+    texts are judged each by its text.
     Repeated rows give repeated results; an empty table gives an empty result;
     extra columns of ``documents`` are ignored. Sets are compared by 64-bit
     hashes: among n different sets, n*n / 2**65 wrongly equal ones are expected.
@@ -209,25 +265,22 @@ def ngram_jaccard_join(
     group = "partition by sig"
     rows = rows.select("*", F.expr(f"min(node) over ({group}) <> max(node) over ({group})").alias("shared")).where("shared").drop("shared")
     rows = scratch.save(rows.dropDuplicates(["sig", "node"]), "shared")
-    open_rows = scratch.save(_pruned(rows), "open0")
+    open_rows = scratch.save(_pruned(rows.withColumn("size", F.expr(f"count(*) over ({group})"))).select("sig", "node", "need"), "open0")
     scratch.drop("shared")
     reps = profile.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"))
     links = spark.range(0).selectExpr("id AS a", "id AS b")
     root = spark.range(0).selectExpr("id AS node", "id AS root")
     for k in range(rounds + 1):
         comp = open_rows.join(root, "node", "left").select("sig", "node", "need", F.coalesce("root", "node").alias("comp"))
-        comp = comp.select("*", F.expr(f"min(comp) over ({group}) <> max(comp) over ({group})").alias("several")).where("several").drop("several")
-        comp = scratch.save(_pruned(comp), f"open{k + 1}")
+        comp = comp.select("*", F.expr(f"min(comp) over ({group}) <> max(comp) over ({group})").alias("several"), F.expr(f"count(*) over ({group})").alias("size"))
+        comp = scratch.save(_pruned(comp.where("several").drop("several")), f"open{k + 1}")
         scratch.drop(f"open{k}")
         open_rows = comp.select("sig", "node", "need")
         if comp.isEmpty():
             break
-        if k < rounds:
-            pairs = _hub_pairs(comp, k)
-        else:
-            other = comp.select("sig", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-            pairs = comp.join(other, "sig").where("comp <> hub_comp and hub < node").groupBy("hub", "node").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("hub", "node")
-        found = scratch.save(_verified(scratch.save(pairs, f"pairs{k}"), reps, texts, size, percent), f"links{k}")
+        pairs = _hub_pairs(comp, k) if k < rounds else _remaining_pairs(comp, reps, texts, size, percent, scratch)
+        pairs = scratch.save(pairs, f"pairs{k}")
+        found = scratch.save(_verified(pairs, reps, texts, size, percent), f"links{k}")
         links = links.union(found)
         root = components(links, Scratch(spark, "jaccard-components"))
     named = profile.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -236,12 +289,20 @@ def ngram_jaccard_join(
 
 
 def _hub_pairs(comp: DataFrame, k: int) -> DataFrame:
-    """Each set with the hub, of another component, that it meets most in its groups."""
-    order = F.xxhash64("node", F.lit(k))
-    keyed = comp.select("*", F.struct(order.alias("o"), "node", "comp").alias("me"))
+    """Each set with the hubs, of other components, that it meets most in its groups.
+
+    At first a group's hub is its most central set: the one whose signatures lie in
+    the largest groups, as those of an original do among its varied copies. Later
+    it is any one of the group, and a set meets several.
+    """
+    if k == 0:
+        central = comp.groupBy("node").agg(F.sum("size").alias("central"))
+        keyed = comp.join(central, "node").select("sig", "node", "comp", F.struct((-F.col("central")).alias("o"), "node", "comp").alias("me"))
+    else:
+        keyed = comp.select("sig", "node", "comp", F.struct(F.xxhash64("node", "sig").alias("o"), "node", "comp").alias("me"))
     first = keyed.groupBy("sig").agg(F.min("me").alias("first"))
     keyed = keyed.join(first, "sig")
     second = keyed.where("comp <> first.comp").groupBy("sig").agg(F.min("me").alias("second"))
     met = keyed.join(second, "sig").select("node", F.when(F.col("comp") == F.col("first.comp"), F.col("second.node")).otherwise(F.col("first.node")).alias("hub"))
-    counted = met.groupBy("node", "hub").count()
-    return counted.groupBy("node").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub")).select("hub", "node").distinct()
+    counted = met.groupBy("node", "hub").count().withColumn("k", F.expr("row_number() over (partition by node order by count desc, hub)"))
+    return counted.where(F.col("k") <= (1 if k == 0 else HUBS)).select("hub", "node")
