@@ -51,9 +51,9 @@ def anchored(part: Slice, runs: Runs, least: int) -> tuple[np.ndarray, np.ndarra
     text = np.repeat(np.arange(part.n), np.diff(part.at))
     inside = text[first] == text[first + least - 1]
     gram = runs(np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
-    low = np.lib.stride_tricks.sliding_window_view(gram, starts)[: n - least + 1].argmin(axis=1)
+    low = _first_lowest(gram, starts)[: n - least + 1]
     first = first[inside]
-    anchor = first + low[inside]
+    anchor = low[inside]
     if not len(first):
         return none, none, none
     new = np.ones(len(first), bool)
@@ -62,6 +62,18 @@ def anchored(part: Slice, runs: Runs, least: int) -> tuple[np.ndarray, np.ndarra
     return anchor[new], first[new], np.diff(np.append(new, len(first)))
 
 
+def _first_lowest(x: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` values the place of the lowest, the first of equals, by doubling."""
+    value, place, done = x, np.arange(len(x)), 1
+    while done < width:
+        step = min(done, width - done)
+        left, right = value[: len(value) - step], value[step:]
+        place = np.where(left <= right, place[: len(place) - step], place[step:])
+        value = np.minimum(left, right)
+        done += step
+    return place
+
+
 def _head(least: int) -> int:
     """Words from the anchor on that heads hold beyond its k-gram."""
     return least // 5
@@ -133,7 +145,7 @@ def repeated_passages(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     mixed = classes.groupBy("head").agg((F.min("segment") != F.max("segment")).alias("several")).where("several")
     extend = classes.join(mixed, "head", "left_semi").select("first.*").groupBy("id", "t").agg(F.collect_list(F.struct("pos", "n")).alias("segments"))
     extend = extend.withColumnsRenamed({"id": "i", "t": "u"})
-    found = texts.dropDuplicates(["id", "t"]).join(extend, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("id", "t", "text", "segments")
+    found = texts.join(extend, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("id", "t", "text", "segments")
     found = scratch.save(found.mapInArrow(lambda it: _extended(it, least), "id bigint, t bigint, pos int, run bigint"), "runs")
     met = found.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("run", "first")
     of_runs = found.join(met, "run").select("id", "t", F.col("pos").alias("start"), (F.col("pos") + least).alias("end"), (place != F.col("first")).alias("removed"), F.col("first.id").alias("first_id"))
