@@ -40,3 +40,9 @@ def test_query_equals_duckdb(spark, name):
 @have
 def test_entry(spark):
     assert "beta_36m" in entry.entry(spark).columns
+
+
+@have
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(oracles.ORACLES)))
+def test_query_without_sql_runs(spark, name):
+    assert catalog.queries()[name](spark, SMALL).count() > 0

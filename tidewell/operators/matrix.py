@@ -111,6 +111,8 @@ def pca(df: DataFrame, columns: Sequence[str], n_components: int, keep: Sequence
     d = len(columns)
     if not 1 <= n_components <= d:
         raise ValueError(f"n_components must be between 1 and {d}")
+    if set(keep) & set(columns):
+        raise ValueError("columns to keep must not be among those to project")
     scaled = zscores(df.select(*keep, *columns), columns)
     pairs = [(i, j) for i in range(d) for j in range(i + 1)]
     row = scaled.agg(*(F.covar_pop(F.col(columns[i]), F.col(columns[j])) for i, j in pairs)).first()

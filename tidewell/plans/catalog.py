@@ -271,7 +271,7 @@ def row_sample(spark, d):
 
 
 def pca_projection(spark, d):
-    found = matrix.pca(table(spark, d, "part"), PART_COLUMNS, 2, keep=["p_partkey"])
+    found = matrix.pca(table(spark, d, "part").withColumn("id", F.col("p_partkey")), PART_COLUMNS, 2, keep=["id"])
     return _rounded(found.embedding, "pc1", "pc2")
 
 
