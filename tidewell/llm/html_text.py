@@ -216,8 +216,15 @@ def _extract(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[pa
 
 
 def labelled_sample(pages: DataFrame, html_col: str, most: int) -> list[str]:
-    """At most ``most`` pages with an article or main element, by hash of the page."""
-    marked = pages.select(F.col(html_col).alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
+    """At most ``most`` different pages with an article or main element, by hash of the page.
+
+    A threshold on the hash, from the number of pages, thins them out first, so
+    that tasks send the driver little more than what it keeps.
+    """
+    total = pages.count()
+    share = min(1.0, 4 * most / max(1, total))
+    thin = pages.select(F.col(html_col).alias("html")).where(F.pmod(F.xxhash64("html"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    marked = thin.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).distinct()
     return [r.html for r in marked.orderBy(F.xxhash64("html"), "html").limit(most).collect()]
 
 
