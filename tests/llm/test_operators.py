@@ -202,6 +202,24 @@ def test_brown_scores(spark):
     assert len(twice) == 3
 
 
+def test_brown_classes_of_rare_words(spark):
+    # Words of two kinds alternate. All but 20 of 120 are beyond the sent table and still have classes.
+    rng = random.Random(8)
+    kinds = [[f"{k}{i}" for i in range(60)] for k in "ab"]
+    weight = [1 / (i + 1) for i in range(60)]
+    rows = [(i, " ".join(rng.choices(kinds[j % 2], weight)[0] for j in range(30))) for i in range(3000) if fold(i, 5) != 1]
+    held = [i for i in range(3000, 3100) if fold(i, 5) == 1][:10]
+    right, wrong = held[:5], held[5:]
+    for n, i in enumerate(right):
+        a, b, c, d = kinds[0][40 + n], kinds[1][40 + n], kinds[0][50 + n], kinds[1][50 + n]
+        rows += [(i, f"{a} {b} {c} {d}"), (wrong[n], f"{a} {c} {b} {d}")]
+    got = {r.doc_id: r for r in brown.class_model_scores(docs(spark, rows), known=20, assigned=5, clustered=12, classes=4).collect()}
+    for i, j in zip(right, wrong):
+        assert got[i].base_score == pytest.approx(got[j].base_score) and got[i].n_known == 5
+        assert got[i].score > got[j].score + 0.3
+    assert brown.grown(50_000, 600, 40) == (600, 40) and brown.grown(6_400_000, 600, 40) == (2400, 80)
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(0)
     follow = np.zeros((20, 20))

@@ -1,14 +1,15 @@
 """Language-model scores from Brown classes.
 
 The most frequent words are put into classes by exchange clustering: each word in
-turn moves to the class that raises the likelihood of the class bigrams most. The
-next ``assigned`` words then make one exchange step each, against those classes,
-from their own neighbours; further words are classed by the octave of their count,
-and the rest, unseen words included, make up one class. A text's probability is
-the product of class transitions (Witten-Bell smoothed) and word emissions.
+turn moves to the class that raises the likelihood of the class bigrams most. Every
+other word seen more than once then makes one exchange step, against those classes,
+from all its neighbours; among those, words not clustered count by the octave of
+their count. Words seen once stand for unseen ones and make up one class. A text's
+probability is the product of class transitions (Witten-Bell smoothed) and word
+emissions.
 
 All counts cover all training texts. Tables sent with tasks are bounded by the
-numbers of words, not by the corpus; counts of rare words are joined instead.
+numbers of words, not by the corpus; counts and classes of rarer words are joined.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.langid import fold
 from tidewell.llm.scratch import Scratch, small_batches
-from tidewell.llm.words import Slice, mix, signed, slices, U
+from tidewell.llm.words import Slice, buffers, mix, signed, slices, U
 
+GROWS_FROM = 100_000  # words seen more than once, from which clustered words and classes grow
 END = int(signed(mix(np.array([0xE0D], U)))[0])
 
 
@@ -84,26 +86,100 @@ def _bigrams(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, symbol:
             tokens, _ = _tokens(part)
             s = symbol[vocabulary.find(tokens)]
             before = np.concatenate([[symbol[vocabulary.find(np.array([END]))[0]]], s[:-1]])
-            total += np.bincount(before * symbols + s, minlength=symbols * symbols)
+            np.add.at(total, before * symbols + s, 1)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, of_word: np.ndarray, slot: np.ndarray, slots: int, classes: int) -> Iterator[pa.RecordBatch]:
-    """For each word to be assigned: how often each class comes before and after it."""
-    total = np.zeros((slots, 2 * classes), np.int64)
+def _listed(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """One row for each word with its (code, count) entries, given in order of words."""
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    entry = np.empty((len(code), 2), np.uint32)
+    entry[:, 0], entry[:, 1] = code, n
+    offsets = np.append(first, len(word)).astype(np.int32) * entry.itemsize * 2
+    near = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(entry.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(word[first]), near], ["word", "near"])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, of_word: np.ndarray, slot: np.ndarray, slots: int, width: int) -> Iterator[pa.RecordBatch]:
+    """How often which classes surround each word that is not clustered.
+
+    An entry's code is ``before * (width + 1) + after``, with ``width`` for a side
+    that the entry leaves out. ``slot`` is -2 for words without contexts; words with
+    a slot are summed by side, all others, -1, are listed.
+    """
+    total = np.zeros((slots, 2 * width), np.int64)
     flat = total.reshape(-1)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def merged() -> pa.RecordBatch:
+        word, code = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        order = np.lexsort((code, word))
+        word, code = word[order], code[order]
+        first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (code[1:] != code[:-1])]))
+        return _listed(word[first], code[first], np.diff(np.append(first, len(word))))
+
     for batch in batches:
         for part in slices(batch.column(0)):
             tokens, _ = _tokens(part)
             found = vocabulary.find(tokens)
             c, w = of_word[found], slot[found]
             before = np.concatenate([[of_word[vocabulary.find(np.array([END]))[0]]], c[:-1]])
-            for side, near, here in ((0, before, w), (1, c[1:], w[:-1])):
-                k = here >= 0
-                flat += np.bincount(here[k] * 2 * classes + side * classes + near[k], minlength=len(flat))
+            after = np.concatenate([c[1:], c[:1]])  # a slice ends with END, which has no contexts
+            w[-1] = -2
+            w[tokens == END] = -2
+            k = np.flatnonzero(w >= 0)
+            np.add.at(flat, w[k] * 2 * width + before[k], 1)
+            np.add.at(flat, w[k] * 2 * width + width + after[k], 1)
+            k = np.flatnonzero(w == -1)
+            held.append((tokens[k], (before[k] * (width + 1) + after[k]).astype(np.uint32)))
+            size += len(k)
+            if size > 1_000_000:
+                yield merged()
+                held, size = [], 0
+    if size:
+        yield merged()
     some = np.flatnonzero(flat)
-    yield pa.RecordBatch.from_arrays([pa.array(some // (2 * classes)), pa.array((some % (2 * classes)).astype(np.int32)), pa.array(flat[some])], ["slot", "near", "n"])
+    if len(some):
+        word = np.zeros(slots, np.int64)
+        word[slot[:-1][slot[:-1] >= 0]] = vocabulary.word[slot[:-1] >= 0]
+        near = some % (2 * width)
+        code = np.where(near < width, near * (width + 1) + width, width * (width + 1) + near - width)
+        yield _listed(word[some // (2 * width)], code, flat[some])
+
+
+def _assign(batches: Iterator[pa.RecordBatch], behind: np.ndarray, ahead: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Class of each word, whose rows follow one another: that whose neighbours explain the word's best."""
+    width, classes = behind.shape
+
+    def classed(words: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        n = sums[:, :width].sum(axis=1).astype(np.int64)
+        best = (sums[:, :width] @ behind + sums[:, width:] @ ahead).argmax(axis=1)
+        best[n < 2] = classes + 1
+        return pa.RecordBatch.from_arrays([pa.array(words), pa.array(n), pa.array(best.astype(np.int32))], ["word", "n", "class"])
+
+    last, open_ = np.zeros(0, np.int64), np.zeros((0, 2 * width))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        off, raw = buffers(batch.column(1))
+        entry = raw.view(np.uint32).reshape(-1, 2).astype(np.int64)
+        rows = np.concatenate([last, batch.column(0).to_numpy()])
+        first = np.concatenate([[True], rows[1:] != rows[:-1]])
+        group = (np.cumsum(first) - 1)[len(last) :]
+        words = rows[first]
+        sums = np.zeros((len(words), 2 * width))
+        sums[: len(last)] = open_
+        at = np.repeat(group, np.diff(off) // 8)
+        before, after = entry[:, 0] // (width + 1), entry[:, 0] % (width + 1)
+        for near, start in ((before, 0), (after, width)):
+            k = near < width
+            np.add.at(sums, (at[k], near[k] + start), entry[k, 1])
+        yield classed(words[:-1], sums[:-1])
+        last, open_ = words[-1:], sums[-1:]
+    if len(last):
+        yield classed(last, open_)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -160,39 +236,102 @@ def exchange(counts: np.ndarray, movable: int, classes: int, rounds: int = 8) ->
 
 
 @dataclass
-class Scorer:
-    """What scores texts: class of a known word, its emission, and transitions (log10)."""
+class Classes:
+    """Class of each known word (the last one is for all others), emissions, and the masses of classes."""
 
     vocabulary: Vocabulary
-    of_word: np.ndarray  # the last one is the class of all other words
-    emission: np.ndarray
-    transition: np.ndarray
+    of_word: np.ndarray
+    emission: np.ndarray  # log10
+    mass: np.ndarray
+    end: int  # the class of END; the one after it is that of words seen once and unseen ones
 
+    def code(self) -> type:
+        """Type of a class in a text's sequence; its largest value marks a word that is not known."""
+        return np.uint8 if len(self.mass) < 255 else np.uint16
 
-def _scores(batches: Iterator[pa.RecordBatch], scorer: Scorer) -> Iterator[pa.RecordBatch]:
-    """Per text: tokens, known tokens, log10 of known counts, class model without rare emissions, rare words."""
-    log_count = np.append(np.log10(scorer.vocabulary.count + 0.5), 0.0)
+
+def _encoded(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[pa.RecordBatch]:
+    """Per text: tokens, known tokens, log10 of known counts and emissions, classes in order, rare words."""
+    log_count = np.append(np.log10(classes.vocabulary.count + 0.5), 0.0)
+    code = classes.code()
     for batch in batches:
         for part in slices(batch.column(1)):
             tokens, at = _tokens(part)
-            found = scorer.vocabulary.find(tokens)
-            c = scorer.of_word[found]
-            start = scorer.of_word[scorer.vocabulary.find(np.array([END]))[0]]
-            before = np.concatenate([[start], c[:-1]])
-            before[at[:-1]] = start
-            step = scorer.transition[before, c] + scorer.emission[found]
+            found = classes.vocabulary.find(tokens)
+            rare = found < 0
+            seq = np.where(rare, np.iinfo(code).max, classes.of_word[found]).astype(code)
 
             def summed(x: np.ndarray) -> np.ndarray:
                 run = np.concatenate([[0], np.cumsum(x)])
                 return run[at[1:]] - run[at[:-1]]
 
-            rare = found < 0
             bounds = np.concatenate([[0], np.cumsum(rare)])[at]
             words = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens[rare]))
+            seqs = pa.Array.from_buffers(pa.binary(), part.n, [None, pa.py_buffer((at * seq.itemsize).astype(np.int32)), pa.py_buffer(seq.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(part.first, part.n), pa.array(np.diff(at)), pa.array(summed(~rare)), pa.array(summed(np.where(rare, 0.0, log_count[found]))), pa.array(summed(step)), words],
-                ["id", "n_tokens", "n_found", "log_counts", "log_class", "rare"],
-            )
+                [batch.column(0).slice(part.first, part.n), pa.array(np.diff(at)), pa.array(summed(~rare)), pa.array(summed(log_count[found])), pa.array(summed(np.where(rare, 0.0, classes.emission[found]))), seqs, words],
+                ["id", "n_tokens", "n_found", "log_counts", "log_emission", "seq", "rare"],
+            )
+
+
+def _filled(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[pa.RecordBatch]:
+    """The same with the joined counts and classes of rare words put in their places."""
+    code = classes.code()
+    other = classes.end + 1
+    unseen_mass = classes.mass[other] + 0.5 * (classes.mass[other] + 1)  # its words have one count each
+    for batch in batches:
+        off, raw = buffers(batch.column(5))
+        seq = raw.view(code).copy()
+        at = off // seq.itemsize
+        found = batch.column(6)
+        size = np.asarray(found.value_lengths().fill_null(0))
+        row = np.repeat(np.arange(len(size)), size)
+        k, c, n = (found.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        spots = np.flatnonzero(seq == np.iinfo(code).max)
+        place = spots[np.searchsorted(spots, at[row]) + k]
+        seq[place] = c
+        emission = np.where(n > 1, np.log10(np.maximum(n, 1) / np.maximum(classes.mass[c], 1)), np.log10(n + 0.5) - np.log10(unseen_mass))
+
+        def summed(x: np.ndarray) -> np.ndarray:
+            return np.bincount(row, x, minlength=len(size))
+
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(batch.column(2).to_numpy() + summed(n > 0).astype(np.int64)), pa.array(batch.column(3).to_numpy() + summed(np.log10(n + 0.5))), pa.array(batch.column(4).to_numpy() + summed(emission)),
+             pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(seq.tobytes())])],
+            ["id", "n_tokens", "n_known", "log_counts", "log_emission", "seq"],
+        )
+
+
+def _steps(column: pa.Array, code: type, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes before and at each token of the texts, which end with END, and text bounds."""
+    off, raw = buffers(column)
+    seq = raw.view(code).astype(np.int64)
+    return np.concatenate([[end], seq[:-1]]), seq, off // np.dtype(code).itemsize
+
+
+def _transitions(batches: Iterator[pa.RecordBatch], code: type, end: int, width: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(width * width, np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            before, seq, _ = _steps(batch.column(0), code, end)
+            total += np.bincount(before * width + seq, minlength=width * width)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
+
+
+def _class_scores(batches: Iterator[pa.RecordBatch], code: type, end: int, transition: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        k = batch.num_columns - 1
+        if batch.num_rows:
+            before, seq, at = _steps(batch.column(k), code, end)
+            run = np.concatenate([[0], np.cumsum(transition[before, seq])])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), pa.array(run[at[1:]] - run[at[:-1]])], [*batch.schema.names[:k], "log_class"])
+
+
+def grown(words: int, clustered: int, classes: int) -> tuple[int, int]:
+    """Numbers of clustered words and of classes for a vocabulary of so many words seen more than once."""
+    times = max(1.0, words / GROWS_FROM)
+    return round(clustered * times ** (1 / 3)), round(classes * times ** (1 / 6))
 
 
 def class_model_scores(
@@ -205,6 +344,11 @@ def class_model_scores(
     words (runs of non-blank bytes, A-Z lower-cased) and one end. ``base_score`` is
     the add-half unigram score, ``score`` the class model's log10 probability.
 
+    ``clustered`` words and ``classes`` are for up to GROWS_FROM words seen more
+    than once; with more, both grow (see ``grown``). ``known`` words are sent with
+    tasks and ``assigned`` words' contexts summed inside them; neither bounds the
+    words that have classes.
+
     A null text is empty: its end is its only token. A null id has the fold of
     empty text. Repeated rows count and are scored each. Ties between equally
     frequent words go by word hash. Without training tokens every base
@@ -217,33 +361,40 @@ def class_model_scores(
     docs = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     train = docs.where(fold(F.col("id"), folds) != held_fold).select("text")
     counts = scratch.save(train.mapInArrow(_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total, kinds, repeated = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") > 1)).first()
     # Words seen once stand for those not seen at all: they are never among the known ones.
     top = counts.where((F.col("n") > 1) | (F.col("word") == END)).orderBy((F.col("word") != END), F.desc("n"), "word").limit(known).toArrow()
+    scratch.drop("counts")
     name, count = top["word"].to_numpy(), top["n"].to_numpy()
     order = np.argsort(name)
     rank = np.empty(len(order), np.int64)
     rank[np.argsort(-count, kind="stable")] = np.arange(len(order))
     vocabulary = Vocabulary(name[order], count[order], rank[order])
-    scorer = _fit(train, vocabulary, int(total), int(kinds), assigned, clustered, classes)
-    scored = docs.mapInArrow(lambda it: _scores(it, scorer), "id bigint, n_tokens bigint, n_found bigint, log_counts double, log_class double, rare array<bigint>")
-    scored = scratch.save(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-    counted = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rest = counted.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("log_rare"))
-    log_rare = F.coalesce("log_rare", F.lit(0.0))
-    base = F.col("log_counts") + log_rare - F.col("n_tokens") * float(np.log10(total + 0.5 * (kinds + 1)))
-    rare_total, rare_kinds = int(total) - int(count.sum()), int(kinds) - len(count)
-    rare_mass = F.size("rare") * float(np.log10(rare_total + 0.5 * (rare_kinds + 1)))
-    score = F.col("log_class") + log_rare - rare_mass if total else base
-    return scored.join(rest, "row", "left").select(
-        F.col("id").alias(id_col), (fold(F.col("id"), folds) == held_fold).alias("held_out"), "n_tokens",
-        (F.col("n_found") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("bigint").alias("train_tokens"), base.alias("base_score"), score.alias("score"),
+    fitted, classed = _fit(train, vocabulary, scratch, known, assigned, *grown(int(repeated), clustered, classes))
+    code, end, width = fitted.code(), fitted.end, fitted.end + 2
+    encoded = docs.mapInArrow(lambda it: _encoded(it, fitted), "id bigint, n_tokens bigint, n_found bigint, log_counts double, log_emission double, seq binary, rare array<bigint>")
+    encoded = scratch.save(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
+    rare = encoded.select("row", F.posexplode("rare").alias("k", "word")).join(classed, "word", "left")
+    found = rare.groupBy("row").agg(F.collect_list(F.struct("k", F.coalesce("class", F.lit(end + 1)).alias("c"), F.coalesce("n", F.lit(0)).alias("n"))).alias("found"))
+    filled = encoded.join(found, "row", "left").select("id", "n_tokens", "n_found", "log_counts", "log_emission", "seq", "found")
+    filled = scratch.save(filled.mapInArrow(lambda it: _filled(it, fitted), "id bigint, n_tokens bigint, n_known bigint, log_counts double, log_emission double, seq binary"), "filled")
+    scratch.drop("encoded", "classed")
+    held = fold(F.col("id"), folds) == held_fold
+    got = filled.where(~held).select("seq").mapInArrow(lambda it: _transitions(it, code, end, width), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(width * width)
+    table[got["pair"].to_numpy()] = got["n"].to_numpy()
+    transition = _smoothed(table.reshape(width, width))
+    scored = filled.mapInArrow(lambda it: _class_scores(it, code, end, transition), "id bigint, n_tokens bigint, n_known bigint, log_counts double, log_emission double, log_class double")
+    base = F.col("log_counts") - F.col("n_tokens") * float(np.log10(total + 0.5 * (kinds + 1)))
+    score = F.col("log_class") + F.col("log_emission") if total else base
+    return scored.select(
+        F.col("id").alias(id_col), held.alias("held_out"), "n_tokens", "n_known",
+        F.lit(int(total)).cast("bigint").alias("train_tokens"), base.alias("base_score"), score.alias("score"),
     )
 
 
-def _fit(train: DataFrame, vocabulary: Vocabulary, total: int, kinds: int, assigned: int, clustered: int, classes: int) -> Scorer:
-    """Classes, transitions and emissions from bigram counts over all training texts."""
+def _fit(train: DataFrame, vocabulary: Vocabulary, scratch: Scratch, known: int, assigned: int, clustered: int, classes: int) -> tuple[Classes, DataFrame]:
+    """Classes of known words, and ``(word, n, class)`` of all words of the training texts but the clustered ones."""
     size = len(vocabulary.word)
     octave = np.floor(np.log2(np.maximum(vocabulary.count, 1))).astype(np.int64)
     octaves = int(octave.max()) + 1 if size else 0
@@ -255,34 +406,41 @@ def _fit(train: DataFrame, vocabulary: Vocabulary, total: int, kinds: int, assig
     got = train.mapInArrow(lambda it: _bigrams(it, vocabulary, symbol, symbols), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(symbols * symbols)
     counts[got["pair"].to_numpy()] = got["n"].to_numpy()
+    del got
     counts = counts.reshape(symbols, symbols)
     own = exchange(counts, clustered, classes)
     width = classes + octaves + 2
-    table = np.zeros((width, width))
-    np.add.at(table, (own[:, None], own[None, :]), counts)
+    member = np.zeros((symbols, width))
+    member[np.arange(symbols), own] = 1
+    table = member.T @ counts @ member
     of_word = own[symbol]
-    slot = np.append(np.where((vocabulary.rank >= clustered) & (vocabulary.rank < clustered + assigned), vocabulary.rank - clustered, -1), -1)
-    slot[end] = -1
-    if (slot >= 0).any():
-        near = train.mapInArrow(lambda it: _contexts(it, vocabulary, of_word, slot, assigned, width), "slot bigint, near int, n bigint").groupBy("slot", "near").agg(F.sum("n").alias("n"))
-        near = near.toArrow()
-        sums = np.zeros((assigned, 2 * width))
-        sums[near["slot"].to_numpy(), near["near"].to_numpy()] = near["n"].to_numpy()
-        # One exchange step: the class whose neighbours explain the word's best.
-        smooth = table[:classes] + 0.1
-        ahead = np.log(smooth / smooth.sum(axis=1, keepdims=True))
-        smooth = table[:, :classes] + 0.1
-        behind = np.log(smooth / smooth.sum(axis=1, keepdims=True))
-        best = (sums[:, :width] @ behind + sums[:, width:] @ ahead.T).argmax(axis=1)
-        of_word = np.where(slot >= 0, best[slot], of_word)
-        got = train.mapInArrow(lambda it: _bigrams(it, vocabulary, of_word, width), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-        table = np.zeros(width * width)
-        table[got["pair"].to_numpy()] = got["n"].to_numpy()
-        table = table.reshape(width, width)
+    slot = np.append(np.where(vocabulary.rank < clustered, -2, np.where(vocabulary.rank < clustered + assigned, vocabulary.rank - clustered, -1)), -1)
+    # One exchange step: the class whose neighbours explain the word's best.
+    smooth = table[:classes] + 0.1
+    ahead = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T
+    smooth = table[:, :classes] + 0.1
+    behind = np.log(smooth / smooth.sum(axis=1, keepdims=True))
+    near = train.mapInArrow(lambda it: _contexts(it, vocabulary, of_word, slot, assigned, width), "word bigint, near binary")
+    classed = near.repartition("word").sortWithinPartitions("word").mapInArrow(lambda it: _assign(it, behind, ahead), "word bigint, n bigint, class int")
+    classed = scratch.save(classed, "classed")
+    top = classed.where("n > 1").orderBy(F.desc("n"), "word").limit(known).select("word", "class").toArrow()
+    at = vocabulary.find(top["word"].to_numpy())
+    chosen = np.append(of_word[:-1], classes + 1)
+    chosen[at[at >= 0]] = top["class"].to_numpy()[at >= 0]
+    chosen[end] = classes
+    mass = np.bincount(chosen[:-1][vocabulary.rank < clustered], vocabulary.count[vocabulary.rank < clustered], minlength=classes + 2)
+    if size and vocabulary.rank[end] >= clustered:
+        mass[classes] += vocabulary.count[end]
+    for r in classed.groupBy("class").agg(F.sum("n").alias("n")).collect():
+        mass[r["class"]] += r.n
+    emission = np.append(np.log10(vocabulary.count / np.maximum(mass[chosen[:-1]], 1)), 0.0)
+    return Classes(vocabulary, chosen, emission, mass, classes), classed
+
+
+def _smoothed(table: np.ndarray) -> np.ndarray:
+    """log10 of class transitions, Witten-Bell smoothed."""
+    width = len(table)
     prior = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * width)
     follow = table.sum(axis=1, keepdims=True)
     different = np.count_nonzero(table, axis=1)[:, None]
-    transition = np.where(follow > 0, (table + different * prior) / np.maximum(follow + different, 1), prior)
-    mass = np.bincount(of_word[:-1], vocabulary.count, minlength=width)
-    emission = np.append(np.log10(vocabulary.count / np.maximum(mass[of_word[:-1]], 1)), 0.0)
-    return Scorer(vocabulary, of_word, emission, np.log10(transition))
+    return np.log10(np.where(follow > 0, (table + different * prior) / np.maximum(follow + different, 1), prior))
