@@ -252,17 +252,17 @@ def fold(id_col: Column, folds: int) -> Column:
 
 
 def language_sample(labelled: DataFrame, text_col: str, lang_col: str, per_language: int) -> dict[str, list[str]]:
-    """At most ``per_language`` whole texts of each language, chosen by hash of the text."""
+    """At most ``per_language`` different whole texts of each language, chosen by hash of the text; copies count once."""
     labelled = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    counts = labelled.groupBy("lang").count()
-    share = F.least(F.lit(1.0), F.lit(1.5 * per_language) / F.col("count"))
-    rank = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
-    likely = labelled.join(F.broadcast(counts) if counts.limit(1001).count() <= 1000 else counts, "lang").where(rank < share)
-    first = likely.withColumn("k", F.expr("row_number() over (partition by lang order by xxhash64(text), text)")).where(F.col("k") <= per_language)
-    out: dict[str, list[str]] = {}
-    for row in first.select("lang", "text", "k").collect():
+    labelled = labelled.withColumn("h", F.xxhash64("text"))
+    chosen = labelled.select("lang", "h").distinct().withColumn("k", F.expr("row_number() over (partition by lang order by h)")).where(F.col("k") <= per_language)
+    few = labelled.select("lang").distinct().limit(1001).count() <= 1000
+    # Grouped by text, so tasks merge the copies before they send them.
+    first = labelled.join(F.broadcast(chosen) if few else chosen, ["lang", "h"]).select("lang", "text", "k").distinct()
+    out: dict[str, list[tuple[int, str]]] = {}
+    for row in first.collect():
         out.setdefault(row.lang, []).append((row.k, row.text))
-    return {lang: [t for _, t in sorted(texts)] for lang, texts in out.items()}
+    return {lang: [t for _, t in sorted(texts)[:per_language]] for lang, texts in out.items()}
 
 
 def identify_language(
