@@ -127,6 +127,28 @@ def test_html_extraction(spark, page):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title></head><body><form id=form1><article>{}</article></form></body></html>",
+        "<html><body><form><div><p>{}</p></div></form><footer>c</footer></body></html>",
+        "<html><body><div class=sidebar><main>{}</main></div></body></html>",
+        "<html><head><title>T</title><body><p>{}</p></body></html>",
+        "<html><head><meta charset=utf-8><noscript>n<body><p>{}</p></body></html>",
+        "<head><title>T</title><p>{}</p>",
+        "<head><title>T</title>{}",
+    ],
+)
+def test_html_text_in_wrappers(page):
+    words_ = " ".join(["word"] * 40)
+    assert html_text.main_text(page.format(words_), html_text.Weights()) == words_
+
+
+def test_html_forms_and_hidden_parts_stay_outside():
+    page = "<body><article>" + "word " * 40 + "<form>send this</form></article><div hidden><main>secret</main></div><aside class=related><article>other</article></aside></body>"
+    assert html_text.main_text(page, html_text.Weights()) == ("word " * 40).strip()
+
+
 @pytest.mark.parametrize("block", [200_000, 7])
 def test_decontamination(spark, block):
     rng, vocab = random.Random(5), vocabulary(5)

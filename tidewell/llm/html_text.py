@@ -34,6 +34,8 @@ PLAIN = frozenset("html body div section center table tbody tr td ul ol li".spli
 RAW = frozenset("script style textarea title".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())  # what a head may hold
+
 #: Containers that belong to a page but not to its article.
 NOT_ARTICLE = frozenset("nav aside footer form dialog menu".split())
 NOT_ARTICLE_NAMES = frozenset(
@@ -59,11 +61,26 @@ class Block:
     labelled: bool  # in an article or main element
 
 
+@dataclass
+class Container:
+    """An element that is no part of an article, unless what it holds shows that it wraps the page."""
+
+    form: bool  # left out only because it is a form
+    hidden: bool
+    words: int = 0
+    article: bool = False
+    main: bool = False
+
+    def outside(self, words: int) -> bool:
+        """Whether it is left out of a page of so many words."""
+        return self.hidden or not (self.main or self.form and (self.article or 2 * self.words > words))
+
+
 @dataclass
 class Element:
     tag: str
     names: frozenset
-    outside: bool
+    outside: tuple[Container, ...]
     labelled: bool
     silent: bool
 
@@ -96,17 +113,25 @@ def _attributes(raw: str) -> tuple[frozenset, str, bool]:
 def _element(tag: str, raw: str, parent: Element | None) -> Element:
     names, role, hidden = _attributes(raw)
     inside = parent is not None and parent.labelled
-    outside = bool(parent and parent.outside) or tag in NOT_ARTICLE or role in ROLES or hidden or (tag == "header" and not inside)
+    around = parent.outside if parent else ()
+    if tag in ("article", "main") and not any(c.hidden for c in around):
+        for c in around:
+            c.main |= tag == "main"
+            c.article |= tag == "article"
+    outside = tag in NOT_ARTICLE - {"form"} or role in ROLES or hidden or (tag == "header" and not inside)
     if tag not in ("html", "body", "main") and names & NOT_ARTICLE_NAMES:
         whole = names & ARTICLE_NAMES or tag == "article"
         outside |= bool(names & COMMENT_NAMES) if whole else not (names & {"header"} and inside and not names & (NOT_ARTICLE_NAMES - {"header"}))
-    return Element(tag, names, outside, inside or tag in ("article", "main"), bool(parent and parent.silent) or tag in SILENT)
+    if outside or tag == "form":
+        around += (Container(not outside, hidden),)
+    return Element(tag, names, around, inside or tag in ("article", "main"), bool(parent and parent.silent) or tag in SILENT)
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; tags before a block are counted with it."""
     stack: list[Element] = []
     out: list[Block] = []
+    around: list[tuple[Container, ...]] = []  # of each block
     parts: list[str] = []
     linked = tags = 0
 
@@ -119,7 +144,10 @@ def blocks(page: str) -> list[Block]:
             density = linked / max(1, len(text))
             features = {f"<{e.tag}>" for e in stack if e.tag not in INLINE and e.tag not in PLAIN} | {n for e in stack for n in e.names}
             features |= {"links:none" if not linked else "links:some" if density < 0.5 else "links:most"}
-            out.append(Block(text, frozenset(features), words, linked, tags, bool(top and top.outside), bool(top and top.labelled)))
+            out.append(Block(text, frozenset(features), words, linked, tags, False, bool(top and top.labelled)))
+            around.append(top.outside if top else ())
+            for c in around[-1]:
+                c.words += words
             tags = 0
         parts, linked = [], 0
 
@@ -146,10 +174,16 @@ def blocks(page: str) -> list[Block]:
                     del stack[depth:]
                 continue
             if tag == "br":
+                if stack and stack[-1].tag == "head":
+                    stack.pop()
                 parts.append(" ")
                 continue
             if block:
                 flush()
+            if tag == "body" or stack and stack[-1].tag == "head" and tag not in HEAD:
+                depth = next((i for i, e in enumerate(stack) if e.tag == "head"), None)
+                if depth is not None:
+                    del stack[depth:]
             if tag in CLOSES_P or tag in ("li", "td", "th", "tr", "dt", "dd"):
                 closed = {"p"} if tag in CLOSES_P else {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}.get(tag, {"td", "th"} | ({"tr"} if tag == "tr" else set()))
                 for i in range(len(stack) - 1, -1, -1):
@@ -166,11 +200,16 @@ def blocks(page: str) -> list[Block]:
                 at = end.end() if end else n
                 stack.pop()
         elif token[0] != "<" or token == "<":
+            if stack and stack[-1].tag == "head" and token.strip():
+                stack.pop()
             if not (stack and stack[-1].silent):
                 parts.append(token)
                 if any(e.tag == "a" for e in stack):
                     linked += len(token)
     flush()
+    total = sum(b.words for b in out)
+    for b, containers in zip(out, around):
+        b.outside = any(c.outside(total) for c in containers)
     return out
 
 
