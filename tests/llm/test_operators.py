@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import base_scores, components, fold, leaks, repeats, words
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewell.llm import brown, decontaminate, html_text, jaccard, langid, mixing, suffixes, urls, vptree, warc
 from tidewell.llm.components import components as connected
 from tidewell.llm.scratch import Scratch
+from tidewell.llm.words import slices, windows
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, node bigint, size bigint, id bigint"
 
@@ -64,6 +66,52 @@ def test_jaccard_components(spark, monkeypatch, hot):
     assert got == components(dict(rows))
 
 
+def exposed_pair():
+    """Two texts at 75 %, and filler that makes groups of 24 of their signatures hot, 8 of them of one text only."""
+    rng, vocab = random.Random(11), vocabulary(11, 3000)
+    w = text(rng, vocab, 68).split()
+    a, b = " ".join(w[:52]), " ".join(w)
+    part = next(slices(pa.array([a, b])))
+    value, bounds = jaccard.feature_sets(part, 5)
+    gram, of, first = windows(part, 5)
+    own = [{int(g): w[p : p + 5] for g, t, p in zip(gram, of, first) if t == k} for k in (0, 1)]
+    found = [set(), set()]
+    for sig, node, need in jaccard.signatures(value, bounds, 75):
+        for x, k, n in zip(sig.tolist(), node.tolist(), need.tolist()):
+            if n == 17:
+                found[k].add(x)
+    name = {int(jaccard.mix(jaccard.mix(np.array([g], jaccard.U) ^ jaccard.U(0x5851F42D4C957F2D)) + np.array([g], jaccard.U) + jaccard.U(3 << 40))[0]): g for g in own[1]}
+    both = [name[x] for x in sorted(found[0] & found[1])][:16]
+    only = [name[x] for x in sorted(found[1] - found[0])][:8]
+    return a, b, [own[1][g] for g in both + only]
+
+
+@pytest.mark.parametrize(("hot", "fillers"), [(64, 70), (2, 4)])
+def test_jaccard_keeps_links_of_sets_with_hot_groups(spark, monkeypatch, hot, fillers):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    a, b, grams = exposed_pair()
+    assert len(grams) == 24
+    rng, vocab = random.Random(12), vocabulary(12, 5000)
+    rows = [(0, a), (1, b)] + [(2 + i, f"{text(rng, vocab, 20)} {' '.join(grams[i % 24])} {text(rng, vocab, 23)}") for i in range(24 * fillers)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.ngram_jaccard_join(docs(spark, rows)).collect()}
+    assert got[1] == (64, 0)
+    assert got == components(dict(rows))
+
+
+@pytest.mark.parametrize("hot", [64, 3])
+def test_jaccard_sets_of_common_passages(spark, monkeypatch, hot):
+    """Texts put together from a few passages, with own words, consist almost only of hot features."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    rng, vocab = random.Random(13), vocabulary(13, 3000)
+    passages = [text(rng, vocab, 40) for _ in range(5)]
+    rows = []
+    for i in range(160):
+        mine = [p for p in passages if rng.random() < 0.7]
+        rows.append((i, f"{' '.join(mine)} {text(rng, vocab, rng.choice([0, 1, 3, 8, 15, 30]))}"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.ngram_jaccard_join(docs(spark, rows), rounds=0).collect()}
+    assert got == components(dict(rows))
+
+
 def test_jaccard_odd_tables(spark):
     assert jaccard.ngram_jaccard_join(docs(spark, [])).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)]

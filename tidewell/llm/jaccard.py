@@ -9,6 +9,11 @@ only the first ``k + 1 + h`` in hash order are enumerated. Similar sets of a ban
 then share ``h + 1`` signatures at least, whatever the other ``k`` are: the first
 ``h + 1`` they have in common rank within the first ``k + 1 + h`` of both.
 
+That needs more than ``k + h`` non-empty projections. Bands of up to FINE features
+therefore have 2 ** 64 partitions, so that every feature has its own; wider bands
+have as many partitions as features, of which 0.63 are used on average, and ``k + h``
+is under 0.4. So ``h + 1`` single partitions shared stand for one shared subset.
+
 A set whose size lies within the similarity of the next band is enumerated for
 that band too. A set with fewer than ``h + 1`` shared signatures is dropped before
 any pair is made; that rids the search of sets that only share a common passage.
@@ -35,7 +40,7 @@ from tidewell.llm.components import components
 from tidewell.llm.scratch import Scratch, small_batches
 from tidewell.llm.words import U, Slice, mix, signed, slices, windows
 
-LEAST_PARTS = 256
+FINE = 256  # bands that end here or below have a partition for every feature
 HUB_MEMBERS = 400  # texts that one task compares with one copy of a hub's text
 HUBS = 6  # that a set is compared with in each round but the first
 HOT = 64  # a group of more sets is hot
@@ -90,7 +95,7 @@ def signatures(value: np.ndarray, bounds: np.ndarray, percent: int) -> Iterator[
                 continue
             k = _most_differences(count[chosen], np.minimum(most[chosen], top - 1), percent)
             extra = int(low[b + up] // 4)
-            bits = int(np.log2(max(LEAST_PARTS, top)))
+            bits = 64 if top <= FINE else int(np.log2(top))
             where = np.repeat(np.arange(len(chosen)), count[chosen])
             start = np.repeat(bounds[chosen] - np.concatenate([[0], np.cumsum(count[chosen])[:-1]]), count[chosen])
             v = value[np.arange(len(where)) + start]
@@ -178,17 +183,32 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, pe
     return rows.mapInArrow(lambda it: _compare(it, size, percent), "a bigint, b bigint").distinct()
 
 
-def _pruned(rows: DataFrame) -> DataFrame:
-    """Without what no link needs, judged by the groups' present sizes.
+def _without_hot(rows: DataFrame) -> DataFrame:
+    """``rows(sig, node, need, size)`` less what no link needs, as ``(sig, node, band, need, hot, free)``.
+
+    Similar sets share ``need`` rows. A set with fewer than ``need`` hot rows shares
+    another row with every similar set, so its hot rows go and its need falls by
+    their number: of what a pair shares, no more is hot than either set's hot rows.
+    Other sets are ``free``: they keep their hot rows, of which their partners may
+    have dropped theirs. Hotness is settled here, once for all rows.
+    """
+    own = "over (partition by node, need)"
+    judged = rows.select("sig", "node", F.col("need").alias("band"), "need", (F.col("size") > HOT).alias("hot"))
+    judged = judged.select("*", F.expr(f"count(*) {own}").alias("n"), F.expr(f"count_if(hot) {own}").alias("n_hot")).where("n >= need")
+    kept = judged.select("*", (F.col("n_hot") >= F.col("need")).alias("free")).where("free or not hot")
+    return kept.withColumn("need", F.when(F.col("free"), F.col("need")).otherwise(F.col("need") - F.col("n_hot")).cast("int")).drop("n", "n_hot")
+
+
+def _still_open(rows: DataFrame) -> DataFrame:
+    """Without sets that have too few rows left for any link.
 
-    Similar sets share ``need`` of their rows. A set with fewer rows goes. A set
-    with fewer than ``need`` rows in hot groups shares another row with every
-    similar set, so its hot rows go, and its need falls by their number.
+    Rows leave only together with their group or with sets that have no link, so a
+    pair still shares what it did: two free sets ``need`` rows, a free set and
+    another at least one row that isn't hot, two others the larger of their needs.
     """
-    hot = F.count_if(F.col("size") > HOT)
-    enough = rows.groupBy("node", "need").agg(F.count("*").alias("n"), hot.alias("hot")).where("n >= need").drop("n")
-    kept = rows.join(enough, ["node", "need"]).where(f"hot >= need or size <= {HOT}")
-    return kept.withColumn("need", F.when(F.col("hot") < F.col("need"), F.col("need") - F.col("hot")).otherwise(F.col("need")).cast("int")).drop("hot")
+    own = "over (partition by node, band)"
+    judged = rows.select("*", F.expr(f"count(*) {own}").alias("n"), F.expr(f"count_if(not hot) {own}").alias("cold"))
+    return judged.where("n >= need or free and cold > 0").drop("n", "cold")
 
 
 def _features(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -208,13 +228,11 @@ def _features(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
 
 
 def _remaining_pairs(comp: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs of different components that can be similar, among the sets that are still open.
+    """Pairs whose comparison settles the components of the sets that are still open.
 
-    A similar pair shares ``percent`` of the larger set. A set with fewer features
-    than that in hot groups shares others with each similar set, so pairs are
-    counted over the groups that aren't hot. Sets that consist of hot features to
-    that degree meet in the features that come first in hash order: a set's first
-    ``s - percent * s + 1`` hold one of those that it shares.
+    A similar pair shares ``percent`` of the larger set. Pairs that share a feature
+    that isn't hot are counted over such features, whose groups hold HOT sets at
+    most. All others share hot features only: see ``_hot_pairs``.
     """
     nodes = comp.select("node", "comp").distinct().join(reps, "node").join(texts, "id").select("node", "comp", "text")
     rows = scratch.save(nodes.mapInArrow(lambda it: _features(it, size), "f bigint, node bigint, comp bigint, s int").dropDuplicates(["f", "node"]), "features")
@@ -227,8 +245,34 @@ def _remaining_pairs(comp: DataFrame, reps: DataFrame, texts: DataFrame, size: i
     # Of a pair at least so many features are shared, and at most the hot ones of either besides those counted.
     both = f"greatest(ceil({percent} * greatest(s, hub_s) / 100), ceil({percent} * (s + hub_s) / {100 + percent}))"
     counted = _pairs(rows.where(F.col("df") <= HOT)).groupBy("hub", "node").agg(F.count("*").alias("n"), F.first(F.expr(f"{both} - least(hot, hub_hot)")).alias("need"))
-    heavy = rows.where("need <= 0").withColumn("k", F.expr("row_number() over (partition by node order by f)")).where(f"k <= s - {least} + 1")
-    return counted.where("n >= need").select("hub", "node").union(_pairs(heavy).where(f"least(hot, hub_hot) >= {both}").select("hub", "node")).distinct()
+    return counted.where("n >= need").select("hub", "node").union(_hot_pairs(rows.where(f"need <= 0 and df > {HOT}"), percent, scratch)).distinct()
+
+
+def _hot_pairs(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs for sets that share hot features only, from those of ``rows(f, node, comp, s, df)``.
+
+    What such a pair shares is what their hot parts share, so the hot parts are
+    similar too. Sets with equal hot parts make a class, and the smallest of a
+    class stands for it: whatever links with a set of the class by hot features
+    alone links with the smallest as well. So members meet the smallest, and pairs
+    are made of classes only, by the rarest features of their hot parts; a class
+    pair that can link gives pairs of the members of one and the smallest of the other.
+    """
+    part = "struct(count(*) as h, bit_xor(xxhash64(f)) as x, bit_xor(xxhash64(f, 1L)) as y)"
+    named = rows.groupBy("node", "s").agg(F.expr(part).alias("part"))
+    least = named.groupBy("part").agg(F.min(F.struct("s", "node")).alias("low"))
+    named = scratch.save(named.join(least, "part").select("node", "s", F.col("part.h").alias("h"), F.col("low.node").alias("hub"), F.col("low.s").alias("hub_s")), "hot-parts")
+    enough = f"{100 + percent} * {{h}} >= {percent} * ({{a}} + {{b}})"
+    own = named.where("hub <> node").where(enough.format(h="h", a="s", b="hub_s")).select("hub", "node")
+    # Sets are similar only if their hot parts are, so a part's first h - least + 1 features hold a shared one.
+    standing = rows.join(named.where("hub = node").select("node", "h"), "node")
+    first = standing.withColumn("k", F.expr("row_number() over (partition by node order by df, f)")).where(f"k <= h - ceil({percent} * h / 100) + 1").select("f", "node", "h", "s")
+    other = first.select("f", F.col("node").alias("other"), F.col("h").alias("other_h"), F.col("s").alias("other_s"))
+    met = first.join(other, "f").where("node <> other").where(enough.format(h="least(h, other_h)", a="s", b="other_s")).select("node", "other").distinct()
+    across = named.select(F.col("hub").alias("of"), "node", "s", "h").join(met.withColumnRenamed("node", "of"), "of")
+    across = across.join(named.where("hub = node").select(F.col("node").alias("other"), F.col("h").alias("other_h"), F.col("s").alias("other_s")), "other")
+    across = across.where(enough.format(h="least(h, other_h)", a="s", b="other_s")).select(F.col("other").alias("hub"), "node")
+    return own.union(across)
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -265,17 +309,17 @@ def ngram_jaccard_join(
     group = "partition by sig"
     rows = rows.select("*", F.expr(f"min(node) over ({group}) <> max(node) over ({group})").alias("shared")).where("shared").drop("shared")
     rows = scratch.save(rows.dropDuplicates(["sig", "node"]), "shared")
-    open_rows = scratch.save(_pruned(rows.withColumn("size", F.expr(f"count(*) over ({group})"))).select("sig", "node", "need"), "open0")
+    open_rows = scratch.save(_without_hot(rows.withColumn("size", F.expr(f"count(*) over ({group})"))), "open0")
     scratch.drop("shared")
     reps = profile.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"))
     links = spark.range(0).selectExpr("id AS a", "id AS b")
     root = spark.range(0).selectExpr("id AS node", "id AS root")
     for k in range(rounds + 1):
-        comp = open_rows.join(root, "node", "left").select("sig", "node", "need", F.coalesce("root", "node").alias("comp"))
+        comp = open_rows.join(root, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         comp = comp.select("*", F.expr(f"min(comp) over ({group}) <> max(comp) over ({group})").alias("several"), F.expr(f"count(*) over ({group})").alias("size"))
-        comp = scratch.save(_pruned(comp.where("several").drop("several")), f"open{k + 1}")
+        comp = scratch.save(_still_open(comp.where("several").drop("several")), f"open{k + 1}")
         scratch.drop(f"open{k}")
-        open_rows = comp.select("sig", "node", "need")
+        open_rows = comp.drop("comp", "size")
         if comp.isEmpty():
             break
         pairs = _hub_pairs(comp, k) if k < rounds else _remaining_pairs(comp, reps, texts, size, percent, scratch)
