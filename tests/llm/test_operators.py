@@ -325,24 +325,37 @@ def test_language_sample_counts_copies_once(spark):
     assert {lang: (len(t), len(set(t))) for lang, t in got.items()} == {"aa": (50, 50), "bb": (20, 20)}
 
 
-@pytest.mark.parametrize(("shard", "block"), [(10_000, 2_000), (300, 7)])
-def test_nearest_neighbours(spark, shard, block):
+def nearest_by_hand(rows, k=5):
+    """(query id, vec id, cosine) in order for every query row; a row's own place is left out."""
+    from fractions import Fraction as Q
+
+    fine = [(n, i, [Q(x) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v and None not in v and all(np.isfinite(v)) and any(v)]
+    norm = {n: sum(x * x for x in v) for n, _, v in fine}
+    out = []
+    for n, i, v in fine:
+        if i % 50 == 0:
+            score = lambda m, w: (lambda d: (1 if d > 0 else -1) * float(d * d / (norm[n] * norm[m])) ** 0.5)(sum(x * y for x, y in zip(v, w)))
+            other = sorted((-round(score(m, w), 12), j) for m, j, w in fine if m != n and len(w) == len(v))[:k]
+            out += [(i, rank, j, -s) for rank, (s, j) in enumerate(other, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("shard", "size"), [(10_000, 16_000_000), (60, 200)])
+def test_nearest_neighbours(spark, shard, size):
     rng = np.random.default_rng(1)
-    v = rng.normal(size=(900, 8))
+    v = rng.normal(size=(400, 8))
     v[100:140] = v[100]
     rows = [(int(i), [float(np.float32(x)) for x in r]) for i, r in enumerate(v)]
-    odd = [(2000, None), (2050, [0.0] * 8), (2100, [float("nan")] * 8), (2101, [None] * 8), (2150, [1.0, 2.0]), (2151, [2.0, 4.0]), (None, [1.0] * 8), (2200, [])]
-    df = spark.createDataFrame([(*r, "x", 9) for r in rows + odd], "vec_id bigint, embedding array<double>, id string, rank int")
-    got = vptree.nearest_neighbours(df, df.where("vec_id % 50 = 0"), shard_rows=shard, query_rows=block).collect()
-    m = np.array([r[1] for r in rows])
-    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
-    for q in range(0, 900, 50):
-        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
-        cos = unit @ unit[q]
-        want = sorted((-round(float(cos[i]), 12), i) for i in range(900) if i != q)[:5]
-        assert [(-round(r.score, 12), r.vec_id) for r in mine] == want
-    assert [(r.query_id, r["rank"], r.vec_id) for r in got if r.query_id > 900] == [(2150, 1, 2151)]
+    rows += [(2000, None), (2050, [0.0] * 8), (2100, [float("nan")] * 8), (2101, [None] * 8), (2150, [1.0, 2.0]), (2151, [2.0, 4.0]), (None, [1.0] * 8), (2200, [])]
+    rows += [(50, rows[7][1]), (50, rows[9][1]), (200, rows[200][1])]  # ids that occur twice
+    for i, r in enumerate(rows[:30]):
+        rows.append((3000 + i, [x * 10.0 ** (20 * i - 290) for x in r[1][:6]]))  # finite, yet their squares are not
+    rows += [(4000, [1e200, -1e200, 1e-200]), (4050, [1e-200, 1e-200, 1e-210]), (4051, [5e-324, 0.0, 0.0]), (4052, [1.7e308, 1e308, 1e308])]
+    df = spark.createDataFrame([(*r, "x", 9, 1) for r in rows], "vec_id bigint, embedding array<double>, id string, rank int, place int")
+    got = vptree.nearest_neighbours(df, df.where("vec_id % 50 = 0"), shard_rows=shard, query_bytes=size).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 12)) for r in got) == nearest_by_hand(rows)
     assert vptree.nearest_neighbours(df.limit(0), df).count() == 0
+    assert vptree.nearest_neighbours(df, df.limit(0)).count() == 0
 
 
 def test_relaxed_pruning_keeps_recall(spark):
