@@ -156,6 +156,47 @@ def test_repeated_passages(spark):
     assert suffixes.passage_report(docs(spark, [])).count() == 0
 
 
+def test_columns_with_clashing_names(spark):
+    rows = families(3)[:60]
+    odd = "items,hit_words,n_words,name,block,_name,_hits,_items,_sha,_spans,_i,_t,spans,rest,cut,first_ids,t,pos,head,segment,run,a b".split(",")
+    df = docs(spark, rows).withColumns({c: F.lit(c) for c in odd}).withColumn("doc_id", F.col("doc_id").cast("int"))
+    items = spark.createDataFrame([(1, rows[0][1]), (2, rows[50][1])], "item_id bigint, text string")
+    want = leaks(dict(rows), [(1, rows[0][1]), (2, rows[50][1])])
+    for block in (200_000, 40):
+        got = decontaminate.find_contamination(df, items, block_patterns=block)
+        assert set(got.columns) == {*df.columns} - {"text"}
+        assert {r.doc_id: (r.n_words, r.hit_words, r["items"]) for r in got.collect()} == want
+    left = suffixes.remove_repeats(df)
+    assert left.columns == df.columns
+    gone = repeats(rows)
+    assert all(r[c] == c for r in left.collect() for c in odd)
+    assert sum(len(words(r.text)) for r in left.collect()) == sum(len(words(t)) for _, t in rows) - sum(w[1] for w in gone.values())
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 10, 300])
+def test_decontamination_windows_and_long_texts(spark, window):
+    rng, vocab = random.Random(9), ["aa", "b", "c", "dd", "é"]
+    items = [(k, text(rng, vocab, n)) for k, n in enumerate([window, window + 5, 2 * window, max(1, window - 1), 700])]
+    rows = [(k, f"{text(rng, vocab, 40)} {items[k % 5][1]} {text(rng, vocab, 300)}") for k in range(20)] + [(50, f"{text(rng, vocab, 20000)} {items[4][1]} zz")]
+    found = decontaminate.find_contamination(docs(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), window=window).collect()
+    assert {r.doc_id: (r.n_words, r.hit_words, r["items"]) for r in found} == leaks(dict(rows), items, window)
+
+
+def test_search_skips_most_words():
+    rng, vocab = random.Random(10), vocabulary(10, 5000)
+    runs = [" ".join(vocab[i : i + 10]) for i in range(0, 1000, 10)]
+    table = decontaminate.build([(0, r) for r in runs])[0]
+    part = next(slices(pa.array([text(rng, [f"x{i}" for i in range(5000)], 20000)])))
+    looked = []
+    real = decontaminate._block
+    decontaminate._block = lambda words_, end, length: looked.append(len(end)) or real(words_, end, length)
+    try:
+        decontaminate.possible_ends(part, table)
+    finally:
+        decontaminate._block = real
+    assert sum(looked) < 20000 / 7
+
+
 ARTICLE = "<p>First &eacute;t&eacute; words&nbsp;here of the <a href=x>story</a> told.</p><p>Second<br>para &amp; more.</p>"
 OUTER = '<nav><ul><li><a href=1>Home</a></li><li><a href=2>About</a></li></ul></nav><div class="ad">Buy this</div>{}<aside>Side things</aside><section class="comments"><p>Nice one, thanks a lot for it</p></section><footer>&copy; me</footer>'
 WANTED = "Title\nFirst été words here of the story told.\nSecond para & more."

@@ -2,13 +2,16 @@
 
 Patterns are runs of ``window`` item words. Symbols are words, blocks are pairs
 of words. For every block the shift table says how far the search may move on: a
-block that ends no pattern cannot be the end of an occurrence. All positions of a
-slice are looked up at once; those with shift zero go to the bucket of the pattern
-whose whole-run hash equals theirs, and the words are then compared directly.
+block that no pattern holds lets it skip a whole window less one word. Only where
+the shift is zero is the bucket of the patterns that end in this block looked up,
+narrowed by their first block; the words are then compared directly.
+
+Texts are cut into lanes of window ends, and all lanes of a slice move on at once,
+each by its own shifts, so a step of the search is a few vector operations.
 
 The pattern tables go to the executors with the task. Their size is bounded:
-patterns are taken ``block_patterns`` at a time, one pass over the documents for
-each block of patterns.
+patterns are taken ``block_patterns`` at a time, each in a job of its own that
+keeps its finds only.
 """
 
 from __future__ import annotations
@@ -20,46 +23,39 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from tidewell.llm.scratch import small_batches
-from tidewell.llm.words import ALNUM, U, Slice, mix, slices, up_powers
+from tidewell.llm.scratch import Scratch, packed, small_batches, unpacked
+from tidewell.llm.words import ALNUM, U, Slice, mix, slices
 
-SHIFT_BITS = 18
+SHIFT_BITS = (16, 24)  # of the table's size, at least and at most
+LANE = 128  # window ends that one lane of the search covers
 
 
 @dataclass
 class Patterns:
-    """Tables for the patterns of one length, sorted by run hash."""
+    """Tables for the patterns of one length, sorted by bucket."""
 
     length: int
-    shift: np.ndarray  # by block hash: words to move on, 0 where a pattern may end
-    run: np.ndarray  # sorted run hashes
+    bits: int
+    shift: np.ndarray  # by block slot: words to move on, 0 where a pattern may end
+    bucket: np.ndarray  # sorted hashes of last and first block
     words: list[bytes]  # the words of each, by one space
     items: list[list[int]]  # of each, the items that have it
 
 
-def _blocks(words: np.ndarray, length: int) -> np.ndarray:
-    """Table slot of the block that ends at each word."""
-    value = words.copy()
-    if length > 1:
-        value[1:] += mix(words[:-1] + U(7))
-        value[0] = 0
-    return (mix(value) >> U(64 - SHIFT_BITS)).astype(np.int64)
+def _block(words: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the block that ends at word ``end``: two words, or the word alone if patterns are of one."""
+    value = words[end]
+    return mix(value + mix(words[end - 1] + U(7))) if length > 1 else mix(value)
 
 
-def _run_hash(part: Slice, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Run hash and first word (in the slice) of all runs of ``length`` words inside one text."""
-    n = len(part.hash)
-    count = np.diff(part.at)
-    text = np.repeat(np.arange(part.n), count)
-    first = np.flatnonzero(np.arange(n) + length <= part.at[1:][text])
-    value = np.zeros(len(first), U)
-    for k, factor in enumerate(up_powers(length)):
-        value += mix(part.hash[first + k] + U(k * 2 + 1)) * factor
-    return mix(value), first
+def _bucket(words: np.ndarray, end: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+    """Hash of a window's last and first block."""
+    return mix(last ^ mix(_block(words, end - length + min(2, length), length) + U(3)))
 
 
-def build(items: list[tuple[int | None, str]], window: int) -> list[Patterns]:
+def build(items: list[tuple[int | None, str]]) -> list[Patterns]:
     """Pattern tables from (item id, words by one space) of every item window."""
     by_length: dict[int, dict[bytes, list[int]]] = {}
     for item, run in items:
@@ -70,36 +66,61 @@ def build(items: list[tuple[int | None, str]], window: int) -> list[Patterns]:
     out = []
     for length, runs in sorted(by_length.items()):
         texts = list(runs)
-        part_hash, shift = [], np.full(1 << SHIFT_BITS, max(1, length - 1), np.uint8)
+        bits = min(SHIFT_BITS[1], max(SHIFT_BITS[0], int(8 * length * len(texts)).bit_length()))
+        most = max(1, length - 1)
+        shift, bucket = np.full(1 << bits, most, np.int32), []
         for part in slices(pa.array([t.decode() for t in texts]), ALNUM, lower=False):
-            part_hash.append(_run_hash(part, length)[0])
-            block = _blocks(part.hash, length).reshape(part.n, length)
-            for end in range(min(1, length - 1), length):
-                np.minimum.at(shift, block[:, end], np.uint8(length - 1 - end))
-        run = np.concatenate(part_hash)
-        order = np.argsort(run)
-        out.append(Patterns(length, shift, run[order], [texts[i] for i in order], [sorted(set(runs[texts[i]])) for i in order]))
+            first = part.at[:-1]
+            for k in range(min(1, length - 1), length):
+                block = _block(part.hash, first + k, length)
+                np.minimum.at(shift, (block >> U(64 - bits)).astype(np.int64), length - 1 - k)
+            bucket.append(_bucket(part.hash, first + length - 1, block, length))
+        bucket = np.concatenate(bucket)
+        order = np.argsort(bucket)
+        out.append(Patterns(length, bits, shift, bucket[order], [texts[i] for i in order], [sorted(set(runs[texts[i]])) for i in order]))
     return out
 
 
+def possible_ends(part: Slice, t: Patterns) -> tuple[np.ndarray, np.ndarray]:
+    """Words at which a window may end, and their blocks: all others are skipped by shifts."""
+    first, last = part.at[:-1] + t.length - 1, part.at[1:]  # of each text, its window ends
+    lanes = np.maximum(0, -(-(last - first) // LANE))
+    text = np.repeat(np.arange(part.n), lanes)
+    start = first[text] + LANE * (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+    stop = np.minimum(start + LANE, last[text])
+    ends, blocks = [], []
+    while len(start):
+        block = _block(part.hash, start, t.length)
+        shift = t.shift[(block >> U(64 - t.bits)).astype(np.int64)]
+        zero = shift == 0
+        ends.append(start[zero])
+        blocks.append(block[zero])
+        start = start + np.maximum(shift, 1)
+        on = start < stop
+        start, stop = start[on], stop[on]
+    return (np.concatenate(ends), np.concatenate(blocks)) if ends else (np.zeros(0, np.int64), np.zeros(0, U))
+
+
 def occurrences(part: Slice, tables: list[Patterns]) -> Iterator[tuple[int, int, list[int]]]:
     """First word, length and items of every confirmed occurrence in a slice."""
     for t in tables:
-        run, first = _run_hash(part, t.length)
-        if not len(first):
+        end, block = possible_ends(part, t)
+        if not len(end):
             continue
-        ends = t.shift[_blocks(part.hash, t.length)[first + t.length - 1]] == 0
-        run, first = run[ends], first[ends]
-        left, right = np.searchsorted(t.run, run, "left"), np.searchsorted(t.run, run, "right")
-        for i in np.flatnonzero(right > left):
-            w = int(first[i])
+        bucket = _bucket(part.hash, end, block, t.length)
+        left = np.searchsorted(t.bucket, bucket, "left")
+        some = np.flatnonzero(t.bucket[np.minimum(left, len(t.bucket) - 1)] == bucket)
+        right = np.searchsorted(t.bucket, bucket[some], "right")
+        for i, upto in zip(some.tolist(), right.tolist()):
+            w = int(end[i]) - t.length + 1
             here = b" ".join(part.data[part.start[k] : part.end[k]].tobytes() for k in range(w, w + t.length))
-            for j in range(left[i], right[i]):
+            for j in range(int(left[i]), upto):
                 if t.words[j] == here:
                     yield w, t.length, t.items[j]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], tables: list[Patterns]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], tables: list[Patterns], every: bool = True) -> Iterator[pa.RecordBatch]:
+    """The columns but the last, which is the text, and its finds; unless ``every``, only texts with finds."""
     for batch in batches:
         hits: list[list[int]] = [[] for _ in range(batch.num_rows)]
         items: list[set[int]] = [set() for _ in range(batch.num_rows)]
@@ -115,7 +136,8 @@ def _scan(batches: Iterator[pa.RecordBatch], tables: list[Patterns]) -> Iterator
                 row = int(np.searchsorted(part.at, k, "right")) - 1
                 hits[part.first + row].append(k - int(part.at[row]))
         kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(counts), pa.array(hits, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], [*batch.schema.names[:-1], "n_words", "hit_words", "items"])
+        out = pa.RecordBatch.from_arrays([*kept, pa.array(counts), pa.array(hits, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], [*batch.schema.names[:-1], "n_words", "hit_words", "items"])
+        yield out if every else out.filter(pa.array([bool(h) for h in hits], pa.bool_()))
 
 
 def normalised_words(text: Column) -> Column:
@@ -140,34 +162,35 @@ def find_contamination(
     an item window, ``items`` the distinct ids of the items that occur, sorted.
     Null or wordless text: no words, no hits. A null item text has no windows; an
     item with a null id marks words but is in no list. Repeated rows repeat in the
-    result; an empty benchmark hits nothing.
+    result; an empty benchmark hits nothing. Columns of ``documents`` that bear the
+    new names are replaced.
+
+    A benchmark of more than ``block_patterns`` windows is searched for in several
+    jobs; finds meet their documents again by the text's SHA-256.
     """
-    small_batches(documents.sparkSession)
+    spark = documents.sparkSession
+    small_batches(spark)
     runs = item_windows(benchmark, item_id, item_text, window)
-    rest = [c for c in documents.columns if c != text_col]
-    ordered = documents.select(*rest, text_col)
-    total = runs.count()
-    blocks = max(1, -(-total // block_patterns))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields[:-1]), "n_words bigint, hit_words array<bigint>, items array<bigint>"])
+    new = [StructField("n_words", LongType()), StructField("hit_words", ArrayType(LongType())), StructField("items", ArrayType(LongType()))]
+    apart = (text_col, *(f.name for f in new))
+    rows = documents.select(packed(documents, *apart), F.col(f"`{text_col}`").alias("text"))
+    rest = unpacked(documents, *apart)
+    blocks = max(1, -(-runs.count() // block_patterns))
     if blocks == 1:
-        tables = build([(r.item, r.run) for r in runs.collect()], window)
-        return ordered.mapInArrow(lambda it: _scan(it, tables), schema)
-    # Each block of patterns passes over the text, which stays for the next one.
-    keyed = runs.withColumn("block", F.pmod(F.xxhash64("run"), F.lit(blocks)))
-    empty = F.array().cast("array<bigint>")
-    out = ordered.select(*rest, F.lit(0).cast("bigint").alias("n_words"), empty.alias("hit_words"), empty.alias("items"), text_col)
+        tables = build([(r.item, r.run) for r in runs.collect()])
+        found = rows.mapInArrow(lambda it: _scan(it, tables), StructType([rows.schema["rest"], *new]))
+        return found.select(*rest, "n_words", "hit_words", "items")
+    scratch = Scratch(spark, "decontaminate")
+    keyed = scratch.save(runs.withColumn("block", F.pmod(F.xxhash64("run"), F.lit(blocks))), "runs")
+    name = F.sha2(F.col("text").cast("binary"), 256).alias("name")
+    finds = None
     for b in range(blocks):
-        tables = build([(r.item, r.run) for r in keyed.where(F.col("block") == b).collect()], window)
-        out = out.mapInArrow(lambda it, t=tables: _merge(it, t), f"{schema}, `{text_col}` string")
-    return out.select(*rest, "n_words", "hit_words", "items")
-
-
-def _merge(batches: Iterator[pa.RecordBatch], tables: list[Patterns]) -> Iterator[pa.RecordBatch]:
-    """One more block of patterns: joins its finds to those of the blocks before."""
-    for batch in batches:
-        k = batch.num_columns
-        keep = pa.RecordBatch.from_arrays([batch.column(i) for i in [*range(k - 4), k - 1]], [*batch.schema.names[: k - 4], batch.schema.names[-1]])
-        for got in _scan(iter([keep]), tables):
-            columns = [got.column(i) for i in range(k - 4)]
-            both = [pa.array([sorted({*a, *b}) for a, b in zip(batch.column(k - 4 + i).to_pylist(), got.column(k - 4 + i).to_pylist())], pa.list_(pa.int64())) for i in (1, 2)]
-            yield pa.RecordBatch.from_arrays([*columns, got.column(k - 4), *both, batch.column(k - 1)], batch.schema.names)
+        tables = build([(r.item, r.run) for r in keyed.where(F.col("block") == b).collect()])
+        found = rows.select(name, "text").mapInArrow(lambda it, t=tables: _scan(it, t, every=False), StructType([StructField("name", StringType()), *new]))
+        found = scratch.save(found.drop("n_words").dropDuplicates(["name"]), f"block{b}")
+        finds = found if finds is None else finds.union(found)
+    both = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hit_words", "items")]
+    finds = finds.groupBy("name").agg(*both).withColumnsRenamed({"hit_words": "hits", "items": "found"})
+    counted = rows.select("rest", name, "text").mapInArrow(lambda it: _scan(it, []), StructType([rows.schema["rest"], StructField("name", StringType()), *new]))
+    none = F.array().cast("array<bigint>")
+    return counted.join(finds, "name", "left").select(*rest, "n_words", F.coalesce("hits", none).alias("hit_words"), F.coalesce("found", none).alias("items"))

@@ -13,7 +13,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python. Texts are long, so batches stay short.
 ARROW_ROWS = 1000
@@ -36,6 +37,16 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def packed(df: DataFrame, *apart: str) -> Column:
+    """All columns but those named as one struct column ``rest``, so that their names meet none used inside."""
+    return F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in df.columns if c not in apart)).alias("rest")
+
+
+def unpacked(df: DataFrame, *apart: str) -> list[Column]:
+    """The columns of ``df`` that ``packed(df, *apart)`` holds, under their names."""
+    return [F.col("rest").getField(c).alias(c) for c in df.columns if c not in apart]
+
+
 class Scratch:
     """Tables of one operator call. ``drop`` frees those that its result doesn't read."""
 

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from tidewell.llm.scratch import Scratch, small_batches
+from tidewell.llm.scratch import Scratch, packed, small_batches
 from tidewell.llm.words import _BASE, _BASE_INV, U, Slice, _powers, mix, signed, slices
 
 GRAM = 8
@@ -183,16 +184,15 @@ def passage_report(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without their removed words; the blanks after a removed word go with it."""
+    """Rows of (other columns, spans, text): texts without their removed words; the blanks after a removed word go with it."""
     for batch in batches:
-        spans, out = batch.column(batch.num_columns - 2).to_pylist(), []
-        texts = batch.column(batch.num_columns - 1)
+        spans, out = [covered(s or [], True) for s in batch.column(1).to_pylist()], []
+        texts = batch.column(2)
         for part in slices(texts, lower=False):
             for i in range(part.n):
-                row = part.first + i
-                gone = covered(spans[row] or [], True)
+                gone = spans[part.first + i]
                 if not gone:
-                    out.append(texts[row].as_py())
+                    out.append(texts[part.first + i].as_py())
                     continue
                 lo, hi = part.bounds[i], part.bounds[i + 1]
                 start = part.start[part.at[i] : part.at[i + 1]]
@@ -202,16 +202,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = start[e] if e < len(start) else hi
                 kept.append(part.data[at:hi])
                 out.append(np.concatenate(kept).tobytes().decode(errors="replace"))
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 2)), pa.array([bool(covered(s or [], True)) for s in spans]), pa.array(out, pa.string())], [*batch.schema.names[:-2], "cut", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bool(s) for s in spans]), pa.array(out, pa.string())], ["rest", "cut", "text"])
 
 
 def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
-    """``documents`` without the later occurrences of repeated passages, and without texts of which no word is left."""
+    """``documents`` without the later occurrences of repeated passages, and without texts of which no word is left.
+
+    First occurrences, in order of id, text hash and position, stay. Null, empty and
+    short texts stay as they are, as do all columns but ``text_col``, whatever their
+    names. Rows equal in id and text count as one document: each is cut alike and
+    none is another's copy. An empty table gives an empty result.
+    """
     spans = repeated_passages(documents, id_col=id_col, text_col=text_col, least=least)
-    spans = spans.select(F.col("id").alias("_i"), F.col("t").alias("_t"), "spans").withColumnRenamed("spans", "_spans")
-    joined = documents.join(spans, documents[id_col].cast("bigint").eqNullSafe(F.col("_i")) & (F.xxhash64(documents[text_col]) == F.col("_t")), "left")
-    rest = [f for f in documents.schema.fields if f.name != text_col]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "_cut boolean", "_text string"])
-    done = joined.select(*(documents[f.name] for f in rest), "_spans", documents[text_col]).mapInArrow(_cut, schema)
-    kept = done.where("not _cut or _text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return kept.withColumnRenamed("_text", text_col).select(*documents.columns)
+    spans = spans.select(F.col("id").alias("_span_id"), F.col("t").alias("_span_t"), F.col("spans").alias("_span_list"))
+    rows = documents.select(packed(documents, text_col), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    joined = rows.join(spans, F.col("id").eqNullSafe(F.col("_span_id")) & (F.xxhash64("text") == F.col("_span_t")), "left")
+    done = joined.select("rest", F.col("_span_list").alias("spans"), "text").mapInArrow(_cut, StructType([rows.schema["rest"], StructField("cut", BooleanType()), StructField("text", StringType())]))
+    kept = done.where("not cut or text rlike '[^\\x20\\x09-\\x0D]'")
+    return kept.select(*(F.col("text").alias(text_col) if c == text_col else F.col("rest").getField(c).alias(c) for c in documents.columns))
