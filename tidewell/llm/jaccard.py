@@ -116,11 +116,11 @@ def signatures(value: np.ndarray, bounds: np.ndarray, percent: int) -> Iterator[
 
 def _profile(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch.column(1)):
+        for part in slices(batch.column(2)):
             value, bounds = feature_sets(part, size)
             count = np.diff(bounds)
             node = pa.array(signed(identities(value, bounds)), mask=count == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.n), pa.array(count), node], ["id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(part.first, part.n) for i in (0, 1)), pa.array(count), node], ["id", "t", "n", "node"])
 
 
 def _signature_rows(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -284,15 +284,16 @@ def _pairs(rows: DataFrame) -> DataFrame:
 def ngram_jaccard_join(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, percent: int = 75, rounds: int = 1
 ) -> DataFrame:
-    """``(<id>, n_shingles, node, component_id)`` for each document.
+    """``(<id>, n_shingles, node, component_id, root, text_hash)`` for each document.
 
     Words are runs of non-blank bytes with A-Z lower-cased; a document's set holds
     its distinct runs of ``size`` words, or all its words as one run if it has
     fewer. Documents link when ``100 * |A and B| >= percent * |A or B|``.
     ``node`` names the set, so equal sets share it; ``component_id`` is the
-    smallest id that links lead to.
+    smallest id that links lead to, ``root`` the node that names the component, and
+    ``text_hash`` is xxhash64 of the text.
 
-    Null or wordless text: ``n_shingles`` 0, ``node`` null, linked with nothing.
+    Null or wordless text: ``n_shingles`` 0, ``node`` and ``root`` null, linked with nothing.
     A null id is never a component_id (unless no equal text has an id); a text that
     only null ids hold is tied to equal texts alone. Rows with one id and several
     texts are judged each by its text.
@@ -304,7 +305,8 @@ def ngram_jaccard_join(
     small_batches(spark)
     scratch = Scratch(spark, "jaccard")
     texts = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    profile = scratch.save(texts.mapInArrow(lambda it: _profile(it, size), "id bigint, n bigint, node bigint"), "profile")
+    profile = texts.select("id", F.xxhash64("text").alias("t"), "text").mapInArrow(lambda it: _profile(it, size), "id bigint, t bigint, n bigint, node bigint")
+    profile = scratch.save(profile, "profile")
     rows = texts.select("text").mapInArrow(lambda it: _signature_rows(it, size, percent), "sig bigint, node bigint, need int")
     group = "partition by sig"
     rows = rows.select("*", F.expr(f"min(node) over ({group}) <> max(node) over ({group})").alias("shared")).where("shared").drop("shared")
@@ -329,7 +331,7 @@ def ngram_jaccard_join(
         root = components(links, Scratch(spark, "jaccard-components"))
     named = profile.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
-    return named.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "id").alias("component_id"))
+    return named.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "id").alias("component_id"), "root", F.col("t").alias("text_hash"))
 
 
 def _hub_pairs(comp: DataFrame, k: int) -> DataFrame:
