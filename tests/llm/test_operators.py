@@ -1,6 +1,7 @@
 """Each operator against brute force, on small tables with nulls, ties, repeats, empties and clashing names."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -250,8 +251,7 @@ def test_decontamination(spark, block):
     assert {r.hit_words == [] for r in decontaminate.find_contamination(docs(spark, rows), bench.limit(0)).collect()} == {True}
 
 
-def test_mixing(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+def test_mixing(spark):
     rng, vocab = random.Random(2), vocabulary(2)
     rows = [(i, text(rng, vocab, rng.randint(1, 30)), "en", rng.choice(["a", "b", "b", "b", "b", "c", "d", None])) for i in range(600)]
     rows += [(1000, None, "en", "tiny"), (1001, "one two", "en", "tiny"), (1002, "", "en", "none")]
@@ -273,9 +273,29 @@ def test_mixing(spark, monkeypatch):
     for s, (_, t) in sources.items():
         assert t == pytest.approx(target[s])
         taken = sum(r.taken for r in got if r.source == s)
-        assert abs(taken - t) <= max([r.size for r in got if r.source == s], default=0)
-    assert all(r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0) for r in got)
-    assert sum(r.taken for r in got) <= total
+        assert abs(taken - t) < len(sources)
+    assert all(r.taken <= 3 * r.size for r in got)
+    assert sum(r.taken for r in got) == total
+    # The schedule by hand: every copy's finish time, sorted, cut at the budget.
+    pieces = []
+    for s, (size, t) in sources.items():
+        mine = sorted(((hashlib.md5(str(i).encode()).hexdigest(), i, len(words(x))) for i, x, _, o in rows if o == s))
+        at = 0
+        for copy in range(3):
+            for _, i, n in mine:
+                if n and at < t:
+                    first = max(0, min(n, math.floor(t) - at))
+                    whole = (at + n) / t
+                    pieces += [p for p in ((whole if first == n else 1.0, s is None, s or "", at, i, copy, first), (whole, s is None, s or "", at, i, copy, n - first)) if p[-1]]
+                at += n
+    at, mix = 0, []
+    for finish, _, s, _, i, copy, n in sorted(pieces):
+        if at < total:
+            mix.append((i, s or None, copy, finish, min(n, total - at), at))
+        at += n
+    assert [tuple(r) for r in mixing.mix_schedule(docs(spark, rows)).orderBy("at").collect()] == mix
+    taken = {r.doc_id: r.taken for r in got}
+    assert all(taken[i] == sum(p[4] for p in mix if p[0] == i) for i, *_ in rows)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs(spark, rows).repartition(7)).collect()))
     assert mixing.mix_sources(docs(spark, [])).count() == 0
 

@@ -1,89 +1,109 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every copy of a document has a virtual finish time: the words of its source up to
-and including it, in a shuffled order, divided by the source's target. The mix is
-the documents in order of that time, cut at the total budget.
+and including it, in a shuffled order, divided by the source's target. All copies
+are sorted by that time into ranges, their words are summed in that order, and the
+mix is cut where the total budget, all words of the corpus, is used up.
+
+The copy of a source that is being served at virtual time one, when every source
+has had its target, is split there. So a source misses its target by fewer words
+than there are sources.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.ranges import running
 from tidewell.llm.scratch import Scratch
 
-#: Documents that one window of running sums holds, about.
-BUCKET_ROWS = 2_000
-
 
 def word_count(text: Column) -> Column:
     """Runs of bytes other than space, tab, LF, VT, FF and CR; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def source_targets(sizes: DataFrame, weights: Column | None = None, repeats: int = 3) -> DataFrame:
-    """``(source, source_size, weight, target)`` from one row ``(source, source_size)`` per source.
+def _in_order(source: Column) -> list[Column]:
+    """Sources by code point, null last."""
+    return [source.isNull(), source]
+
+
+def source_targets(sizes: DataFrame, scratch: Scratch, weights: Column | None = None, repeats: int = 3) -> DataFrame:
+    """``(source, source_size, source_start, weight, target)`` from one row ``(source, source_size)`` per source.
 
     Sources in code-point order, null last, weigh 1, 2, 3, repeating, unless
-    ``weights`` says otherwise. A target is the source's share of all words by
-    weight, at most ``repeats`` times its size; what is cut off is shared again by
-    weight. In closed form: with the sources in order of size by weight, those
-    before a point are at their limit, the others share the rest evenly by weight.
+    ``weights`` says otherwise; ``source_start`` is the words of those before. A
+    target is the source's share of all words by weight, at most ``repeats`` times
+    its size; what is cut off is shared again by weight: with the sources in order
+    of size by weight, those before a point are at their limit, the others share
+    the rest evenly by weight.
+    """
+    ranked = running(sizes, _in_order(F.col("source")), {"nth": F.lit(1), "through": F.col("source_size")}, scratch, "ranked")
+    weight = weights if weights is not None else ((F.col("nth") - 1) % 3 + 1).cast("double")
+    weighed = ranked.select("source", "source_size", (F.col("through") - F.col("source_size")).alias("source_start"), weight.alias("weight"))
+    weighed = weighed.withColumn("limit", F.col("source_size") * repeats).withColumn("reach", F.col("limit") / F.col("weight"))
+    total = weighed.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights")).first()
+    rising = running(weighed, [F.col("reach"), *_in_order(F.col("source"))], {"limits": F.col("limit"), "weights": F.col("weight")}, scratch, "rising")
+    left = F.lit(total.words) - (F.col("limits") - F.col("limit"))
+    level = (left / (F.lit(total.weights) - (F.col("weights") - F.col("weight")))).alias("level")
+    share = rising.select("reach", level).where("level <= reach").agg(F.max("level")).first()[0]
+    return weighed.select("source", "source_size", "source_start", "weight", F.least(F.col("limit").cast("double"), F.lit(share) * F.col("weight")).alias("target"))
+
+
+def _placed(documents: DataFrame, scratch: Scratch, id_col: str, text_col: str, source_col: str, repeats: int) -> DataFrame:
+    """Each document with its row number, its source's figures and ``upto``, the source's words up to its end."""
+    docs = documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    docs = docs.withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    docs = running(docs, [*_in_order(F.col("source")), F.col("key"), F.col("id"), F.col("size")], {"row": F.lit(1), "through": F.col("size")}, scratch, "documents").drop("key")
+    sizes = scratch.save(docs.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    targets = source_targets(sizes, scratch, repeats=repeats).withColumnRenamed("source", "s")
+    joined = docs.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    return scratch.save(joined.withColumn("upto", F.col("through") - F.col("source_start")).drop("through", "source_start", "weight"), "placed")
+
+
+def _schedule(placed: DataFrame, scratch: Scratch, repeats: int) -> DataFrame:
+    """``(row, id, source, copy, finish, words, at)``: the pieces of the mix and where each begins in it."""
+    start = F.col("upto") - F.col("size") + F.col("copy") * F.col("source_size")
+    copies = placed.where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("start", start)
+    copies = copies.where("start < target").withColumn("served", F.expr("least(size, greatest(0, floor(target) - start))"))
+    finish = (F.col("start") + F.col("size")) / F.col("target")
+    piece = F.explode(F.array(
+        F.struct(F.when(F.col("served") == F.col("size"), finish).otherwise(F.lit(1.0)).alias("finish"), F.col("served").alias("words")),
+        F.struct(finish.alias("finish"), (F.col("size") - F.col("served")).alias("words")),
+    ))
+    pieces = copies.select("row", "id", "source", "copy", "start", piece.alias("piece")).select("row", "id", "source", "copy", "start", "piece.*").where("words > 0")
+    pieces = running(pieces, [F.col("finish"), *_in_order(F.col("source")), F.col("start")], {"upto": F.col("words")}, scratch, "schedule")
+    budget = placed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    cut = pieces.withColumn("at", F.col("upto") - F.col("words")).where(F.col("at") < budget)
+    return cut.withColumn("words", F.least(F.col("words"), F.lit(budget) - F.col("at"))).drop("upto", "start")
+
+
+def mix_schedule(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", repeats: int = 3) -> DataFrame:
+    """``(<id>, source, copy, finish, words, at)``: the mix itself, one row for each piece that it takes.
+
+    ``copy`` counts from 0; ``at`` is the number of words before the piece, so that
+    pieces in order of ``at`` follow one another without a gap.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    weighed = sizes.withColumn("weight", weights if weights is not None else ((F.row_number().over(order) - 1) % 3 + 1).cast("double"))
-    limit = F.col("source_size") * repeats
-    rising = Window.orderBy(limit / F.col("weight"), F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    level = weighed.select(
-        "*",
-        (limit / F.col("weight")).alias("reach"),
-        ((F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum(limit).over(rising), F.lit(0))) / (F.sum("weight").over(Window.partitionBy()) - F.coalesce(F.sum("weight").over(rising), F.lit(0.0)))).alias("level"),
-    )
-    share = F.max(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(Window.partitionBy())
-    return level.select("source", "source_size", "weight", F.least(limit.cast("double"), share * F.col("weight")).alias("target"))
+    scratch = Scratch(documents.sparkSession, "mixing")
+    pieces = _schedule(_placed(documents, scratch, id_col, text_col, source_col, repeats), scratch, repeats)
+    return pieces.select(F.col("id").alias(id_col), "source", "copy", "finish", "words", "at")
 
 
 def mix_sources(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", repeats: int = 3) -> DataFrame:
     """``(<id>, source, size, source_size, target, taken)`` for every document.
 
-    ``taken`` is the document's words in the mix, whole copies, at most ``repeats``.
-    A source's order is by md5 of the id, so reruns agree. Copies whose finish time
-    is at most one are taken, which fills each source to its target less a part of
-    one document; those next in time follow while the budget (all words) holds.
+    ``taken`` is the document's words in the mix: up to ``repeats`` copies, the last
+    of a source cut where the mix ends. A source's order is by md5 of the id, so
+    reruns agree. The mix holds as many words as the corpus.
 
     Null or wordless text: size 0, nothing taken. Null source: a source of its own,
-    last. Null ids sort first in their source; rows equal in id and size are told
-    apart by nothing and so are interchangeable. An empty table gives an empty
+    last. Null ids sort by the md5 of an empty text; rows equal in id and size are
+    told apart by nothing and so are interchangeable. An empty table gives an empty
     result; extra columns are ignored.
     """
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "mixing")
-    docs = documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    docs = docs.withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    docs = scratch.save(docs, "sizes")
-    buckets = max(1, docs.count() // BUCKET_ROWS)
-    digits = max(1, (buckets - 1).bit_length() + 3 >> 2)
-    docs = docs.withColumn("bucket", F.substring("key", 1, digits))
-    per_bucket = scratch.save(docs.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
-    targets = source_targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), repeats=repeats)
-    before = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size")
-    start = per_bucket.select("source", "bucket", before.alias("start"))
-    start = start.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    start = scratch.save(start.withColumnsRenamed({"source": "s", "bucket": "b"}), "starts")
-    placed = docs.join(start, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    within = Window.partitionBy("source", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("upto", F.col("start") + F.sum("size").over(within))
-    # Copy j of the document ends at upto + j * source_size words of its source.
-    whole = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.floor((F.col("target") - F.col("upto")) / F.col("source_size")) + 1)
-    placed = placed.withColumn("copies", F.greatest(F.lit(0), F.least(F.lit(repeats), whole)).cast("bigint"))
-    placed = scratch.save(placed, "placed")
-    taken = placed.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 0
-    left = (placed.agg(F.sum("size")).first()[0] or 0) - taken
-    # The documents next in time, while the budget holds: one of each source at a time.
-    ahead = placed.where((F.col("size") > 0) & (F.col("copies") < repeats)).select("source", "id", "size", "upto", F.expr("(upto + copies * source_size) / target").alias("finish"))
-    nearest = ahead.groupBy("source").agg(F.min(F.struct("finish", "upto", "size", "id")).alias("next")).select("source", "next.*")
-    running = F.sum("size").over(Window.orderBy("finish", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, 0))
-    more = nearest.withColumn("sum", running).where(F.col("sum") <= left).select(F.col("source").alias("s"), F.col("upto").alias("u"))
-    out = placed.join(more, F.col("source").eqNullSafe(F.col("s")) & (F.col("upto") == F.col("u")) & (F.col("size") > 0), "left")
-    words = F.col("size") * (F.col("copies") + F.when(F.col("u").isNotNull(), 1).otherwise(0))
-    return out.select(F.col("id").alias(id_col), "source", "size", F.col("source_size"), "target", words.alias("taken"))
+    scratch = Scratch(documents.sparkSession, "mixing")
+    placed = _placed(documents, scratch, id_col, text_col, source_col, repeats)
+    taken = _schedule(placed, scratch, repeats).groupBy("row").agg(F.sum("words").alias("taken")).withColumnRenamed("row", "r")
+    out = placed.join(taken, F.col("row") == F.col("r"), "left")
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))

@@ -125,19 +125,19 @@ u AS (
     CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ),
-c AS MATERIALIZED (
-  SELECT *, CASE WHEN size = 0 THEN 0 ELSE CAST(greatest(0, least(3, floor((target - upto) / source_size) + 1)) AS BIGINT) END AS copies FROM u
+r AS (
+  SELECT * FROM (SELECT source, upto, size, target, CAST(floor(target) AS BIGINT) AS goal, upto - size + j * source_size AS start FROM u, (SELECT unnest([0, 1, 2]) AS j))
+  WHERE size > 0 AND start < target
 ),
-a AS (
-  SELECT source, size, upto, (upto + copies * source_size) / target AS finish FROM c WHERE size > 0 AND copies < 3
+p AS (
+  SELECT source, upto, start, least(size, goal - start) AS words, CASE WHEN start + size <= goal THEN (start + size) / target ELSE 1.0 END AS finish FROM r WHERE start < goal
+  UNION ALL
+  SELECT source, upto, start, start + size - greatest(goal, start) AS words, (start + size) / target AS finish FROM r WHERE start + size > goal
 ),
-f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY source ORDER BY finish, upto) = 1),
-m AS (
-  SELECT source, upto FROM (SELECT *, sum(size) OVER (ORDER BY finish, source IS NULL, source ROWS UNBOUNDED PRECEDING) AS run FROM f)
-  WHERE run <= (SELECT sum(size) - sum(size * copies) FROM c)
-)
-SELECT c.doc_id, c.size, c.source_size, c.target, CAST(c.size * (c.copies + CASE WHEN m.upto IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS taken
-FROM c LEFT JOIN m ON m.source IS NOT DISTINCT FROM c.source AND m.upto = c.upto AND c.size > 0
+o AS (SELECT source, upto, words, sum(words) OVER (ORDER BY finish, source IS NULL, source, start ROWS UNBOUNDED PRECEDING) - words AS begun FROM p),
+m AS (SELECT source, upto, sum(least(words, budget - begun)) AS taken FROM o, (SELECT sum(size) AS budget FROM u) WHERE begun < budget GROUP BY source, upto)
+SELECT u.doc_id, u.size, u.source_size, u.target, CAST(coalesce(m.taken, 0) AS BIGINT) AS taken
+FROM u LEFT JOIN m ON m.source IS NOT DISTINCT FROM u.source AND m.upto = u.upto AND u.size > 0
 """
 
 WARC = """
