@@ -1,8 +1,10 @@
 """Each operator against brute force, on small tables with nulls, ties, repeats, empties and clashing names."""
 
+import gzip
 import hashlib
 import math
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -317,6 +319,48 @@ def test_warc_round_trip(spark):
     assert warc.warc_round_trip(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("slots", [1 << 20, 3, 1])
+def test_warc_records_and_responses(spark, tmp_path, monkeypatch, slots):
+    monkeypatch.setattr(warc, "SLOTS", slots)
+    rng, vocab = random.Random(6), vocabulary(6)
+    bodies = [text(rng, vocab, rng.choice([2, 250, 400])) for _ in range(20)]
+    pages = [(i, "u", bodies[rng.randrange(20)]) for i in range(150)] + [(7, "u", "q " * 700), (7, "u", "q " * 700), (None, "u", bodies[0])]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    path = f"file://{tmp_path}/a"
+    warc.write_warc(df, path)
+    got = warc.read_warc(spark, path).collect()
+    most = {h: max(i for i, _, g in pages if g == h and i is not None) for _, _, h in pages}
+    want = [(i, len(h), "revisit", most[h]) if len(h) >= 1000 and i is not None and i != most[h] else (i, len(h), "response", None) for i, _, h in pages]
+    assert sorted(((r.id, r.payload_bytes, r.record_type, r.refers_to) for r in got), key=str) == sorted(want, key=str)
+    # Every record is a gzip member of its own.
+    members = 0
+    for f in tmp_path.glob("a/*.warc.gz"):
+        data = f.read_bytes()
+        while data:
+            d = zlib.decompressobj(31)
+            record = d.decompress(data)
+            assert d.eof and record.startswith(b"WARC/1.0\r\n") and record.count(b"WARC-Type: ") == 1
+            data, members = d.unused_data, members + 1
+    assert members == len(pages)
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+
+    def record(kind, rid, block, more=b"", version=b"1.1"):
+        return b"WARC/" + version + b"\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:uuid:" + rid + b">\r\n" + more + b"Content-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    info = record(b"warcinfo", b"1", b"software: x\r\n", b"Content-Type: application/warc-fields\r\n")
+    page = record(b"response", b"2", http + b"body \r\n\r\nWARC/1.0\r\nWARC-Type: response\r\n\r\n end", b"Content-Type: application/http; msgtype=response\r\nWARC-Target-URI: http://a/\r\n", b"1.0")
+    cut = record(b"response", b"3", http + b"x" * 500, b"Content-Type: application/http\r\n")[:-300]
+    (tmp_path / "a.warc").write_bytes(info + page + cut)
+    (tmp_path / "b.warc").write_bytes(page)
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(info) + gzip.compress(page))
+    got = sorted((r.record_id[-2], r.record_type, bytes(r.payload), r.cut, r.id) for r in warc.read_warc(spark, f"file://{tmp_path}").collect())
+    body = b"body \r\n\r\nWARC/1.0\r\nWARC-Type: response\r\n\r\n end"
+    assert got == [("1", "warcinfo", b"software: x\r\n", False, None)] * 2 + [("2", "response", body, False, None)] * 3 + [("3", "response", b"x" * 204, True, None)]
+
+
 def test_brown_scores(spark):
     rng = random.Random(4)
     parts = [vocabulary(k, 150) for k in range(3)]
