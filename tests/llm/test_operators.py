@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -445,6 +446,71 @@ def nearest_by_hand(rows, k=5):
     return sorted(out)
 
 
+def kneser_ney_by_hand(texts, order):
+    """p(character | those before it in its word) from nested dictionaries, interpolated over all orders."""
+    counts = [{} for _ in range(order)]
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            padded = f" {w} "
+            for end in range(1, len(padded)):
+                for m in range(min(order, end + 1)):
+                    g = padded[end - m : end + 1]
+                    counts[m][g] = counts[m].get(g, 0) + 1
+    used = []
+    for m in range(order):
+        table = {}
+        for g, n in counts[m].items():
+            kinds = len({h[0] for h in counts[m + 1] if h[1:] == g}) if m < order - 1 else n
+            table[g] = n if m == order - 1 or m > 0 and g[0] == " " else kinds or n
+        used.append(table)
+
+    def p(gram):
+        m = len(gram) - 1
+        table, context = used[m], gram[:-1]
+        mine = [n for g, n in table.items() if g[:-1] == context]
+        lower = p(gram[1:]) if m else None
+        if not m:
+            lower = langid.UNSEEN + (1 - langid.UNSEEN) / (len(used[0]) + 1)
+            if gram not in table:
+                return discount(0) * len(mine) / sum(mine) * langid.UNSEEN
+        if not mine:
+            return lower
+        d = discount(m)
+        return max(table.get(gram, 0) - d, 0) / sum(mine) + d * len(mine) / sum(mine) * lower
+
+    def discount(m):
+        one, two = (sum(n == k for n in used[m].values()) for k in (1, 2))
+        return min(0.95, max(0.1, one / (one + 2 * two))) if one + two else 0.5
+
+    return p
+
+
+def test_kneser_ney_against_dictionaries():
+    rng = random.Random(14)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(n))
+    samples = {"xx": [make("abcde", 40) for _ in range(4)], "yy": [make("cdefg", 40) for _ in range(4)]}
+    model = langid.train(samples, order=3)
+    texts = [make("abcdefg", 30), "Abc, bad-dab 12 gfe", "", None, "zzz", "a"]
+    total, _, n = langid.score_texts(texts, model)
+    for k, lang in enumerate(model.languages):
+        p = kneser_ney_by_hand(samples[lang], 3)
+        for i, t in enumerate(texts):
+            grams = [f" {w} "[max(0, e - 2) : e + 1] for w in re.findall(r"[^\W\d_]+", (t or "").lower()) for e in range(1, len(w) + 2)]
+            assert n[i] == len(grams)
+            assert total[i, k] == pytest.approx(sum(math.log(p(g)) for g in grams), rel=1e-4), (lang, t)
+
+
+def test_long_texts_are_scored_by_pieces():
+    rng = random.Random(15)
+    samples = {"xx": ["".join(rng.choice("abcde ") for _ in range(400)) for _ in range(6)]}
+    model = langid.train(samples)
+    long = "".join(rng.choice("abcde, ") for _ in range(50_000))
+    whole, small = langid.score_texts([long, "ab", None], model), langid.score_texts([long, "ab", None], model, size=700)
+    for a, b in zip(whole, small):
+        assert np.allclose(a, b)
+    assert langid.score_texts(["ab" * 100_000], model, size=1000)[2][0] >= 200_001
+
+
 @pytest.mark.parametrize(("shard", "size"), [(10_000, 16_000_000), (60, 200)])
 def test_nearest_neighbours(spark, shard, size):
     rng = np.random.default_rng(1)

@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.scratch import small_batches
 
 TAG_COST = 0.2
 MOST = 2.0  # bound of a word's score either way
@@ -277,7 +276,6 @@ def extract_text(pages: DataFrame, *, html_col: str = "html", training: DataFram
     Repeated rows repeat; an empty table gives an empty result; other columns stay,
     except ones named text or n_chars, which are replaced.
     """
-    small_batches(pages.sparkSession)
     weights = learn(labelled_sample(pages if training is None else training, html_col, sample))
     rest = [f for f in pages.schema.fields if f.name not in (html_col, "text", "n_chars")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "text string, n_chars bigint"])

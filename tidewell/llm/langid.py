@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.scratch import small_batches
 from tidewell.llm.words import U, mix
 
 SPACE = 32
 UNSEEN = 1e-7  # share of the mass for characters that no training word has
+PIECE = 250_000  # characters that are scored at once
+LONGEST = 100_000  # characters of a text that teaches
+MOST_LETTERS = 10_000  # of one word that are looked through for a cut
 SPREAD = 6.0  # standard deviations from the calibration mean that are accepted in any case
 FOREIGN = 0.75  # share of the way from own to foreign calibration texts that is accepted too
 
@@ -149,11 +151,54 @@ def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
 _ALPHA: list[np.ndarray] = []
 
 
-def score_texts(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log probability by language, its sum of squares by symbol, and symbols, of each text."""
+def pieces(text: str, size: int) -> Iterator[str]:
+    """A lower-cased text in pieces of ``size`` characters at most, cut before a character that is no letter.
+
+    Where MOST_LETTERS letters stand before a cut, it parts them.
+    """
+    at = 0
+    while len(text) - at > size:
+        cut = at + size
+        while cut > at + size - MOST_LETTERS and text[cut].isalpha():
+            cut -= 1
+        cut = at + size if text[cut].isalpha() else cut
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def score_texts(texts: list[str | None], model: Model, size: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probability by language, its sum of squares by symbol, and symbols, of each text.
+
+    Texts are scored ``size`` characters at a time, longer ones by pieces.
+    """
+    shape = (len(texts), len(model.languages))
+    total, squares, symbols = np.zeros(shape), np.zeros(shape), np.zeros(len(texts), np.int64)
+    held: list[str] = []
+    of: list[int] = []
+
+    def flush() -> None:
+        for sums, part in zip((total, squares, symbols), _scored(held, model)):
+            np.add.at(sums, of, part)
+        held.clear()
+        of.clear()
+
+    waiting = 0
+    for i, t in enumerate(texts):
+        for part in pieces((t or "").lower(), size):
+            if held and waiting + len(part) > size:
+                flush()
+                waiting = 0
+            held.append(part)
+            of.append(i)
+            waiting += len(part)
+    flush()
+    return total, squares, symbols
+
+
+def _scored(lowered: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not _ALPHA:
         _ALPHA.append(_letters())
-    lowered = [(t or "").lower() for t in texts]
     sizes = np.array([len(t) for t in lowered], np.int64)
     codes = np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), np.uint32)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -166,7 +211,7 @@ def score_texts(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.n
     end = np.flatnonzero(inner & (~letter[2:] | cut[1:])) + 1 if len(codes) else np.zeros(0, np.int64)
     languages = len(model.languages)
     if not len(start):
-        return np.zeros((len(texts), languages)), np.zeros((len(texts), languages)), np.zeros(len(texts), np.int64)
+        return np.zeros((len(lowered), languages)), np.zeros((len(lowered), languages)), np.zeros(len(lowered), np.int64)
     # Each different word is scored once.
     scrambled = mix(codes.astype(U) + U(1))
     total = np.zeros(len(codes) + 1, U)
@@ -214,7 +259,9 @@ def _score_spots(flat: np.ndarray, spot: np.ndarray, depth: np.ndarray, model: M
         value[here[found]] += model.logp[m][at[found]]
         open_[here[found]] = False
         missing = here[~found]
-        if len(missing) and m:
+        if len(missing) and not m and len(model.back[0]):
+            value[missing] += model.back[0][0]
+        elif len(missing) and m:
             at, known = _find(model.back_keys[m], gram_hash([c[~found] for c in codes[:-1]]))
             value[missing[known]] += model.back[m][at[known]]
     value[open_] += math.log(UNSEEN)
@@ -251,9 +298,14 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def language_sample(labelled: DataFrame, text_col: str, lang_col: str, per_language: int) -> dict[str, list[str]]:
-    """At most ``per_language`` different whole texts of each language, chosen by hash of the text; copies count once."""
+def language_sample(labelled: DataFrame, text_col: str, lang_col: str, per_language: int, longest: int = LONGEST) -> dict[str, list[str]]:
+    """At most ``per_language`` different whole texts of each language, chosen by hash of the text; copies count once.
+
+    Texts of over ``longest`` characters don't teach, unless a language has no other.
+    """
     labelled = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    size = labelled.groupBy("lang").agg(F.min(F.length("text")).alias("least")).withColumnRenamed("lang", "l")
+    labelled = labelled.join(size.where(F.col("least") > longest), F.col("lang") == F.col("l"), "left").where((F.length("text") <= longest) | (F.length("text") == F.col("least"))).select("text", "lang")
     labelled = labelled.withColumn("h", F.xxhash64("text"))
     chosen = labelled.select("lang", "h").distinct().withColumn("k", F.expr("row_number() over (partition by lang order by h)")).where(F.col("k") <= per_language)
     few = labelled.select("lang").distinct().limit(1001).count() <= 1000
@@ -271,7 +323,8 @@ def identify_language(
     """``documents`` with ``lang_pred, score, entropy, rejected``; the text stays.
 
     Models are fitted on ``per_language`` whole texts of each language of
-    ``labelled`` at most. ``lang_pred`` is the language of lowest cross-entropy per
+    ``labelled`` at most, none of over LONGEST characters unless a language has
+    only such. A word of over 10,000 letters may count as several. ``lang_pred`` is the language of lowest cross-entropy per
     symbol, ``und`` for a null text or one without a letter; ``score`` (0 to 1) is
     its share against the other languages, ``rejected`` whether the text is ``und``
     or its cross-entropy lies beyond what calibration texts show: more than SPREAD
@@ -280,7 +333,6 @@ def identify_language(
     Repeated rows repeat; an empty table gives an empty result; other columns,
     also ones that bear the new names, are replaced only by the new ones.
     """
-    small_batches(documents.sparkSession)
     model = train(language_sample(labelled, train_text, train_lang, per_language), order)
     new = ("lang_pred", "score", "entropy", "rejected")
     rest = [f for f in documents.schema.fields if f.name != text_col and f.name not in new]

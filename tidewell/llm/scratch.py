@@ -16,9 +16,6 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python. Texts are long, so batches stay short.
-ARROW_ROWS = 1000
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate data; sets one only if none is set."""
@@ -77,10 +74,3 @@ def row_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small unless the session already does."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(ARROW_ROWS))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from tidewell.llm.scratch import Scratch, packed, small_batches
+from tidewell.llm.scratch import Scratch, packed
 from tidewell.llm.words import _BASE, _BASE_INV, U, Slice, _powers, mix, signed, slices
 
 GRAM = 8
@@ -129,7 +129,6 @@ def repeated_passages(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     ignored. Runs are compared by 64-bit hashes.
     """
     spark = documents.sparkSession
-    small_batches(spark)
     scratch = Scratch(spark, "suffixes")
     texts = documents.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where("text is not null")
     rows = texts.mapInArrow(lambda it: _suffixes(it, least), "id bigint, t bigint, pos int, n int, head bigint, segment bigint")
