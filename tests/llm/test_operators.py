@@ -7,13 +7,14 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from brute import base_scores, components, fold, leaks, repeats, words
 from pyspark.sql import functions as F
 
-from tidewell.llm import brown, decontaminate, html_text, jaccard, langid, mixing, suffixes, urls, vptree, warc
+from tidewell.llm import brown, decontaminate, html_text, jaccard, langid, mixing, oracles, queries, suffixes, urls, vptree, warc
 from tidewell.llm.components import components as connected
 from tidewell.llm.scratch import Scratch
 from tidewell.llm.words import slices, windows
@@ -147,6 +148,30 @@ def test_url_filter(spark):
     assert urls.url_filter(df.limit(0), RULES).count() == 0
 
 
+@pytest.mark.parametrize("compiled", [50, 0])
+def test_url_filter_on_linked_pages_against_sql(spark, tmp_path, monkeypatch, compiled):
+    """A few hundred pages with all kinds of links, by the query's SQL."""
+    monkeypatch.setattr(urls, "COMPILED_RULES", compiled)
+    rng = random.Random(16)
+    hosts = ["a.example.org", "example.org", "x.com", "Y.com", "b.net", "c.net", "org", "sub.b.net"]
+    paths = ["", "/", "/es/1", "/en/12", "/en/2", "/fr/a", "/de/b", "/q/r/s", "/q/r/t?u=1"]
+    url = lambda: f"{rng.choice(['http', 'https', 'HTTP'])}://{rng.choice([*hosts, *(f'p{rng.randrange(300)}.net' for _ in range(20))])}{rng.choice(paths)}{rng.choice(['', '#f'])}"
+    link = lambda: rng.choice([url(), url(), rng.choice(paths), "../de/b", "../../fr/a", "./s", "t", "..", "mailto:x", "//x.com/de/b", "?q=1&amp;r=2", "a/./b/../c"])
+    make = [
+        lambda: f'<link rel="canonical" href="{link()}">', lambda: f"<LINK data-href='/no' HREF='{link()}' rel=canonical>", lambda: f'<meta http-equiv=refresh content="0;url={link()}">',
+        lambda: f'<meta http-equiv="Refresh" content="3; URL={link()}"><link rel="canonical" href="{link()}">', lambda: "<p>canonical</p>", lambda: None,
+    ]
+    rows = [(i, rng.choice([url(), url(), url(), url(), None, "no url"]), rng.choice(make)()) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/pages")
+    want = duckdb.sql(oracles.URLS.replace("FROM pages", f"FROM '{tmp_path}/pages/*.parquet'")).fetchall()
+    got = [tuple(r) for r in urls.url_filter(df, queries.URL_RULES).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert sum(r[3] is None and r[4] == "block" for r in got) > 2
+    many = spark.createDataFrame([(v, h, p) for v, h, p in queries.URL_RULES] + [("block", f"h{i}.com", "/") for i in range(2000)], "verdict string, host string, path string")
+    assert sorted(map(str, (tuple(r) for r in urls.url_filter(df, many).collect()))) == sorted(map(str, want))
+
+
 def test_repeated_passages(spark):
     rows = [*families(3), (None, "x y z " * 40), (900, "x y z " * 30), (901, "p q " * 60)]
     want = repeats(rows)

@@ -41,12 +41,16 @@ _HOST = "coalesce(translate(regexp_extract(" + _REST + ", '^[^/?#]*'), 'ABCDEFGH
 _PATH = "coalesce(regexp_extract(" + _REST + ", '^[^/?#]*([^?#]*)', 1), '')"
 _HEAD = "regexp_extract(url, '^[^/?#]*://[^/?#]*')"
 
+_PARTS = "'^([^/?#]*://[^/?#]*)([^?#]*)(.*)$'"
+_STEPS = f"list_reduce(string_split(regexp_extract(goal, {_PARTS}, 2), '/')[2:], lambda done, x: CASE WHEN x = '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN x = '.' THEN done ELSE done || '/' || x END, '')"
+_NO_DOTS = f"CASE WHEN regexp_matches(regexp_extract(goal, {_PARTS}, 2), '/[.][.]?(/|$)') THEN regexp_extract(goal, {_PARTS}, 1) || {_STEPS} || CASE WHEN regexp_matches(regexp_extract(goal, {_PARTS}, 2), '/[.][.]?$') THEN '/' ELSE '' END || regexp_extract(goal, {_PARTS}, 3) ELSE goal END"
+
 URLS = f"""
 WITH RECURSIVE found AS (
   SELECT url,
     unnest([
-      regexp_extract(regexp_extract(html, '(?i)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?i)\\bhref\\s*=\\s*["'']?([^\\s>"'']+)', 1),
-      regexp_extract(regexp_extract(html, '(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?i)\\burl\\s*=\\s*["'']?([^\\s>"'';]+)', 1)
+      regexp_extract(regexp_extract(html, '(?i)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>'), '(?i)[\\s"'']href\\s*=\\s*["'']?([^\\s>"'']+)', 1),
+      regexp_extract(regexp_extract(html, '(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?i)[\\s"'';]url\\s*=\\s*["'']?([^\\s>"'';]+)', 1)
     ]) AS raw
   FROM pages
 ),
@@ -59,7 +63,8 @@ target AS (
     ELSE {_HEAD} || CASE WHEN regexp_replace({_PATH.format("url")}, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace({_PATH.format("url")}, '[^/]*$', '') END || t END AS goal
   FROM (SELECT url, replace(raw, '&amp;', '&') AS t FROM found WHERE raw <> '')
 ),
-l AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT {_KEY.format("url")} AS a, {_KEY.format("goal")} AS b FROM target) WHERE a <> b),
+plain AS (SELECT url, {_NO_DOTS} AS goal FROM target),
+l AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT {_KEY.format("url")} AS a, {_KEY.format("goal")} AS b FROM plain) WHERE a <> b),
 e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r(node, seen) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
 ruled AS (SELECT node, min(split_part({_rule(_HOST.format("seen"), _PATH.format("seen"))}, ' ', 1)) AS theirs FROM r GROUP BY node),

@@ -17,10 +17,10 @@ from tidewell.llm.scratch import Scratch
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-HREF = r"""(?i)\bhref\s*=\s*["']?([^\s>"']+)"""
-REFRESH_URL = r"""(?i)\burl\s*=\s*["']?([^\s>"';]+)"""
-#: The rule list is compiled into one expression, so it must stay short.
-MOST_RULES = 500
+HREF = r"""(?i)[\s"']href\s*=\s*["']?([^\s>"']+)"""
+REFRESH_URL = r"""(?i)[\s"';]url\s*=\s*["']?([^\s>"';]+)"""
+#: A list of so many rules is compiled into one expression; a longer one is joined by host.
+COMPILED_RULES = 50
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -42,8 +42,6 @@ def path_of(url: Column) -> Column:
 
 def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """The longest rule (host and path together) that fits, as a struct, or null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
 
     def fits(r: Rule) -> Column:
@@ -54,6 +52,38 @@ def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.coalesce(*tests) if tests else F.lit(None).cast(kind)
 
 
+def with_rules(urls: DataFrame, rules: DataFrame | Sequence[Rule]) -> DataFrame:
+    """``urls(host, path, ...)`` with ``hit``, the struct of rule and verdict of the longest rule that fits, or null.
+
+    A rule table ``(verdict, host, path)`` may be of any size. Each different host
+    and path meets the rules of its host and of the domains above it, so a URL row
+    is shuffled once and a host gives no more rows than it has labels. Of equal
+    rules with both verdicts, allow counts.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= COMPILED_RULES:
+            return urls.withColumn("hit", matched_rule(F.col("host"), F.col("path"), rules))
+        rules = urls.sparkSession.createDataFrame(list(rules), "verdict string, host string, path string")
+    listed = rules.select("verdict", F.col("host").alias("domain"), F.col("path").alias("start"))
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = urls.select("host", "path").distinct().withColumn("domain", F.explode(above))
+    fits = asked.join(listed, "domain").where(F.startswith("path", "start"))
+    rule = F.concat("domain", "start")
+    best = fits.groupBy("host", "path").agg(F.min(F.struct((-F.length(rule)).alias("n"), "verdict", rule.alias("rule"))).alias("best"))
+    best = best.select(F.col("host").alias("h"), F.col("path").alias("p"), F.struct("best.rule", "best.verdict").alias("hit"))
+    return urls.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").drop("h", "p")
+
+
+def without_dots(url: Column) -> Column:
+    """An absolute URL with the segments ``.`` and ``..`` of its path resolved."""
+    head, path, rest = (F.regexp_extract(url, "^([^/?#]*://[^/?#]*)([^?#]*)(.*)$", k) for k in (1, 2, 3))
+    steps = F.split(path, "/")
+    step = lambda done, x: F.when(x == "..", F.regexp_replace(done, "/[^/]*$", "")).when(x == ".", done).otherwise(F.concat(done, F.lit("/"), x))
+    found = F.concat(F.aggregate(F.slice(steps, 2, F.greatest(F.lit(0), F.size(steps) - 1)), F.lit(""), step), F.when(path.rlike("/[.][.]?$"), "/").otherwise(""))
+    return F.when(path.rlike("/[.][.]?(/|$)"), F.concat(head, found, rest)).otherwise(url)
+
+
 def url_key(url: Column) -> Column:
     """The URL as a node: no fragment, scheme and host lower-cased; null without ``://``."""
     whole = F.regexp_extract(url, "^[^#]*", 0)
@@ -71,7 +101,7 @@ def _resolved(parts: DataFrame) -> DataFrame:
         .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
         .otherwise(F.concat("head", F.when(F.col("folder") == "", "/").otherwise(F.col("folder")), link))
     )
-    return parts.select("a", whole.alias("to")).select("a", url_key(F.col("to")).alias("b"))
+    return parts.select("a", whole.alias("to")).select("a", without_dots(F.col("to")).alias("to")).select("a", url_key(F.col("to")).alias("b"))
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -88,11 +118,12 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def url_filter(
-    pages: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None
+    pages: DataFrame, rules: DataFrame | Sequence[Rule], *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None
 ) -> DataFrame:
     """``(<id>, host, path, rule, verdict)`` for every page.
 
-    ``rules`` are (allow or block, host, path): a rule fits its host and all
+    ``rules`` are (allow or block, host, path), in a list or a table of any size
+    with the columns ``verdict, host, path``: a rule fits its host and all
     subdomains if the path starts with the rule's; the longest wins. Without one,
     a page takes its component's decision: allow if a rule allows any URL of it,
     else block if a rule blocks any, else allow. Components tie URLs (fragment
@@ -110,12 +141,12 @@ def url_filter(
         links = links.union(redirects.select(url_key(F.col("from_url")), url_key(F.col("to_url"))))
     links = scratch.save(links, "links")
     judged = base.select("id", url_key(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    judged = judged.withColumn("hit", matched_rule(F.col("host"), F.col("path"), rules))
+    judged = with_rules(judged, rules)
     verdict = F.coalesce("hit.verdict", F.lit("allow"))
     if not links.isEmpty():
         roots = components(links, scratch)
         parts = roots.select("root", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
-        ruled = parts.withColumn("hit", matched_rule(F.col("host"), F.col("path"), rules)).groupBy("root").agg(F.min("hit.verdict").alias("theirs"))  # allow sorts before block
+        ruled = with_rules(parts, rules).groupBy("root").agg(F.min("hit.verdict").alias("theirs"))  # allow sorts before block
         judged = judged.join(roots.join(ruled, "root").select("node", "theirs"), "node", "left")
         verdict = F.coalesce("hit.verdict", "theirs", F.lit("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"))
