@@ -3,18 +3,24 @@
 Only suffixes at minimiser positions are kept: every run of ``least`` words has an
 anchor, the smallest hash of a k-gram among its first starts, chosen by content
 alone, so equal runs have equal anchors. The consecutive runs of one anchor make a
-segment. Suffixes are ordered by their head (the words from the anchor that every
-run of it contains) and their segment; equal neighbours form a class.
-
-Two suffixes with equal segments match over all of it. A class is therefore
-represented by its first member, and only representatives whose neighbours share
-the head but not the segment are extended, left and right, run by run. A class or
-a run is taken as often as it occurs without pairs being made of its members.
+segment, which is all that a match of such a run can cover. A suffix has a head,
+the hash of the words from the anchor on that every run of it contains. Suffixes
+with equal head and segment match over all of it and make a class, for which its
+first member stands.
+
+The classes are sorted by head and segment, and those with a neighbour of equal
+head go on as suffixes proper: they are sorted by their words from the anchor on,
+and the longest common prefix with either neighbour says how far to the right any
+other suffix can match. The rest is sorted by head and by the words before the
+anchor, backwards, and the neighbours say how far to the left. What runs lie
+within both extensions are named by hash, and equal ones are repeated passages.
+Each sort is by ranges, its last keys being the place, so that equal suffixes
+spread over tasks; at the edges of a range an extension is taken to be full.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from tidewell.llm.scratch import Scratch, packed
-from tidewell.llm.words import _BASE, _BASE_INV, U, Slice, _powers, mix, signed, slices
+from tidewell.llm.words import _BASE, _BASE_INV, U, Slice, _powers, buffers, mix, signed, slices
 
 GRAM = 8
 
@@ -81,6 +87,7 @@ def _head(least: int) -> int:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """``id, t, pos, n, a, head, segment``: first run, number of runs, words from the first run to the anchor."""
     width = GRAM + _head(least)
     for batch in batches:
         for part in slices(batch.column(2)):
@@ -92,27 +99,113 @@ def _suffixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
             row = pa.array(part.first + text)
             head = runs(anchor, anchor + width)
             segment = runs(first, first + count - 1 + least)
-            columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array((first - part.at[text]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(signed(head)), pa.array(signed(segment))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "t", "pos", "n", "head", "segment"])
+            numbers = [pa.array(x.astype(np.int32)) for x in (first - part.at[text], count, anchor - first)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *numbers, pa.array(signed(head)), pa.array(signed(segment))], ["id", "t", "pos", "n", "a", "head", "segment"])
+
+
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes, a row for each value, and their numbers."""
+    off, raw = buffers(column)
+    size = np.diff(off) // 8
+    out = np.zeros((len(size), int(size.max(initial=0))), U)
+    row = np.repeat(np.arange(len(size)), size)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = raw.view(">u8")
+    return out, size
+
+
+def common(column: pa.Array) -> np.ndarray:
+    """Words that each value and the next have in common from the start on."""
+    words, size = _matrix(column)
+    differ = words[1:] != words[:-1]
+    least = np.minimum(size[1:], size[:-1])
+    return np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), least), least) if words.shape[1] else least
 
 
-def _extended(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Every run of the listed segments: ``id, t, pos, run``."""
+def neighbours(batches: Iterator[pa.RecordBatch], compare: Callable[[pa.RecordBatch], np.ndarray], most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted rows with the larger of what ``compare`` finds between each and its two neighbours; ``most`` at the ends."""
+    held, before = None, most
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        found = compare(rows)
+        upper = np.concatenate([[before], found])
+        if rows.num_rows > 1:
+            yield rows.slice(0, rows.num_rows - 1), np.maximum(upper[:-1], found)
+        held, before = rows.slice(rows.num_rows - 1), int(upper[-1])
+    if held is not None:
+        yield held, np.array([most])
+
+
+def _same_head(rows: pa.RecordBatch) -> np.ndarray:
+    head = rows.column("head").to_numpy()
+    return (head[1:] == head[:-1]).astype(np.int64)
+
+
+def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of classes in order of head and segment, those with a neighbour of equal head."""
+    for rows, same in neighbours(batches, _same_head, 1):
+        yield rows.filter(pa.array(same > 0))
+
+
+def _binary(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """``size`` values from each start on, as one binary value each."""
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    flat = words[np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], size)].astype(">u8")
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer((bounds * 8).astype(np.int64)), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The listed segments with the hashes of their words: from the anchor on, and before it backwards."""
     for batch in batches:
         wanted = batch.column(3)
         for part in slices(batch.column(2)):
-            runs = Runs(part)
-            at, own = [], []
-            for i in range(part.n):
-                for seg in wanted[part.first + i].as_py():
-                    if part.at[i] + seg["pos"] + seg["n"] - 1 + least <= part.at[i + 1]:
-                        at.append(np.arange(seg["pos"], seg["pos"] + seg["n"]) + part.at[i])
-                        own.append(np.full(seg["n"], i))
-            if not at:
-                continue
-            first, text = np.concatenate(at), np.concatenate(own)
+            listed = wanted.slice(part.first, part.n)
+            text = np.repeat(np.arange(part.n), np.asarray(listed.value_lengths()))
+            pos, n, a, head = (listed.flatten().field(i) for i in range(4))
+            first = pos.to_numpy() + part.at[text]
+            right, left = n.to_numpy() - 1 + least - a.to_numpy(), a.to_numpy()
+            anchor = first + left
+            back = part.hash[::-1]
             row = pa.array(part.first + text)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array((first - part.at[text]).astype(np.int32)), pa.array(signed(runs(first, first + least)))], ["id", "t", "pos", "run"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), batch.column(1).take(row), pos, n, a, head, _binary(part.hash, anchor, right), _binary(back, len(back) - anchor, left)],
+                ["id", "t", "pos", "n", "a", "head", "right", "left"],
+            )
+
+
+def _rightwards(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Suffixes sorted by their words, with the runs that any other can match to the right: their number ``upto``."""
+    for rows, most in neighbours(batches, lambda r: common(r.column("right")), 1 << 30):
+        n, a = (rows.column(x).to_numpy() for x in "na")
+        upto = np.minimum(n, a - least + most + 1)
+        some = upto > 0
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(upto.astype(np.int32))], [*rows.schema.names, "upto"]).filter(pa.array(some))
+
+
+def _leftwards(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Suffixes sorted by head and words before them: the runs within both extensions, as ``id, t, pos, run``."""
+    for rows, most in neighbours(batches, lambda r: common(r.column("left")) * _same_head(r) - (1 - _same_head(r)), 1 << 30):
+        a, upto = rows.column("a").to_numpy().astype(np.int64), rows.column("upto").to_numpy().astype(np.int64)
+        low = np.where(most < 0, upto, np.maximum(0, a - most))
+        count = np.maximum(0, upto - low)
+        pick = np.flatnonzero(count)
+        if not len(pick):
+            continue
+        rows, a, low, count = rows.take(pa.array(pick)), a[pick], low[pick], count[pick]
+        (right, right_n), (left, left_n) = (_matrix(rows.column(x)) for x in ("right", "left"))
+        words = np.zeros((len(pick), int((right_n + left_n).max())), U)
+        for values, size, place in ((left, left_n, lambda r, c: a[r] - 1 - c), (right, right_n, lambda r, c: a[r] + c)):
+            r, c = np.nonzero(np.arange(values.shape[1])[None, :] < size[:, None])
+            words[r, place(r, c)] = values[r, c]
+        up, down = _powers(_BASE, words.shape[1] + 1), _powers(_BASE_INV, words.shape[1] + 1)
+        total = np.zeros((len(pick), words.shape[1] + 1), U)
+        np.cumsum(mix(words) * up[: words.shape[1]], axis=1, out=total[:, 1:])
+        row = np.repeat(np.arange(len(pick)), count)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
+        run = mix((total[row, k + least] - total[row, k]) * down[k] + U(least) * U(0x9E3779B97F4A7C15))
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays([rows.column("id").take(at), rows.column("t").take(at), pa.array((rows.column("pos").to_numpy()[row] + k).astype(np.int32)), pa.array(signed(run))], ["id", "t", "pos", "run"])
 
 
 def repeated_passages(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
@@ -131,10 +224,10 @@ def repeated_passages(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     spark = documents.sparkSession
     scratch = Scratch(spark, "suffixes")
     texts = documents.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where("text is not null")
-    rows = texts.mapInArrow(lambda it: _suffixes(it, least), "id bigint, t bigint, pos int, n int, head bigint, segment bigint")
+    rows = texts.mapInArrow(lambda it: _suffixes(it, least), "id bigint, t bigint, pos int, n int, a int, head bigint, segment bigint")
     rows = scratch.save(rows, "suffixes")
     place = F.struct("id", "t", "pos")
-    classes = rows.groupBy("head", "segment").agg(F.min(F.struct("id", "t", "pos", "n")).alias("first"), F.max(place).alias("last"))
+    classes = rows.groupBy("head", "segment").agg(F.min(F.struct("id", "t", "pos", "n", "a")).alias("first"), F.max(place).alias("last"))
     classes = classes.select("head", "segment", "first", (F.struct("first.id", "first.t", "first.pos") != F.col("last")).alias("again"))
     classes = scratch.save(classes, "classes")
     copied = classes.where("again").select("head", "segment", "first")
@@ -142,11 +235,21 @@ def repeated_passages(documents: DataFrame, *, id_col: str = "doc_id", text_col:
         "id", "t", F.col("pos").alias("start"), (F.col("pos") + F.col("n") - 1 + least).alias("end"),
         (place != F.struct("first.id", "first.t", "first.pos")).alias("removed"), F.col("first.id").alias("first_id"),
     )
-    mixed = classes.groupBy("head").agg((F.min("segment") != F.max("segment")).alias("several")).where("several")
-    extend = classes.join(mixed, "head", "left_semi").select("first.*").groupBy("id", "t").agg(F.collect_list(F.struct("pos", "n")).alias("segments"))
-    extend = extend.withColumnsRenamed({"id": "i", "t": "u"})
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def in_order(df: DataFrame, *keys: str) -> DataFrame:
+        return df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+
+    crowded = in_order(classes.select("head", "segment", "first.*"), "head", "segment")
+    crowded = crowded.select("id", "t", "pos", "n", "a", "head").mapInArrow(_crowded, "id bigint, t bigint, pos int, n int, a int, head bigint")
+    extend = crowded.groupBy("id", "t").agg(F.collect_list(F.struct("pos", "n", "a", "head")).alias("segments")).withColumnsRenamed({"id": "i", "t": "u"})
     found = texts.join(extend, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("id", "t", "text", "segments")
-    found = scratch.save(found.mapInArrow(lambda it: _extended(it, least), "id bigint, t bigint, pos int, run bigint"), "runs")
+    place_names = ("id", "t", "pos")
+    suffix = "id bigint, t bigint, pos int, n int, a int, head bigint, right binary, left binary"
+    found = found.mapInArrow(lambda it: _contexts(it, least), suffix)
+    found = in_order(found, "right", *place_names).mapInArrow(lambda it: _rightwards(it, least), f"{suffix}, upto int")
+    found = in_order(found, "head", "left", *place_names).mapInArrow(lambda it: _leftwards(it, least), "id bigint, t bigint, pos int, run bigint")
+    found = scratch.save(found, "runs")
     met = found.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("run", "first")
     of_runs = found.join(met, "run").select("id", "t", F.col("pos").alias("start"), (F.col("pos") + least).alias("end"), (place != F.col("first")).alias("removed"), F.col("first.id").alias("first_id"))
     spans = of_class.union(of_runs).groupBy("id", "t").agg(
