@@ -226,6 +226,22 @@ def test_search_skips_most_words():
     assert sum(looked) < 20000 / 7
 
 
+@pytest.mark.parametrize("seed", [21, 22])
+def test_passages_shared_by_classes(spark, seed):
+    """Passages that overlap in part, so that what one group of copies repeats occurs earlier in other surroundings."""
+    rng, vocab = random.Random(seed), vocabulary(seed, 60)
+    pool = [text(rng, vocab, n) for n in (60, 90, 75, 52, 130)]
+    rows = []
+    for i in range(120):
+        words_ = rng.choice(pool).split()
+        a, b = sorted((rng.randrange(len(words_)), rng.randrange(len(words_))))
+        piece = " ".join(words_[a:b] if rng.random() < 0.5 else words_)
+        rows.append((i, f"{text(rng, vocab, rng.choice([0, 1, 2, 40]))} {piece} {rng.choice([' ', rng.choice(pool), text(rng, vocab, 3)])}"))
+    want = repeats(rows)
+    got = {r.doc_id: (r.n_repeated, r.n_removed, r.first_ids) for r in suffixes.passage_report(docs(spark, rows)).collect()}
+    assert got == want
+
+
 ARTICLE = "<p>First &eacute;t&eacute; words&nbsp;here of the <a href=x>story</a> told.</p><p>Second<br>para &amp; more.</p>"
 OUTER = '<nav><ul><li><a href=1>Home</a></li><li><a href=2>About</a></li></ul></nav><div class="ad">Buy this</div>{}<aside>Side things</aside><section class="comments"><p>Nice one, thanks a lot for it</p></section><footer>&copy; me</footer>'
 WANTED = "Title\nFirst été words here of the story told.\nSecond para & more."

@@ -203,9 +203,9 @@ def _leftwards(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Rec
         np.cumsum(mix(words) * up[: words.shape[1]], axis=1, out=total[:, 1:])
         row = np.repeat(np.arange(len(pick)), count)
         k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
-        run = mix((total[row, k + least] - total[row, k]) * down[k] + U(least) * U(0x9E3779B97F4A7C15))
+        run = mix((total[row, k + least] - total[row, k]) * down[k] + U(least * 0x9E3779B97F4A7C15 % (1 << 64)))
         at = pa.array(row)
-        yield pa.RecordBatch.from_arrays([rows.column("id").take(at), rows.column("t").take(at), pa.array((rows.column("pos").to_numpy()[row] + k).astype(np.int32)), pa.array(signed(run))], ["id", "t", "pos", "run"])
+        yield pa.RecordBatch.from_arrays([rows.column("id").take(at), rows.column("t").take(at), pa.array((rows.column("pos").to_numpy()[row] + k).astype(np.int32)), rows.column("pos").take(at), pa.array(signed(run))], ["id", "t", "pos", "seg", "run"])
 
 
 def repeated_passages(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
@@ -230,11 +230,6 @@ def repeated_passages(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     classes = rows.groupBy("head", "segment").agg(F.min(F.struct("id", "t", "pos", "n", "a")).alias("first"), F.max(place).alias("last"))
     classes = classes.select("head", "segment", "first", (F.struct("first.id", "first.t", "first.pos") != F.col("last")).alias("again"))
     classes = scratch.save(classes, "classes")
-    copied = classes.where("again").select("head", "segment", "first")
-    of_class = rows.join(copied, ["head", "segment"]).select(
-        "id", "t", F.col("pos").alias("start"), (F.col("pos") + F.col("n") - 1 + least).alias("end"),
-        (place != F.struct("first.id", "first.t", "first.pos")).alias("removed"), F.col("first.id").alias("first_id"),
-    )
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def in_order(df: DataFrame, *keys: str) -> DataFrame:
@@ -248,12 +243,21 @@ def repeated_passages(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     suffix = "id bigint, t bigint, pos int, n int, a int, head bigint, right binary, left binary"
     found = found.mapInArrow(lambda it: _contexts(it, least), suffix)
     found = in_order(found, "right", *place_names).mapInArrow(lambda it: _rightwards(it, least), f"{suffix}, upto int")
-    found = in_order(found, "head", "left", *place_names).mapInArrow(lambda it: _leftwards(it, least), "id bigint, t bigint, pos int, run bigint")
+    found = in_order(found, "head", "left", *place_names).mapInArrow(lambda it: _leftwards(it, least), "id bigint, t bigint, pos int, seg int, run bigint")
     found = scratch.save(found, "runs")
     met = found.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("run", "first")
-    of_runs = found.join(met, "run").select("id", "t", F.col("pos").alias("start"), (F.col("pos") + least).alias("end"), (place != F.col("first")).alias("removed"), F.col("first.id").alias("first_id"))
-    spans = of_class.union(of_runs).groupBy("id", "t").agg(
-        F.collect_list(F.struct("start", "end", "removed")).alias("spans"), F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("first_id")))).alias("first_ids")
+    of_runs = found.join(met, "run").select("id", "t", F.col("pos").alias("start"), (F.col("pos") + least).alias("end"), (place != F.col("first")).alias("removed"), F.array_compact(F.array("first.id")).alias("ids"), "seg")
+    # What a class repeats may occur before it, in another class: its members' first occurrences are then those of its first member.
+    earlier = of_runs.where("removed").groupBy(F.col("id").alias("i"), F.col("t").alias("u"), "seg").agg(F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"), F.size(F.collect_set("start")).alias("gone"))
+    copied = classes.where("again").select("head", "segment", "first")
+    copied = copied.join(earlier, F.col("first.id").eqNullSafe(F.col("i")) & (F.col("first.t") == F.col("u")) & (F.col("first.pos") == F.col("seg")), "left")
+    own = F.when(F.coalesce("gone", F.lit(0)) < F.col("first.n"), F.array_compact(F.array("first.id"))).otherwise(F.array().cast("array<bigint>"))
+    copied = copied.select("head", "segment", "first", F.array_union(own, F.coalesce("ids", F.array().cast("array<bigint>"))).alias("ids"))
+    of_class = rows.join(copied, ["head", "segment"]).select(
+        "id", "t", F.col("pos").alias("start"), (F.col("pos") + F.col("n") - 1 + least).alias("end"), (place != F.struct("first.id", "first.t", "first.pos")).alias("removed"), "ids"
+    )
+    spans = of_class.union(of_runs.drop("seg")).groupBy("id", "t").agg(
+        F.collect_list(F.struct("start", "end", "removed")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("removed"), F.col("ids")))))).alias("first_ids")
     )
     spans = scratch.save(spans, "spans")
     scratch.drop("suffixes", "classes", "runs")
