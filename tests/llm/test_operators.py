@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -255,7 +256,7 @@ WANTED = "Title\nFirst été words here of the story told.\nSecond para & more."
 ])
 def test_html_extraction(spark, page):
     training = spark.createDataFrame([(OUTER.format(f"<article><h1>T {i}</h1>{ARTICLE}</article>"),) for i in range(5)], "html string")
-    df = spark.createDataFrame([(1, page, "t"), (2, None, "t"), (3, "", "t"), (4, "<p", "t"), (4, "<p", "t")], "page_id int, html string, text string")
+    df = spark.createDataFrame([(1, page, "t", "x"), (2, None, "t", "x"), (3, "", "t", "x"), (4, "<p", "t", "x"), (4, "<p", "t", "x")], "page_id int, html string, text string, rest string")
     got = [(r.page_id, r.text, r.n_chars) for r in html_text.extract_text(df, training=training).orderBy("page_id").collect()]
     assert got == [(1, WANTED, len(WANTED)), (2, "", 0), (3, "", 0), (4, "", 0), (4, "", 0)]
     assert html_text.extract_text(df.limit(0)).count() == 0
@@ -283,6 +284,58 @@ def test_html_forms_and_hidden_parts_stay_outside():
     assert html_text.main_text(page, html_text.Weights()) == ("word " * 40).strip()
 
 
+def test_html_names_do_not_decide_alone():
+    weights = html_text.learn([OUTER.format(f"<article><h1>T {i}</h1>{ARTICLE * 5}</article>") for i in range(20)])
+    words_ = " ".join(["word"] * 40)
+    assert html_text.main_text(f'<nav>a</nav><div id="social"><article>{words_}</article></div>', weights) == words_
+    assert html_text.main_text(f'<article><p>{words_}</p><section id="related-work"><p>{words_}</p></section></article>', weights) == f"{words_}\n{words_}"
+    assert html_text.main_text(f'<article><p>{words_} <span style="display:none">not seen</span>end</p></article>', weights) == f"{words_} end"
+    # A name that is unknown to the priors is learnt from pages, one that is known is learnt anew.
+    assert weights.of("ad") < -2 < 0 == weights.of("zzz")
+    pages = [f"<article><div class=comment>{words_}</div></article><div class=zzz>{words_}</div>"] * 3
+    assert html_text.learn(pages).of("comment") > 0 > html_text.learn(pages).of("zzz")
+
+
+def test_best_stretch_against_all_ranges():
+    rng = random.Random(17)
+    for n in range(60):
+        scores = [rng.choice([-3, -1, 0, 0.5, 1, 2]) * rng.random() for _ in range(n % 13)]
+        want = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0)
+        i, j = html_text.best_stretch(scores)
+        assert sum(scores[i:j]) == pytest.approx(max(0, want)) and (i < j) == (want > 0)
+
+
+def test_scores_against_nested_elements():
+    """Scores of a walk equal those summed afresh over each block's open elements, for random well-formed pages."""
+    rng = random.Random(18)
+    weights = html_text.Weights(0.3, {"x": -1.0, "y": 1.5, "<blockquote>": 0.25, "links:none": 0.1})
+
+    def make(depth, around):
+        out, want = "", []
+        for _ in range(rng.randint(1, 3)):
+            if depth and rng.random() < 0.7:
+                tag, name = rng.choice(["div", "section", "blockquote"]), rng.choice(["x", "y", "z", "x y"])
+                inner, more = make(depth - 1, around | {f"<{tag}>"} - {"<div>", "<section>"} | set(name.split()))
+                out, want = f'{out}<{tag} class="{name}">{inner}</{tag}>', want + more
+            else:
+                out, want = out + "<p>one two three</p>", want + [min(html_text.FOR, 0.3 + 0.1 + sum(weights.of(f) for f in around | {"<p>"}))]
+        return out, want
+
+    for _ in range(30):
+        page, want = make(5, set())
+        assert [w for _, w, _ in html_text.scored(page, weights)] == pytest.approx(want)
+
+
+def test_html_time_is_linear_in_nesting():
+    def seconds(n):
+        began = time.perf_counter()
+        html_text.main_text("".join(f"<div class=c{i}><b>w" for i in range(n)), html_text.Weights())
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(40_000) < 5 + 12 * seconds(4_000)
+
+
 @pytest.mark.parametrize("block", [200_000, 7])
 def test_decontamination(spark, block):
     rng, vocab = random.Random(5), vocabulary(5)

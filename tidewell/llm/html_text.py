@@ -1,10 +1,13 @@
 """Main text of web pages by the maximum-scoring run of words and tags.
 
 A page is a sequence of words and tags. A word scores the log odds, learnt from
-labelled pages, that text in its surroundings (enclosing tags, class names, share
-of link text) is content; each tag costs a fixed amount. One linear scan finds the
-contiguous stretch with the largest sum. Inside it, containers that are no part of
-an article by name (menus, adverts, comments and so on) are left out.
+labelled pages, that text in its surroundings (enclosing tags, class names, roles,
+share of link text) is content; each tag costs a fixed amount. One linear scan finds
+the contiguous stretch with the largest sum; blocks in it that score below zero,
+such as adverts inside an article, are left out.
+
+Surroundings that no labelled page shows have prior weights: a table of tags,
+roles and common names, whose say ends where pages teach otherwise.
 """
 
 from __future__ import annotations
@@ -19,11 +22,15 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from tidewell.llm.scratch import packed, unpacked
 
 
 TAG_COST = 0.2
-MOST = 2.0  # bound of a word's score either way
-OUTSIDE_WORD, OUTSIDE_BLOCK = 0.1, 2.0  # cost of a left-out container inside the stretch: by word, at most
+FOR, AGAINST = 2.0, 4.0  # bounds of the weight of one surrounding, and FOR of a word's score
+BLOCK_COST = 20.0  # most that one block can count against a stretch
+TAUGHT = 20  # words with a surrounding in labelled pages, from which its learnt weight counts
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,18 +38,21 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SILENT = frozenset("script style noscript template textarea select option datalist svg math canvas iframe object audio video head title button".split())
 PLAIN = frozenset("html body div section center table tbody tr td ul ol li".split())
 RAW = frozenset("script style textarea title".split())
+ONLY_P = frozenset(["p"])
+ITEMS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tr": frozenset(["td", "th", "tr"])}
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())  # what a head may hold
 
-#: Containers that belong to a page but not to its article.
+#: Elements that belong to a page but not to its article; what they hold isn't labelled as content.
 NOT_ARTICLE = frozenset("nav aside footer form dialog menu".split())
-NOT_ARTICLE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menubar sidebar side aside footer header masthead topbar comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations breadcrumb breadcrumbs widget toolbar login search pagination pager copyright skip hidden".split()
-)
-ARTICLE_NAMES = frozenset("article content post main entry story body text page wrapper container".split())
-COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+
+#: Prior weights of surroundings: fixed values, by how often they hold content on the web at large.
+PRIOR: dict[str, float] = {"<article>": 2.0, "<main>": 2.0, "<h1>": 1.0, "<h2>": 0.5, "<h3>": 0.5, "<p>": 0.5, "<header>": -1.0, "links:most": -1.5}
+PRIOR |= {f"<{tag}>": -3.0 for tag in NOT_ARTICLE}
+PRIOR |= {f"role:{role}": -3.0 for role in "navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split()}
+PRIOR |= dict.fromkeys("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo comment comments commentlist disqus reply replies respond cookie cookies consent gdpr newsletter subscribe subscription signup popup overlay".split(), -4.0)
+PRIOR |= dict.fromkeys("promotion banner nav navbar navigation menu menubar sidebar aside footer header masthead topbar discussion notice notices alert modal share sharing social related recommended recommendations breadcrumb breadcrumbs widget toolbar login search pagination pager copyright skip".split(), -1.0)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[a-zA-Z/][^>]*(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -52,36 +62,24 @@ SPACE = re.compile(r"[\s ]+")
 @dataclass
 class Block:
     text: str
-    features: frozenset
     words: int
-    linked: int
+    links: str
     tags: int
-    outside: bool  # in a container that is no part of an article
-    labelled: bool  # in an article or main element
-
-
-@dataclass
-class Container:
-    """An element that is no part of an article, unless what it holds shows that it wraps the page."""
-
-    form: bool  # left out only because it is a form
-    hidden: bool
-    words: int = 0
-    article: bool = False
-    main: bool = False
-
-    def outside(self, words: int) -> bool:
-        """Whether it is left out of a page of so many words."""
-        return self.hidden or not (self.main or self.form and (self.article or 2 * self.words > words))
 
 
 @dataclass
 class Element:
+    """An open element: ``features`` count for what it holds unless it turns out to wrap the page."""
+
     tag: str
-    names: frozenset
-    outside: tuple[Container, ...]
-    labelled: bool
+    features: frozenset
     silent: bool
+    words: int = 0  # of the page before it, then in it
+    marks: tuple[int, int] = (0, 0)  # main and article elements of the page before it, then in it
+
+    def wraps(self, total: int) -> bool:
+        """Whether it holds a main element, or is a form that holds an article or most of the page's words."""
+        return self.marks[0] > 0 or self.tag == "form" and (self.marks[1] > 0 or 2 * self.words > total)
 
 
 @dataclass
@@ -89,181 +87,255 @@ class Weights:
     prior: float = 0.5
     odds: dict = field(default_factory=dict)
 
-    def word(self, block: Block) -> float:
-        total = self.prior + sum(self.odds.get(f, 0.0) for f in block.features)
-        return max(-MOST, min(MOST, total))
+    def of(self, feature: str) -> float:
+        found = self.odds.get(feature)
+        return PRIOR.get(feature, 0.0) if found is None else found
 
 
-def _attributes(raw: str) -> tuple[frozenset, str, bool]:
-    names, role, hidden = [], "", False
+def _attributes(raw: str) -> tuple[list[str], bool]:
+    """Names and role as features, and whether the element is hidden."""
+    names, hidden = [], False
     for m in ATTRIBUTE.finditer(raw) if raw.strip() else ():
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
-            names += re.split(r"[^a-z0-9]+", value)
+            names += [n for n in re.split(r"[^a-z0-9]+", value) if n]
         elif key == "role":
-            role = value
+            names.append(f"role:{value}")
         elif key == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         else:
             hidden |= key == "hidden" or value == "true"
-    return frozenset(n for n in names if n), role, hidden
-
-
-def _element(tag: str, raw: str, parent: Element | None) -> Element:
-    names, role, hidden = _attributes(raw)
-    inside = parent is not None and parent.labelled
-    around = parent.outside if parent else ()
-    if tag in ("article", "main") and not any(c.hidden for c in around):
-        for c in around:
-            c.main |= tag == "main"
-            c.article |= tag == "article"
-    outside = tag in NOT_ARTICLE - {"form"} or role in ROLES or hidden or (tag == "header" and not inside)
-    if tag not in ("html", "body", "main") and names & NOT_ARTICLE_NAMES:
-        whole = names & ARTICLE_NAMES or tag == "article"
-        outside |= bool(names & COMMENT_NAMES) if whole else not (names & {"header"} and inside and not names & (NOT_ARTICLE_NAMES - {"header"}))
-    if outside or tag == "form":
-        around += (Container(not outside, hidden),)
-    return Element(tag, names, around, inside or tag in ("article", "main"), bool(parent and parent.silent) or tag in SILENT)
-
-
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order; tags before a block are counted with it."""
-    stack: list[Element] = []
-    out: list[Block] = []
-    around: list[tuple[Container, ...]] = []  # of each block
-    parts: list[str] = []
-    linked = tags = 0
-
-    def flush() -> None:
-        nonlocal parts, linked, tags
-        text = SPACE.sub(" ", html.unescape("".join(parts))).strip() if parts else ""
+    return names, hidden
+
+
+class Page:
+    """One pass over a page: its blocks, and the elements that open and close between them, in order.
+
+    Every step costs the same whatever the nesting: closing tags look only for
+    elements that are open, and surroundings are counted as elements come and go.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.events: list[Element | Block | None] = []  # None closes the last open element
+        self.stack: list[Element] = []
+        self.open: Counter = Counter()
+        self.silent = self.links = self.total = 0
+        self.marks = [0, 0]
+        self.parts: list[str] = []
+        self.linked = self.tags = 0
+        self._read(page)
+        self._flush()
+        while self.stack:
+            self._pop()
+
+    def _flush(self) -> None:
+        text = SPACE.sub(" ", html.unescape("".join(self.parts))).strip() if self.parts else ""
         if text:
-            top = stack[-1] if stack else None
+            density = self.linked / len(text)
             words = text.count(" ") + 1
-            density = linked / max(1, len(text))
-            features = {f"<{e.tag}>" for e in stack if e.tag not in INLINE and e.tag not in PLAIN} | {n for e in stack for n in e.names}
-            features |= {"links:none" if not linked else "links:some" if density < 0.5 else "links:most"}
-            out.append(Block(text, frozenset(features), words, linked, tags, False, bool(top and top.labelled)))
-            around.append(top.outside if top else ())
-            for c in around[-1]:
-                c.words += words
-            tags = 0
-        parts, linked = [], 0
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.match(page, at)
-        if m is None:
-            break
-        at = m.end()
-        token, tag = m[0], (m[2] or "").lower()
-        if tag:
+            self.events.append(Block(text, words, "links:none" if not self.linked else "links:some" if density < 0.5 else "links:most", self.tags))
+            self.total += words
+            self.tags = 0
+        self.parts, self.linked = [], 0
+
+    def _push(self, tag: str, raw: str) -> None:
+        names, hidden = _attributes(raw)
+        own = [] if tag in INLINE or tag in PLAIN else [f"<{tag}>"]
+        element = Element(tag, frozenset([*own, *names]), tag in SILENT or hidden, self.total, (self.marks[0], self.marks[1]))
+        if tag in ("main", "article") and not self.silent:
+            self.marks[tag == "article"] += 1
+        self.silent += element.silent
+        self.links += tag == "a"
+        self.open[tag] += 1
+        self.stack.append(element)
+        self.events.append(element)
+
+    def _pop(self) -> None:
+        element = self.stack.pop()
+        self.open[element.tag] -= 1
+        self.silent -= element.silent
+        self.links -= element.tag == "a"
+        element.words = self.total - element.words
+        own = (element.tag == "main", element.tag == "article") if not element.silent else (0, 0)
+        element.marks = (self.marks[0] - element.marks[0] - own[0], self.marks[1] - element.marks[1] - own[1])
+        self.events.append(None)
+
+    def _close(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self._pop()
+
+    def _close_within(self, closed: frozenset) -> None:
+        """Close the innermost of these elements if only inline ones and paragraphs are open in it."""
+        if not any(self.open[t] for t in closed):
+            return
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i].tag in closed:
+                self._close(i)
+                return
+            if self.stack[i].tag not in INLINE and self.stack[i].tag != "p":
+                return
+
+    def _read(self, page: str) -> None:
+        at, n = 0, len(page)
+        while at < n:
+            m = TOKEN.match(page, at)
+            if m is None:
+                return
+            at = m.end()
+            token, tag = m[0], (m[2] or "").lower()
+            if not tag:
+                if token[0] != "<" or token == "<":
+                    if self.stack and self.stack[-1].tag == "head" and token.strip():
+                        self._pop()
+                    if not self.silent:
+                        self.parts.append(token)
+                        self.linked += len(token) if self.links else 0
+                continue
             if not token.endswith(">"):
-                break  # the page ends inside a tag
-            tags += 1
+                return  # the page ends inside a tag
+            self.tags += 1
             block = tag not in INLINE
             if m[1]:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
                 if block:
-                    flush()
-                if depth is not None:
-                    if not block or any(e.tag not in INLINE for e in stack[depth + 1 :]):
-                        if block:
-                            flush()
-                    del stack[depth:]
+                    self._flush()
+                if self.open[tag]:
+                    depth = next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag == tag)
+                    self._close(depth)
                 continue
             if tag == "br":
-                if stack and stack[-1].tag == "head":
-                    stack.pop()
-                parts.append(" ")
+                if self.stack and self.stack[-1].tag == "head":
+                    self._pop()
+                self.parts.append(" ")
                 continue
             if block:
-                flush()
-            if tag == "body" or stack and stack[-1].tag == "head" and tag not in HEAD:
-                depth = next((i for i, e in enumerate(stack) if e.tag == "head"), None)
-                if depth is not None:
-                    del stack[depth:]
-            if tag in CLOSES_P or tag in ("li", "td", "th", "tr", "dt", "dd"):
-                closed = {"p"} if tag in CLOSES_P else {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}.get(tag, {"td", "th"} | ({"tr"} if tag == "tr" else set()))
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag in closed:
-                        del stack[i:]
-                        break
-                    if stack[i].tag not in INLINE and stack[i].tag != "p":
-                        break
+                self._flush()
+            if self.open["head"] and (tag == "body" or self.stack[-1].tag == "head" and tag not in HEAD):
+                self._close(next(i for i, e in enumerate(self.stack) if e.tag == "head"))
+            if tag in CLOSES_P:
+                self._close_within(ONLY_P)
+            elif tag in ITEMS:
+                self._close_within(ITEMS[tag])
             if tag in VOID or m[3].rstrip().endswith("/") and tag not in RAW and tag in INLINE:
                 continue
-            stack.append(_element(tag, m[3], stack[-1] if stack else None))
+            self._push(tag, m[3])
             if tag in RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
-                stack.pop()
-        elif token[0] != "<" or token == "<":
-            if stack and stack[-1].tag == "head" and token.strip():
-                stack.pop()
-            if not (stack and stack[-1].silent):
-                parts.append(token)
-                if any(e.tag == "a" for e in stack):
-                    linked += len(token)
-    flush()
-    total = sum(b.words for b in out)
-    for b, containers in zip(out, around):
-        b.outside = any(c.outside(total) for c in containers)
+                self._pop()
+
+    def walk(self) -> Iterator[tuple[str, bool, Block | None]]:
+        """What comes, goes or is met in order: (surrounding, whether it comes, None) and ("", True, block).
+
+        A surrounding comes with the outermost element that has it and goes with it.
+        """
+        held: Counter = Counter()
+        opened: list[frozenset] = []
+        for e in self.events:
+            if isinstance(e, Block):
+                yield "", True, e
+            elif e is None:
+                for f in opened.pop():
+                    held[f] -= 1
+                    if not held[f]:
+                        yield f, False, None
+            else:
+                opened.append(frozenset() if e.wraps(self.total) else e.features)
+                for f in opened[-1]:
+                    held[f] += 1
+                    if held[f] == 1:
+                        yield f, True, None
+
+
+def scored(page: str, weights: Weights) -> list[tuple[str, float, float]]:
+    """The page's text blocks in order, with the score of a word of each and of all its words and the tags before them."""
+    out, around = [], weights.prior
+    for feature, comes, block in Page(page).walk():
+        if block is None:
+            around += weights.of(feature) if comes else -weights.of(feature)
+        else:
+            word = min(FOR, around + weights.of(block.links))
+            out.append((block.text, word, max(-BLOCK_COST, word * block.words - TAG_COST * block.tags)))
     return out
 
 
 def learn(pages: list[str]) -> Weights:
-    """Log odds of content by surroundings, in words, from pages that mark their article."""
-    inside: Counter = Counter()
-    outside: Counter = Counter()
+    """Log odds of content by surroundings, in words, from pages that mark their article.
+
+    Content is what an article or main element holds, less navigation, asides,
+    footers, forms, dialogs and menus in it.
+    """
+    counts = (Counter(), Counter())  # words with a surrounding, in articles and elsewhere
     total = [0, 0]
     for page in pages:
-        found = blocks(page)
-        if not any(b.labelled for b in found):
+        read = Page(page)
+        if not sum(read.marks):
             continue
-        for b in found:
-            good = b.labelled and not b.outside
-            total[not good] += b.words
-            (inside if good else outside).update(dict.fromkeys(b.features, b.words))
+        marked = parted = 0
+        since: dict[str, tuple[int, int]] = {}
+        here = [0, 0]
+        for feature, comes, block in read.walk():
+            if block is not None:
+                other = not marked or bool(parted)
+                here[other] += block.words
+                counts[other][block.links] += block.words
+                continue
+            step = 1 if comes else -1
+            marked += step * (feature in ("<article>", "<main>"))
+            parted += step * (feature[1:-1] in NOT_ARTICLE and feature[0] == "<")
+            if comes:
+                since[feature] = (here[0], here[1])
+            else:
+                first = since.pop(feature)
+                for i in (0, 1):
+                    counts[i][feature] += here[i] - first[i]
+        for i in (0, 1):
+            total[i] += here[i]
     if not total[0] or not total[1]:
-        return Weights(odds={"links:most": -1.5})
-    odds = {f: math.log((inside[f] + 1) / (total[0] + 2)) - math.log((outside[f] + 1) / (total[1] + 2)) for f in {*inside, *outside}}
-    return Weights(0.5, {f: max(-MOST, min(MOST, v)) for f, v in odds.items()})
-
-
-def main_text(page: str, weights: Weights) -> str:
-    """Text of the best contiguous stretch; blocks by line breaks."""
-    found = blocks(page)
-    best, best_range = 0.0, (0, 0)
-    sum_, start = 0.0, 0
-    for i, b in enumerate(found):
-        score = -min(OUTSIDE_BLOCK, OUTSIDE_WORD * b.words) if b.outside else weights.word(b) * b.words - TAG_COST * b.tags
+        return Weights()
+    odds = {}
+    for f in {*counts[0], *counts[1]}:
+        if counts[0][f] + counts[1][f] >= TAUGHT:
+            value = math.log((counts[0][f] + 1) / (total[0] + 2)) - math.log((counts[1][f] + 1) / (total[1] + 2))
+            odds[f] = max(-AGAINST, min(FOR, value))
+    return Weights(0.5, odds)
+
+
+def best_stretch(scores: list[float]) -> tuple[int, int]:
+    """The first shortest range of the largest positive sum; empty if there is none."""
+    best, best_range, sum_, start = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scores):
         if sum_ <= 0:
             sum_, start = 0.0, i
         sum_ += score
         if sum_ > best:
             best, best_range = sum_, (start, i + 1)
-    return "\n".join(b.text for b in found[slice(*best_range)] if not b.outside)
+    return best_range
+
+
+def main_text(page: str, weights: Weights) -> str:
+    """Text of the best contiguous stretch without its blocks whose words score below zero; blocks by line breaks."""
+    found = scored(page, weights)
+    return "\n".join(text for text, word, _ in found[slice(*best_stretch([score for *_, score in found]))] if word > 0)
 
 
 def _extract(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        k = batch.num_columns - 1
-        texts = [main_text(page or "", weights) for page in batch.column(k).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*batch.schema.names[:k], "text", "n_chars"])
+        texts = [main_text(page.as_py() or "", weights) for page in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["rest", "text", "n_chars"])
 
 
 def labelled_sample(pages: DataFrame, html_col: str, most: int) -> list[str]:
     """At most ``most`` different pages with an article or main element, by hash of the page.
 
-    A threshold on the hash, from the number of pages, thins them out first, so
-    that tasks send the driver little more than what it keeps.
+    A threshold on the hash, from the number of different such pages, thins them out
+    first, so that tasks send the driver little more than what it keeps.
     """
-    total = pages.count()
-    share = min(1.0, 4 * most / max(1, total))
-    thin = pages.select(F.col(html_col).alias("html")).where(F.pmod(F.xxhash64("html"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    marked = thin.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).distinct()
-    return [r.html for r in marked.orderBy(F.xxhash64("html"), "html").limit(most).collect()]
+    marked = pages.select(F.col(html_col).alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
+    slot = F.pmod(F.xxhash64("html"), F.lit(1 << 40))
+    different = marked.agg(F.approx_count_distinct(slot)).first()[0]
+    share = min(1.0, 4 * most / max(1, different))
+    chosen = marked.where(slot < int(share * (1 << 40))).distinct()
+    return [r.html for r in chosen.orderBy(F.xxhash64("html"), "html").limit(most).collect()]
 
 
 def extract_text(pages: DataFrame, *, html_col: str = "html", training: DataFrame | None = None, sample: int = 400) -> DataFrame:
@@ -277,6 +349,7 @@ def extract_text(pages: DataFrame, *, html_col: str = "html", training: DataFram
     except ones named text or n_chars, which are replaced.
     """
     weights = learn(labelled_sample(pages if training is None else training, html_col, sample))
-    rest = [f for f in pages.schema.fields if f.name not in (html_col, "text", "n_chars")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "text string, n_chars bigint"])
-    return pages.select(*(f.name for f in rest), html_col).mapInArrow(lambda it: _extract(it, weights), schema)
+    apart = (html_col, "text", "n_chars")
+    rows = pages.select(packed(pages, *apart), F.col(f"`{html_col}`").alias("html"))
+    schema = StructType([rows.schema["rest"], StructField("text", StringType()), StructField("n_chars", LongType())])
+    return rows.mapInArrow(lambda it: _extract(it, weights), schema).select(*unpacked(pages, *apart), "text", "n_chars")
