@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -472,6 +473,53 @@ def test_brown_scores(spark):
     assert len(twice) == 3
 
 
+@pytest.mark.parametrize("known", [10_000, 50])
+def test_brown_scores_against_dictionaries(spark, monkeypatch, known):
+    """Given the classes found, every text's score from plain counts of class pairs and words."""
+    kept = {}
+    real = brown._fit
+    monkeypatch.setattr(brown, "_fit", lambda *a: kept.setdefault("fit", real(*a)))
+    rng, vocab = random.Random(19), vocabulary(19, 120)
+    weight = [1 / (i + 1) for i in range(120)]
+    rows = [(i, " ".join(rng.choices(vocab, weight, k=rng.randint(0, 40)))) for i in range(150)] + [(900, None), (901, "never seen words " * 3)]
+    got = {r.doc_id: r for r in brown.class_model_scores(docs(spark, rows), known=known, assigned=30, clustered=20, classes=5).collect()}
+    fitted, classed = kept["fit"]
+    table = {r.word: r["class"] for r in classed.collect()}
+    end, other = fitted.end, fitted.end + 1
+    name = {w: int(brown._tokens(next(slices(pa.array([w]))))[0][0]) for _, t in rows for w in words(t)}
+    train = Counter(w for i, t in rows if fold(i, 5) != 1 for w in words(t))
+    assert set(table) == {name[w] for w in train}
+    of = lambda w: end if w is None else table[name[w]] if train[w] > 1 else other
+    assert {table[name[w]] for w in train if train[w] == 1} <= {other} and {of(w) for w in train if train[w] > 1} <= set(range(5))
+    mass, pairs = Counter(), Counter()
+    for i, t in rows:
+        if fold(i, 5) != 1:
+            seq = [end, *(of(w) for w in words(t)), end]
+            pairs.update(zip(seq, seq[1:]))
+            mass.update(seq[1:])
+    kinds, follow, ahead = Counter(a for a, _ in pairs), Counter(), Counter()
+    for (a, b), n in pairs.items():
+        follow[a] += n
+        ahead[b] += n
+    width = fitted.end + 2
+    total = sum(pairs.values())
+
+    def step(a, b):
+        prior = (ahead[b] + 0.5) / (total + 0.5 * width)
+        return (pairs[a, b] + kinds[a] * prior) / (follow[a] + kinds[a]) if follow[a] else prior
+
+    def word(w):
+        if w is None:
+            return 1.0
+        return train[w] / mass[of(w)] if train[w] > 1 else (train[w] + 0.5) / (mass[other] + 0.5 * (mass[other] + 1))
+
+    for i, t in rows:
+        tokens = [*words(t), None]
+        want = sum(math.log10(step(a, b)) for a, b in zip([end, *map(of, tokens)], map(of, tokens))) + sum(math.log10(word(w)) for w in tokens)
+        assert got[i].score == pytest.approx(want), i
+        assert got[i].perplexity == pytest.approx(10 ** (-want / len(tokens)))
+
+
 def test_brown_classes_of_rare_words(spark):
     # Words of two kinds alternate. All but 20 of 120 are beyond the sent table and still have classes.
     rng = random.Random(8)

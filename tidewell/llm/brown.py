@@ -1,12 +1,14 @@
 """Language-model scores from Brown classes.
 
-The most frequent words are put into classes by exchange clustering: each word in
-turn moves to the class that raises the likelihood of the class bigrams most. Every
-other word seen more than once then makes one exchange step, against those classes,
-from all its neighbours; among those, words not clustered count by the octave of
-their count. Words seen once stand for unseen ones and make up one class. A text's
+Classes are found by exchange clustering. A first exchange, on the driver, moves
+the most frequent words one at a time to the class that raises the likelihood of
+the class bigrams most. Then come rounds of distributed exchange over every word
+seen more than once: all occurrences of a word say which classes surround it, and
+it moves to the class of highest gain, all words at once. In the first of these
+rounds words that have no class yet count, as neighbours, by the octave of their
+count. Words seen once stand for unseen ones and make up one class. A text's
 probability is the product of class transitions (Witten-Bell smoothed) and word
-emissions.
+emissions; its perplexity is the inverse of the mean probability of its tokens.
 
 All counts cover all training texts. Tables sent with tasks are bounded by the
 numbers of words, not by the corpus; counts and classes of rarer words are joined.
@@ -65,11 +67,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Vocabulary:
-    """Known words, sorted by name: count and rank by count of each."""
+    """Known words, sorted by name: count and rank by count of each, and the least count that was taken."""
 
     word: np.ndarray
     count: np.ndarray
     rank: np.ndarray
+    least: int
 
     def find(self, tokens: np.ndarray) -> np.ndarray:
         """Index of each token, -1 where it is not among them."""
@@ -102,7 +105,7 @@ def _listed(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, of_word: np.ndarray, slot: np.ndarray, slots: int, width: int) -> Iterator[pa.RecordBatch]:
-    """How often which classes surround each word that is not clustered.
+    """How often which classes surround each word.
 
     An entry's code is ``before * (width + 1) + after``, with ``width`` for a side
     that the entry leaves out. ``slot`` is -2 for words without contexts; words with
@@ -150,7 +153,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, of_word
 
 
 def _assign(batches: Iterator[pa.RecordBatch], behind: np.ndarray, ahead: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Class of each word, whose rows follow one another: that whose neighbours explain the word's best."""
+    """Class of each word, whose rows follow one another: that of the highest gain of likelihood."""
     width, classes = behind.shape
 
     def classed(words: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
@@ -336,18 +339,20 @@ def grown(words: int, clustered: int, classes: int) -> tuple[int, int]:
 
 def class_model_scores(
     documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1,
-    known: int = 200_000, assigned: int = 8_000, clustered: int = 600, classes: int = 40,
+    known: int = 200_000, assigned: int = 8_000, clustered: int = 600, classes: int = 40, rounds: int = 2,
 ) -> DataFrame:
-    """``(<id>, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every document.
+    """``(<id>, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity)`` for every document.
 
     Learns from documents whose id's fold is not ``held_fold``. Tokens are the
     words (runs of non-blank bytes, A-Z lower-cased) and one end. ``base_score`` is
     the add-half unigram score, ``score`` the class model's log10 probability.
 
-    ``clustered`` words and ``classes`` are for up to GROWS_FROM words seen more
-    than once; with more, both grow (see ``grown``). ``known`` words are sent with
-    tasks and ``assigned`` words' contexts summed inside them; neither bounds the
-    words that have classes.
+    ``clustered`` words start the ``classes`` off, for up to GROWS_FROM words seen
+    more than once; with more, both grow (see ``grown``). Every word seen more than
+    once is then exchanged ``rounds`` times. ``known`` words are sent with tasks and
+    ``assigned`` words' contexts summed inside them; neither bounds the words that
+    have classes, but a word beyond the known ones counts, as a neighbour in the
+    exchange, with those seen once.
 
     A null text is empty: its end is its only token. A null id has the fold of
     empty text. Repeated rows count and are scored each. Ties between equally
@@ -362,14 +367,9 @@ def class_model_scores(
     counts = scratch.save(train.mapInArrow(_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total, kinds, repeated = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") > 1)).first()
     # Words seen once stand for those not seen at all: they are never among the known ones.
-    top = counts.where((F.col("n") > 1) | (F.col("word") == END)).orderBy((F.col("word") != END), F.desc("n"), "word").limit(known).toArrow()
+    vocabulary = _known(counts, known)
     scratch.drop("counts")
-    name, count = top["word"].to_numpy(), top["n"].to_numpy()
-    order = np.argsort(name)
-    rank = np.empty(len(order), np.int64)
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(order))
-    vocabulary = Vocabulary(name[order], count[order], rank[order])
-    fitted, classed = _fit(train, vocabulary, scratch, known, assigned, *grown(int(repeated), clustered, classes))
+    fitted, classed = _fit(train, vocabulary, scratch, assigned, rounds, *grown(int(repeated), clustered, classes))
     code, end, width = fitted.code(), fitted.end, fitted.end + 2
     encoded = docs.mapInArrow(lambda it: _encoded(it, fitted), "id bigint, n_tokens bigint, n_found bigint, log_counts double, log_emission double, seq binary, rare array<bigint>")
     encoded = scratch.save(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
@@ -377,7 +377,7 @@ def class_model_scores(
     found = rare.groupBy("row").agg(F.collect_list(F.struct("k", F.coalesce("class", F.lit(end + 1)).alias("c"), F.coalesce("n", F.lit(0)).alias("n"))).alias("found"))
     filled = encoded.join(found, "row", "left").select("id", "n_tokens", "n_found", "log_counts", "log_emission", "seq", "found")
     filled = scratch.save(filled.mapInArrow(lambda it: _filled(it, fitted), "id bigint, n_tokens bigint, n_known bigint, log_counts double, log_emission double, seq binary"), "filled")
-    scratch.drop("encoded", "classed")
+    scratch.drop("encoded")
     held = fold(F.col("id"), folds) == held_fold
     got = filled.where(~held).select("seq").mapInArrow(lambda it: _transitions(it, code, end, width), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(width * width)
@@ -388,12 +388,44 @@ def class_model_scores(
     score = F.col("log_class") + F.col("log_emission") if total else base
     return scored.select(
         F.col("id").alias(id_col), held.alias("held_out"), "n_tokens", "n_known",
-        F.lit(int(total)).cast("bigint").alias("train_tokens"), base.alias("base_score"), score.alias("score"),
+        F.lit(int(total)).cast("bigint").alias("train_tokens"), base.alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )
 
 
-def _fit(train: DataFrame, vocabulary: Vocabulary, scratch: Scratch, known: int, assigned: int, clustered: int, classes: int) -> tuple[Classes, DataFrame]:
-    """Classes of known words, and ``(word, n, class)`` of all words of the training texts but the clustered ones."""
+def _known(counts: DataFrame, most: int) -> Vocabulary:
+    """The most frequent words seen more than once, ``most`` at most, and END.
+
+    A histogram by sixteenths of an octave says from which count on they are; words
+    of the count class that doesn't fit whole are left to the joins.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    frequent = counts.where("n > 1").withColumn("step", step)
+    histogram = sorted(((r.step, r["count"], r.least) for r in frequent.groupBy("step").agg(F.count("*").alias("count"), F.min("n").alias("least")).collect()), reverse=True)
+    total, least = 0, 1 << 62
+    for _, words, lowest in histogram:
+        total += words
+        if total > most:
+            break
+        least = lowest
+    top = counts.where((F.col("n") >= least) | (F.col("word") == END)).toArrow()
+    name, count = top["word"].to_numpy(), top["n"].to_numpy()
+    order = np.argsort(name)
+    name, count = name[order], count[order]
+    rank = np.empty(len(name), np.int64)
+    rank[np.lexsort((name, -count, name != END))] = np.arange(len(name))
+    return Vocabulary(name, count, rank, least)
+
+
+def _counted(train: DataFrame, vocabulary: Vocabulary, symbol: np.ndarray, symbols: int) -> np.ndarray:
+    """How often symbol b follows a."""
+    got = train.mapInArrow(lambda it: _bigrams(it, vocabulary, symbol, symbols), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(symbols * symbols)
+    counts[got["pair"].to_numpy()] = got["n"].to_numpy()
+    return counts.reshape(symbols, symbols)
+
+
+def _fit(train: DataFrame, vocabulary: Vocabulary, scratch: Scratch, assigned: int, rounds: int, clustered: int, classes: int) -> tuple[Classes, DataFrame]:
+    """Classes of known words, and ``(word, n, class)`` of all words of the training texts."""
     size = len(vocabulary.word)
     octave = np.floor(np.log2(np.maximum(vocabulary.count, 1))).astype(np.int64)
     octaves = int(octave.max()) + 1 if size else 0
@@ -402,34 +434,38 @@ def _fit(train: DataFrame, vocabulary: Vocabulary, scratch: Scratch, known: int,
     symbol = np.append(np.where(vocabulary.rank < clustered, vocabulary.rank, clustered + octave), clustered + octaves + 1)
     symbol[end] = clustered + octaves
     symbols = clustered + octaves + 2
-    got = train.mapInArrow(lambda it: _bigrams(it, vocabulary, symbol, symbols), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(symbols * symbols)
-    counts[got["pair"].to_numpy()] = got["n"].to_numpy()
-    del got
-    counts = counts.reshape(symbols, symbols)
+    counts = _counted(train, vocabulary, symbol, symbols)
     own = exchange(counts, clustered, classes)
     width = classes + octaves + 2
     member = np.zeros((symbols, width))
     member[np.arange(symbols), own] = 1
     table = member.T @ counts @ member
-    of_word = own[symbol]
-    slot = np.append(np.where(vocabulary.rank < clustered, -2, np.where(vocabulary.rank < clustered + assigned, vocabulary.rank - clustered, -1)), -1)
-    # One exchange step: the class whose neighbours explain the word's best.
-    smooth = table[:classes] + 0.1
-    ahead = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T
-    smooth = table[:, :classes] + 0.1
-    behind = np.log(smooth / smooth.sum(axis=1, keepdims=True))
-    near = train.mapInArrow(lambda it: _contexts(it, vocabulary, of_word, slot, assigned, width), "word bigint, near binary")
-    classed = near.repartition("word").sortWithinPartitions("word").mapInArrow(lambda it: _assign(it, behind, ahead), "word bigint, n bigint, class int")
-    classed = scratch.save(classed, "classed")
-    top = classed.where("n > 1").orderBy(F.desc("n"), "word").limit(known).select("word", "class").toArrow()
-    at = vocabulary.find(top["word"].to_numpy())
-    chosen = np.append(of_word[:-1], classes + 1)
-    chosen[at[at >= 0]] = top["class"].to_numpy()[at >= 0]
-    chosen[end] = classes
-    mass = np.bincount(chosen[:-1][vocabulary.rank < clustered], vocabulary.count[vocabulary.rank < clustered], minlength=classes + 2)
-    if size and vocabulary.rank[end] >= clustered:
-        mass[classes] += vocabulary.count[end]
+    del counts, member
+    around = own[symbol]  # of each known word as a neighbour; the last is that of all others
+    slot = np.append(np.where(vocabulary.rank < assigned, vocabulary.rank, -1), -1)
+    chosen = around
+    for k in range(max(1, rounds)):
+        if k:
+            around, width = chosen, classes + 2
+            table = _counted(train, vocabulary, around, width)
+        # The gain of a word's move, but for what it changes in its own class's sums.
+        smooth = table[:classes] + 0.1
+        ahead = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T
+        smooth = table[:, :classes] + 0.1
+        behind = np.log(smooth / smooth.sum(axis=0, keepdims=True))
+        near = train.mapInArrow(lambda it, around=around, width=width: _contexts(it, vocabulary, around, slot, assigned, width), "word bigint, near binary")
+        classed = near.repartition("word").sortWithinPartitions("word").mapInArrow(lambda it, behind=behind, ahead=ahead: _assign(it, behind, ahead), "word bigint, n bigint, class int")
+        classed = scratch.save(classed, f"classed{k}")
+        if k:
+            scratch.drop(f"classed{k - 1}")
+        top = classed.where(F.col("n") >= vocabulary.least).select("word", "class").toArrow()
+        at = vocabulary.find(top["word"].to_numpy())
+        chosen = np.full(size + 1, classes + 1)
+        chosen[at[at >= 0]] = top["class"].to_numpy()[at >= 0]
+        chosen[end] = classes
+    mass = np.zeros(classes + 2, np.int64)
+    if size:
+        mass[classes] = vocabulary.count[end]
     for r in classed.groupBy("class").agg(F.sum("n").alias("n")).collect():
         mass[r["class"]] += r.n
     emission = np.append(np.log10(vocabulary.count / np.maximum(mass[chosen[:-1]], 1)), 0.0)
