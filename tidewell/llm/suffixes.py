@@ -9,7 +9,7 @@ with equal head and segment match over all of it and make a class, for which its
 first member stands.
 
 The classes are sorted by head and segment, and those with a neighbour of equal
-head go on as suffixes proper: they are sorted by their words from the anchor on,
+head go on as suffixes proper: they are sorted by head and by their words after it,
 and the longest common prefix with either neighbour says how far to the right any
 other suffix can match. The rest is sorted by head and by the words before the
 anchor, backwards, and the neighbours say how far to the left. What runs lie
@@ -103,19 +103,19 @@ def _suffixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *numbers, pa.array(signed(head)), pa.array(signed(segment))], ["id", "t", "pos", "n", "a", "head", "segment"])
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes, a row for each value, and their numbers."""
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit word hashes, a row for each value, and their numbers."""
     off, raw = buffers(column)
-    size = np.diff(off) // 8
-    out = np.zeros((len(size), int(size.max(initial=0))), U)
+    size = np.diff(off) // 4
+    out = np.zeros((len(size), int(size.max(initial=0))), np.uint32)
     row = np.repeat(np.arange(len(size)), size)
-    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = raw.view(">u8")
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = raw.view(">u4")
     return out, size
 
 
 def common(column: pa.Array) -> np.ndarray:
-    """Words that each value and the next have in common from the start on."""
-    words, size = _matrix(column)
+    """Words that each value and the next have in common from the start on, or more where hashes of 32 bits agree."""
+    words, size = _words(column)
     differ = words[1:] != words[:-1]
     least = np.minimum(size[1:], size[:-1])
     return np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), least), least) if words.shape[1] else least
@@ -148,64 +148,63 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows.filter(pa.array(same > 0))
 
 
-def _binary(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+def _binary(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     """``size`` values from each start on, as one binary value each."""
     bounds = np.concatenate([[0], np.cumsum(size)])
-    flat = words[np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], size)].astype(">u8")
-    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer((bounds * 8).astype(np.int64)), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+    flat = values[np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], size)]
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(bounds * flat.itemsize), pa.py_buffer(flat.tobytes())]).cast(pa.binary())
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """The listed segments with the hashes of their words: from the anchor on, and before it backwards."""
+    """The listed segments with the names of their runs, and their words after the head and, backwards, before the anchor."""
+    head_words = GRAM + _head(least)
     for batch in batches:
         wanted = batch.column(3)
         for part in slices(batch.column(2)):
             listed = wanted.slice(part.first, part.n)
             text = np.repeat(np.arange(part.n), np.asarray(listed.value_lengths()))
             pos, n, a, head = (listed.flatten().field(i) for i in range(4))
-            first = pos.to_numpy() + part.at[text]
-            right, left = n.to_numpy() - 1 + least - a.to_numpy(), a.to_numpy()
+            first, count, left = pos.to_numpy() + part.at[text], n.to_numpy(), a.to_numpy()
             anchor = first + left
-            back = part.hash[::-1]
+            short = (part.hash >> U(32)).astype(">u4")
+            start = np.arange(max(0, len(part.hash) - least + 1))
+            runs = Runs(part)(start, start + least)
             row = pa.array(part.first + text)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), pos, n, a, head, _binary(part.hash, anchor, right), _binary(back, len(back) - anchor, left)],
-                ["id", "t", "pos", "n", "a", "head", "right", "left"],
+                [batch.column(0).take(row), batch.column(1).take(row), pos, n, a, head, _binary(short, anchor + head_words, count - 1 + least - left - head_words), _binary(short[::-1], len(short) - anchor, left), _binary(runs, first, count)],
+                ["id", "t", "pos", "n", "a", "head", "right", "left", "runs"],
             )
 
 
+def _matched(side: str) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """Compares suffixes in order of head and ``side``: words in common on that side, -1 if heads differ."""
+    return lambda rows: np.where(_same_head(rows) > 0, common(rows.column(side)), -1)
+
+
 def _rightwards(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Suffixes sorted by their words, with the runs that any other can match to the right: their number ``upto``."""
-    for rows, most in neighbours(batches, lambda r: common(r.column("right")), 1 << 30):
+    """Of suffixes sorted by their words, those that another can match to the right over some run, with the number of such runs."""
+    head_words = GRAM + _head(least)
+    for rows, most in neighbours(batches, _matched("right"), 1 << 30):
         n, a = (rows.column(x).to_numpy() for x in "na")
-        upto = np.minimum(n, a - least + most + 1)
-        some = upto > 0
-        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(upto.astype(np.int32))], [*rows.schema.names, "upto"]).filter(pa.array(some))
+        upto = np.where(most < 0, 0, np.minimum(n, a - least + head_words + most + 1))
+        kept = [x for x in rows.schema.names if x not in ("right", "n")]
+        yield pa.RecordBatch.from_arrays([*(rows.column(x) for x in kept), pa.array(upto.astype(np.int32))], [*kept, "upto"]).filter(pa.array(upto > 0))
 
 
-def _leftwards(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Suffixes sorted by head and words before them: the runs within both extensions, as ``id, t, pos, run``."""
-    for rows, most in neighbours(batches, lambda r: common(r.column("left")) * _same_head(r) - (1 - _same_head(r)), 1 << 30):
-        a, upto = rows.column("a").to_numpy().astype(np.int64), rows.column("upto").to_numpy().astype(np.int64)
+def _leftwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of suffixes sorted by head and words before them, the runs within both extensions."""
+    for rows, most in neighbours(batches, _matched("left"), 1 << 30):
+        a, upto = (rows.column(x).to_numpy().astype(np.int64) for x in ("a", "upto"))
         low = np.where(most < 0, upto, np.maximum(0, a - most))
         count = np.maximum(0, upto - low)
-        pick = np.flatnonzero(count)
-        if not len(pick):
+        row = np.repeat(np.arange(len(count)), count)
+        if not len(row):
             continue
-        rows, a, low, count = rows.take(pa.array(pick)), a[pick], low[pick], count[pick]
-        (right, right_n), (left, left_n) = (_matrix(rows.column(x)) for x in ("right", "left"))
-        words = np.zeros((len(pick), int((right_n + left_n).max())), U)
-        for values, size, place in ((left, left_n, lambda r, c: a[r] - 1 - c), (right, right_n, lambda r, c: a[r] + c)):
-            r, c = np.nonzero(np.arange(values.shape[1])[None, :] < size[:, None])
-            words[r, place(r, c)] = values[r, c]
-        up, down = _powers(_BASE, words.shape[1] + 1), _powers(_BASE_INV, words.shape[1] + 1)
-        total = np.zeros((len(pick), words.shape[1] + 1), U)
-        np.cumsum(mix(words) * up[: words.shape[1]], axis=1, out=total[:, 1:])
-        row = np.repeat(np.arange(len(pick)), count)
         k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
-        run = mix((total[row, k + least] - total[row, k]) * down[k] + U(least * 0x9E3779B97F4A7C15 % (1 << 64)))
+        off, raw = buffers(rows.column("runs"))
+        run = raw.view(np.int64)[off[row] // 8 + k]
         at = pa.array(row)
-        yield pa.RecordBatch.from_arrays([rows.column("id").take(at), rows.column("t").take(at), pa.array((rows.column("pos").to_numpy()[row] + k).astype(np.int32)), rows.column("pos").take(at), pa.array(signed(run))], ["id", "t", "pos", "seg", "run"])
+        yield pa.RecordBatch.from_arrays([rows.column("id").take(at), rows.column("t").take(at), pa.array((rows.column("pos").to_numpy()[row] + k).astype(np.int32)), rows.column("pos").take(at), pa.array(run)], ["id", "t", "pos", "seg", "run"])
 
 
 def repeated_passages(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
@@ -240,10 +239,10 @@ def repeated_passages(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     extend = crowded.groupBy("id", "t").agg(F.collect_list(F.struct("pos", "n", "a", "head")).alias("segments")).withColumnsRenamed({"id": "i", "t": "u"})
     found = texts.join(extend, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("id", "t", "text", "segments")
     place_names = ("id", "t", "pos")
-    suffix = "id bigint, t bigint, pos int, n int, a int, head bigint, right binary, left binary"
+    suffix = "id bigint, t bigint, pos int, n int, a int, head bigint, right binary, left binary, runs binary"
     found = found.mapInArrow(lambda it: _contexts(it, least), suffix)
-    found = in_order(found, "right", *place_names).mapInArrow(lambda it: _rightwards(it, least), f"{suffix}, upto int")
-    found = in_order(found, "head", "left", *place_names).mapInArrow(lambda it: _leftwards(it, least), "id bigint, t bigint, pos int, seg int, run bigint")
+    found = in_order(found, "head", "right", *place_names).mapInArrow(lambda it: _rightwards(it, least), "id bigint, t bigint, pos int, a int, head bigint, left binary, runs binary, upto int")
+    found = in_order(found, "head", "left", *place_names).mapInArrow(_leftwards, "id bigint, t bigint, pos int, seg int, run bigint")
     found = scratch.save(found, "runs")
     met = found.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("run", "first")
     of_runs = found.join(met, "run").select("id", "t", F.col("pos").alias("start"), (F.col("pos") + least).alias("end"), (place != F.col("first")).alias("removed"), F.array_compact(F.array("first.id")).alias("ids"), "seg")
@@ -264,22 +263,31 @@ def repeated_passages(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     return spans
 
 
-def covered(spans: list[dict], removed_only: bool) -> list[tuple[int, int]]:
-    """The union of spans, as disjoint ones in order."""
-    out: list[tuple[int, int]] = []
-    for start, end in sorted((s["start"], s["end"]) for s in spans if s["removed"] or not removed_only):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((start, end))
-    return out
+def united(spans: pa.Array, removed_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The union of each row's spans as disjoint ones in order: row, start, end."""
+    size = np.asarray(spans.value_lengths().fill_null(0))
+    row = np.repeat(np.arange(len(size)), size)
+    start, end, removed = (spans.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+    if removed_only:
+        row, start, end = row[removed], start[removed], end[removed]
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order].astype(np.int64), end[order].astype(np.int64)
+    if not len(row):
+        return row, start, end
+    shift = row * (end.max() + 1)  # rows apart, so that one running maximum serves all
+    reach = np.maximum.accumulate(end + shift)
+    new = np.concatenate([[True], (start + shift)[1:] > reach[:-1]])
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(row) - 1)
+    return row[new], start[new], reach[last] - shift[last]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans = batch.column(1).to_pylist()
-        sums = [[sum(e - s for s, e in covered(x, only)) for x in spans] for only in (False, True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()), batch.column(2)], ["id", "n_repeated", "n_removed", "first_ids"])
+        sums = []
+        for only in (False, True):
+            row, start, end = united(batch.column(1), only)
+            sums.append(pa.array(np.bincount(row, end - start, batch.num_rows).astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *sums, batch.column(2)], ["id", "n_repeated", "n_removed", "first_ids"])
 
 
 def passage_report(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
@@ -292,23 +300,24 @@ def passage_report(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (other columns, spans, text): texts without their removed words; the blanks after a removed word go with it."""
     for batch in batches:
-        spans, out = [covered(s or [], True) for s in batch.column(1).to_pylist()], []
-        texts = batch.column(2)
+        row, first, last = united(batch.column(1), True)
+        bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        texts, out = batch.column(2), []
         for part in slices(texts, lower=False):
             for i in range(part.n):
-                gone = spans[part.first + i]
-                if not gone:
+                mine = slice(bounds[part.first + i], bounds[part.first + i + 1])
+                if mine.start == mine.stop:
                     out.append(texts[part.first + i].as_py())
                     continue
                 lo, hi = part.bounds[i], part.bounds[i + 1]
                 start = part.start[part.at[i] : part.at[i + 1]]
                 kept, at = [], lo
-                for s, e in gone:
+                for s, e in zip(first[mine], last[mine]):
                     kept.append(part.data[at : start[s]])
                     at = start[e] if e < len(start) else hi
                 kept.append(part.data[at:hi])
                 out.append(np.concatenate(kept).tobytes().decode(errors="replace"))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bool(s) for s in spans]), pa.array(out, pa.string())], ["rest", "cut", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds) > 0), pa.array(out, pa.string())], ["rest", "cut", "text"])
 
 
 def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
