@@ -136,10 +136,10 @@ def test_rest_errors():
 
 
 def test_settings(monkeypatch, tmp_path):
-    for name in ("FINANCE_ENDPOINT", "FINANCE_PROVIDER", "FINANCE_DUCKDB_DATABASE", "ALPHAVANTAGE_API_KEY"):
+    for name in ("TIDEWELL_ENDPOINT", "TIDEWELL_PROVIDER", "TIDEWELL_DATABASE", "ALPHAVANTAGE_API_KEY"):
         monkeypatch.delenv(name, raising=False)
     assert config.build_settings() == config.Settings("api", "alphavantage", ":memory:")
-    monkeypatch.setenv("FINANCE_PROVIDER", "yfinance")
+    monkeypatch.setenv("TIDEWELL_PROVIDER", "yfinance")
     assert config.build_settings(provider="alphavantage").provider == "alphavantage"
     with pytest.raises(RuntimeError):
         config.api_key()

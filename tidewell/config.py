@@ -35,10 +35,10 @@ def _one_of(name: str, value: str, allowed: tuple[str, ...]) -> str:
 def build_settings(endpoint: str | None = None, provider: str | None = None, database: str | None = None, sql: str | None = None) -> Settings:
     env = os.environ.get
     return Settings(
-        _one_of("endpoint", endpoint or env("FINANCE_ENDPOINT") or "api", ENDPOINTS),
-        _one_of("provider", provider or env("FINANCE_PROVIDER") or "alphavantage", PROVIDERS),
-        database or env("FINANCE_DUCKDB_DATABASE") or ":memory:",
-        sql or env("FINANCE_SQL"),
+        _one_of("endpoint", endpoint or env("TIDEWELL_ENDPOINT") or "api", ENDPOINTS),
+        _one_of("provider", provider or env("TIDEWELL_PROVIDER") or "alphavantage", PROVIDERS),
+        database or env("TIDEWELL_DATABASE") or ":memory:",
+        sql or env("TIDEWELL_SQL"),
     )
 
 
