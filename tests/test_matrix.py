@@ -78,3 +78,20 @@ def test_sample_is_stable(spark, data):
     assert len(first) == 10 and first == {r.id for r in matrix.sample_rows(df, 10, "id").collect()}
     with pytest.raises(ValueError):
         matrix.sample_rows(df, 0, "id")
+
+
+def test_kendall_of_too_many_rows_raises(spark, monkeypatch):
+    monkeypatch.setattr(matrix, "KENDALL_ROWS", 20)
+    df = spark.range(21).selectExpr("id", "id % 5 as a", "id % 3 as b")
+    with pytest.raises(ValueError, match="sample"):
+        matrix.correlation_matrix(df, features=["a", "b"], method="kendall", key="id")
+    few = matrix.sample_rows(df, 20, "id")
+    assert matrix.correlation_matrix(few, features=["a", "b"], method="kendall", key="id").count() == 3
+
+
+def test_ranks_over_many_ranges_equal_pandas(spark):
+    rng = np.random.default_rng(5)
+    values = [None if rng.random() < 0.1 else float(rng.integers(-40, 40)) for _ in range(700)] + [7.0] * 300
+    got = matrix.average_ranks(spark.createDataFrame(list(enumerate(values)), "id int, v double"), ["v"]).orderBy("id").toPandas()["v"]
+    want = pd.Series(values, dtype="float64").rank()
+    assert np.allclose(got, want, equal_nan=True)

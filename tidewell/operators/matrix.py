@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 from tidewell.functions.scalars import no_nan
 
 
+#: Ranges that ranks are counted in, and most rows whose pairs Kendall's tau compares.
+RANGES, KENDALL_ROWS = 64, 10_000
+
+
 def numeric_columns(df: DataFrame, features: Sequence[str] | None = None, exclude: Sequence[str] = ()) -> list[str]:
     """The chosen columns less the excluded; by default all numeric ones."""
     chosen = list(features) if features is not None else [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -25,10 +29,10 @@ def numeric_frame(df: DataFrame, dropna: bool = True) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """``n`` rows chosen by hash of ``key``: the same ones in every run."""
+    """``n`` rows chosen by md5 of seed and ``key``: the same ones in every run."""
     if n <= 0:
         raise ValueError("sample size must be positive")
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -39,10 +43,20 @@ def safe_corr(x: Column, y: Column) -> Column:
 
 
 def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns replaced by their ranks, ties averaged, NULL kept. Ranks come from counts by value, not from one sorted partition per row."""
+    """Columns replaced by their ranks, ties averaged, NULL kept.
+
+    Counts by value are cut into RANGES ranges at approximate quantiles; a range is
+    ranked by itself, and what the ranges before hold is added from a table of one
+    row a range. How even the ranges are changes nothing in the ranks.
+    """
     for c in columns:
         counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n"))
-        ranked = counts.select("_v", F.expr("sum(_n) over (order by _v) - (_n - 1) / 2").alias("_rank"))
+        cuts = sorted(set(counts.select(F.col("_v").cast("double").alias("v")).approxQuantile("v", [i / RANGES for i in range(1, RANGES)], 0.01)))
+        part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col("_v").cast("double"))) if cuts else F.lit(0)
+        counts = counts.withColumn("_part", part)
+        held = counts.groupBy("_part").agg(F.sum("_n").alias("_held")).select(F.col("_part").alias("_p"), F.expr("sum(_held) over (order by _part) - _held").alias("_before"))
+        placed = counts.join(F.broadcast(held), F.col("_part") == F.col("_p"))
+        ranked = placed.select("_v", F.expr("_before + sum(_n) over (partition by _part order by _v) - (_n - 1) / 2").alias("_rank"))
         df = df.join(ranked, df[c] == ranked["_v"], "left").drop("_v").withColumn(c, F.col("_rank").cast("double")).drop("_rank")
     return df
 
@@ -56,7 +70,8 @@ def _unpivot(df: DataFrame, pairs: list[tuple[str, str]], values: list[Column])
 def correlation_matrix(df: DataFrame, *, features: Sequence[str] | None = None, exclude: Sequence[str] = (), method: str = "pearson", key: str | None = None) -> DataFrame:
     """``(row, col, corr)`` for the lower triangle and the diagonal, pairwise complete.
 
-    ``kendall`` (tau-b) compares pairs of rows, so sample first; it needs ``key``.
+    ``kendall`` (tau-b) compares pairs of rows; it needs ``key`` and raises for more
+    than KENDALL_ROWS rows: take ``sample_rows`` first.
     """
     columns = numeric_columns(df, features, exclude)
     if len(columns) < 2:
@@ -75,6 +90,8 @@ def correlation_matrix(df: DataFrame, *, features: Sequence[str] | None = None,
         raise ValueError(f"unknown method {method}")
     if key is None:
         raise ValueError("kendall needs a key column")
+    if df.limit(KENDALL_ROWS + 1).count() > KENDALL_ROWS:
+        raise ValueError(f"kendall compares pairs of rows: sample {KENDALL_ROWS} at most")
     left, right = df.select(F.col(key).alias("_k"), *columns), df.select(F.col(key).alias("_l"), *(F.col(c).alias(f"_{c}") for c in columns))
     met = left.join(right, F.col("_k") < F.col("_l"))
 

@@ -223,8 +223,8 @@ def _payload(kind: str):
         report = "named_struct('fiscalDateEnding', date_format(l_shipdate, 'yyyy-MM-dd'), 'reportedCurrency', 'USD', {})"
         fields = payloads.FIELDS[kind]
         values = ", ".join(f"'{api}', cast(cast(l_quantity as bigint) * {i + 3} as string)" for i, api in enumerate(a for a in fields.values() if a))
-        rows = table(spark, d, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey").agg(
-            F.collect_list(F.when(F.col("l_linenumber") == 1, F.expr(report.format(values)))).alias("annualReports"), F.collect_list(F.when(F.col("l_linenumber") == 2, F.expr(report.format(values)))).alias("quarterlyReports")
+        rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+            F.collect_list(F.when(F.col("l_linenumber") % 2 == 1, F.expr(report.format(values)))).alias("annualReports"), F.collect_list(F.when(F.col("l_linenumber") % 2 == 0, F.expr(report.format(values)))).alias("quarterlyReports")
         )
         raw = rows.select(F.to_json(F.struct(F.concat(F.lit("S"), "l_orderkey").alias("symbol"), "annualReports", "quarterlyReports")).alias("payload"))
         out = payloads.statement_rows(raw, kind, "payload", F.lit("api"), F.expr(NOW))
@@ -267,7 +267,7 @@ def numeric_model_frame(spark, d):
 
 
 def row_sample(spark, d):
-    return matrix.sample_rows(table(spark, d, "part").select("p_partkey"), 50, "p_partkey").agg(F.count("*").alias("n"))
+    return matrix.sample_rows(table(spark, d, "part").select("p_partkey"), 50, "p_partkey")
 
 
 def pca_projection(spark, d):
@@ -276,7 +276,7 @@ def pca_projection(spark, d):
 
 
 def time_points(spark, d):
-    return matrix.line_series(table(spark, d, "orders").where("o_orderstatus = 'F'"), "o_orderdate", "o_totalprice", "o_orderpriority")
+    return matrix.line_series(table(spark, d, "orders"), "o_orderdate", "o_totalprice", "o_orderpriority")
 
 
 SQL: dict[str, str] = {
@@ -286,7 +286,7 @@ SQL: dict[str, str] = {
     "sql_window": "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place, CAST(rank() OVER (ORDER BY o_orderdate) AS BIGINT) AS rank_by_date FROM orders",
     "sql_set_ops": "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0",
     "sql_subquery": "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders) AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 49)",
-    "sql_semi_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "sql_semi_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL) AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
     "sql_range_join": "SELECT a.p_partkey, CAST(count(b.p_partkey) AS BIGINT) AS near FROM part a LEFT JOIN part b ON a.p_brand = b.p_brand AND b.p_size BETWEEN a.p_size - 1 AND a.p_size + 1 GROUP BY a.p_partkey",
     "sql_cte_distinct": "WITH e AS (SELECT user_id, event_type FROM events) SELECT user_id, CAST(count(DISTINCT event_type) AS BIGINT) AS kinds, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS errors FROM e GROUP BY user_id",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.schemas import JOB_KEY, JOB_STATUSES, JOBS, STATEMENT_MEASURES
-from tidewell.sources.store import TableStore
+from tidewell.sources.store import TableStore, union_all
 
 DATASETS = ("income_statement", "cash_flow", "balance_sheet")
 EPOCH = "timestamp_ntz '1970-01-01 00:00:00'"
@@ -119,7 +119,8 @@ def migrate(
     """Work off due jobs: load, upsert, note the outcome; stop at the first quota error.
 
     ``loaders[dataset](symbol)`` gives statement rows or raises RuntimeError; other
-    errors end the run. Outcomes of a run are written to the queue at once.
+    errors end the run. A run's rows are upserted once for each table, and its
+    outcomes are then written to the queue at once.
     """
     if max_requests <= 0 or retry_delay_minutes <= 0 or quota_retry_minutes <= 0:
         raise RuntimeError("max_requests, retry_delay_minutes and quota_retry_minutes must be positive")
@@ -132,17 +133,20 @@ def migrate(
     queue = store.read("fundamental_migration_progress")
     due = due_jobs(queue, F.lit(at), max_requests).collect()  # at most max_requests rows
     outcomes, quota = [], False
+    loaded: dict[str, list[DataFrame]] = {}
     for job in due:
         try:
             found = loaders[job.dataset](job.symbol)
-            n = store.upsert(tables[job.dataset], found)
-            outcomes.append((job.symbol, job.dataset, n, None, None))
+            outcomes.append((job.symbol, job.dataset, found.count(), None, None))
+            loaded.setdefault(tables[job.dataset], []).append(found)
         except RuntimeError as e:
             quota = is_quota_message(str(e))
             delay = quota_retry_minutes if quota else retry_delay_minutes * 2 ** min(job.attempts, 4)
             outcomes.append((job.symbol, job.dataset, 0, str(e), now() + timedelta(minutes=delay)))
             if quota:
                 break
+    for name, frames in loaded.items():
+        store.upsert(name, union_all(frames))
     if outcomes:
         made = spark.createDataFrame(outcomes, "symbol string, dataset string, rows bigint, error string, retry_ts timestamp_ntz")
         store.rewrite("fundamental_migration_progress", lambda jobs: apply_outcomes(jobs, made, F.lit(now())))

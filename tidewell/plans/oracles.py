@@ -80,8 +80,8 @@ def _payload(kind: str) -> str:
     if kind == "cash_flow":
         low, high = api.index("operating_cashflow") + 3, api.index("capital_expenditures") + 3
         sums.append(f"CAST(sum(CAST(l_quantity AS BIGINT) * ({low} - {high})) AS BIGINT) AS free_cash_flow")
-    return f"""SELECT 'S' || CAST(l_orderkey AS VARCHAR) AS symbol, CASE l_linenumber WHEN 1 THEN 'annual' ELSE 'quarterly' END AS period_type, CAST(count(*) AS BIGINT) AS n,
-min(CAST(l_shipdate AS DATE)) AS first_date, {', '.join(sums)} FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2"""
+    return f"""SELECT 'S' || CAST(l_orderkey AS VARCHAR) AS symbol, CASE WHEN l_linenumber % 2 = 1 THEN 'annual' ELSE 'quarterly' END AS period_type, CAST(count(*) AS BIGINT) AS n,
+min(CAST(l_shipdate AS DATE)) AS first_date, {', '.join(sums)} FROM lineitem GROUP BY 1, 2"""
 
 
 ORACLES: dict[str, str] = {
@@ -131,8 +131,8 @@ CASE attempts WHEN 1 THEN NULL WHEN 2 THEN TIMESTAMP '1998-01-01' ELSE next_retr
     "corr_kendall": " UNION ALL ".join(_tau(a, b) for a, b in (("s_nationkey", "s_nationkey"), ("s_acctbal", "s_nationkey"), ("s_acctbal", "s_acctbal"))),
     "zscore": "SELECT p_partkey, round((p_size - avg(p_size) OVER ()) / coalesce(nullif(stddev_pop(p_size) OVER (), 0), 1), 6) AS p_size, round((p_retailprice - avg(p_retailprice) OVER ()) / coalesce(nullif(stddev_pop(p_retailprice) OVER (), 0), 1), 6) AS p_retailprice FROM part",
     "numeric_model_frame": "SELECT s_suppkey, s_nationkey, round(s_acctbal, 6) AS s_acctbal FROM supplier WHERE s_suppkey IS NOT NULL AND s_nationkey IS NOT NULL AND s_acctbal IS NOT NULL",
-    "row_sample": "SELECT CAST(least(50, count(*)) AS BIGINT) AS n FROM part",
-    "time_points": "SELECT o_orderdate AS x, o_totalprice AS y, o_orderpriority AS color FROM orders WHERE o_orderstatus = 'F'",
+    "row_sample": "SELECT p_partkey FROM part ORDER BY md5('42:' || CAST(p_partkey AS VARCHAR)), p_partkey LIMIT 50",
+    "time_points": "SELECT o_orderdate AS x, o_totalprice AS y, o_orderpriority AS color FROM orders",
     "asof_join": """WITH q AS (SELECT l_suppkey AS k, l_shipdate AS at, max(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2)
 SELECT o.o_orderkey AS id, round(q.v, 6) AS v FROM orders o ASOF LEFT JOIN q ON q.k = o.o_custkey AND q.at <= o.o_orderdate""",
     "html_links": "SELECT page_id, CAST(pos - 1 AS BIGINT) AS pos, h[pos] AS href FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages))",

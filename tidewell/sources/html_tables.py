@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -165,17 +166,19 @@ def index_rows(pages: DataFrame, kind: str, html_col: str = "html") -> DataFrame
     """Constituents of ``kind`` (sp500, ftse250, nikkei225) from pages, in page order by ``row_no``."""
     register(pages.sparkSession)
     pages = pages.withColumn("_page", F.monotonically_increasing_id())
+    view = f"_tidewell_pages_{uuid.uuid4().hex}"  # callers at one time don't meet
     if kind == "nikkei225":
-        pages.select("_page", F.col(html_col).alias("html")).createOrReplaceTempView("_tidewell_pages")
-        parts = pages.sparkSession.sql("select p._page, s.* from _tidewell_pages p, lateral html_sections(p.html) s")
+        pages.select("_page", F.col(html_col).alias("html")).createOrReplaceTempView(view)
+        parts = pages.sparkSession.sql(f"select p._page, s.* from {view} p, lateral html_sections(p.html) s")
         groups = parts.where("kind = 'group'").select("_page", "anchor", F.col("label").alias("industry_group"))
         rows = _records(parts.where("kind = 'row'"), kind).join(groups, ["_page", "anchor"], "left")
         found = rows.withColumns({"industry_group": F.coalesce("industry_group", F.lit("")), "industry": clean_text(F.col("label")), "source": F.lit("nikkei_indexes")})
         names = [*HEADERS[kind].values(), "industry_group", "industry", "source"]
     else:
-        pages.select("_page", F.col(html_col).alias("html")).createOrReplaceTempView("_tidewell_pages")
-        found = _records(pages.sparkSession.sql("select t.* from _tidewell_pages p, lateral html_table(p.html, 'constituents') t"), kind)
+        pages.select("_page", F.col(html_col).alias("html")).createOrReplaceTempView(view)
+        found = _records(pages.sparkSession.sql(f"select t.* from {view} p, lateral html_table(p.html, 'constituents') t"), kind)
         names = list(HEADERS[kind].values())
+    pages.sparkSession.catalog.dropTempView(view)
     for name in REQUIRED[kind]:
         found = found.where(F.length(name) > 0)
     return found.select("row_no", *names)

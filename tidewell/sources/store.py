@@ -100,9 +100,11 @@ class TableStore:
 
     def upsert(self, name: str, rows: DataFrame) -> int:
         """Insert or replace by key; the number of incoming rows. Nothing is written for none."""
+        rows = rows.persist()  # counted and merged, but made once
         n = rows.count()
         if n:
             self.rewrite(name, lambda stored: merged(stored, rows, TABLES[name][1]))
+        rows.unpersist()
         return n
 
     def insert_ignore(self, name: str, rows: DataFrame) -> int:
