@@ -54,6 +54,7 @@ def source_targets(sizes: DataFrame, scratch: Scratch, weights: Column | None =
 def _placed(documents: DataFrame, scratch: Scratch, id_col: str, text_col: str, source_col: str, repeats: int) -> DataFrame:
     """Each document with its row number, its source's figures and ``upto``, the source's words up to its end."""
     docs = documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    docs = scratch.save(docs, "sizes")  # texts are read once, not for the sort's sample too
     docs = docs.withColumn("key", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))))
     docs = running(docs, [*_in_order(F.col("source")), F.col("key"), F.col("id"), F.col("size")], {"row": F.lit(1), "through": F.col("size")}, scratch, "documents").drop("key")
     sizes = scratch.save(docs.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
