@@ -26,7 +26,6 @@ from tidewell.llm.words import U, mix
 SPACE = 32
 UNSEEN = 1e-7  # share of the mass for characters that no training word has
 PIECE = 250_000  # characters that are scored at once
-LONGEST = 100_000  # characters of a text that teaches
 MOST_LETTERS = 10_000  # of one word that are looked through for a cut
 SPREAD = 6.0  # standard deviations from the calibration mean that are accepted in any case
 FOREIGN = 0.75  # share of the way from own to foreign calibration texts that is accepted too
@@ -298,14 +297,9 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def language_sample(labelled: DataFrame, text_col: str, lang_col: str, per_language: int, longest: int = LONGEST) -> dict[str, list[str]]:
-    """At most ``per_language`` different whole texts of each language, chosen by hash of the text; copies count once.
-
-    Texts of over ``longest`` characters don't teach, unless a language has no other.
-    """
+def language_sample(labelled: DataFrame, text_col: str, lang_col: str, per_language: int) -> dict[str, list[str]]:
+    """At most ``per_language`` different whole texts of each language, chosen by hash of the text; copies count once."""
     labelled = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    size = labelled.groupBy("lang").agg(F.min(F.length("text")).alias("least")).withColumnRenamed("lang", "l")
-    labelled = labelled.join(size.where(F.col("least") > longest), F.col("lang") == F.col("l"), "left").where((F.length("text") <= longest) | (F.length("text") == F.col("least"))).select("text", "lang")
     labelled = labelled.withColumn("h", F.xxhash64("text"))
     chosen = labelled.select("lang", "h").distinct().withColumn("k", F.expr("row_number() over (partition by lang order by h)")).where(F.col("k") <= per_language)
     few = labelled.select("lang").distinct().limit(1001).count() <= 1000
@@ -323,8 +317,7 @@ def identify_language(
     """``documents`` with ``lang_pred, score, entropy, rejected``; the text stays.
 
     Models are fitted on ``per_language`` whole texts of each language of
-    ``labelled`` at most, none of over LONGEST characters unless a language has
-    only such. A word of over 10,000 letters may count as several. ``lang_pred`` is the language of lowest cross-entropy per
+    ``labelled`` at most. A word of over 10,000 letters may count as several. ``lang_pred`` is the language of lowest cross-entropy per
     symbol, ``und`` for a null text or one without a letter; ``score`` (0 to 1) is
     its share against the other languages, ``rejected`` whether the text is ``und``
     or its cross-entropy lies beyond what calibration texts show: more than SPREAD
