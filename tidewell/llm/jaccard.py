@@ -252,27 +252,25 @@ def _hot_pairs(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs for sets that share hot features only, from those of ``rows(f, node, comp, s, df)``.
 
     What such a pair shares is what their hot parts share, so the hot parts are
-    similar too. Sets with equal hot parts make a class, and the smallest of a
-    class stands for it: whatever links with a set of the class by hot features
-    alone links with the smallest as well. So members meet the smallest, and pairs
-    are made of classes only, by the rarest features of their hot parts; a class
-    pair that can link gives pairs of the members of one and the smallest of the other.
+    similar too, and a smaller set with the same hot part shares as much: whatever
+    links with a set links with the smallest of equal hot part in its component. So
+    that one stands for them. Of equal hot parts, each component's meets the
+    smallest of all; for others, pairs of different components are made by the
+    rarest features of their hot parts.
     """
     part = "struct(count(*) as h, bit_xor(xxhash64(f)) as x, bit_xor(xxhash64(f, 1L)) as y)"
-    named = rows.groupBy("node", "s").agg(F.expr(part).alias("part"))
-    least = named.groupBy("part").agg(F.min(F.struct("s", "node")).alias("low"))
-    named = scratch.save(named.join(least, "part").select("node", "s", F.col("part.h").alias("h"), F.col("low.node").alias("hub"), F.col("low.s").alias("hub_s")), "hot-parts")
+    named = rows.groupBy("node", "comp", "s").agg(F.expr(part).alias("part"))
+    standing = named.groupBy("part", "comp").agg(F.min(F.struct("s", "node")).alias("low")).select("part", "comp", "low.s", "low.node")
+    standing = scratch.save(standing.withColumn("h", F.col("part.h")), "hot-parts")
     enough = f"{100 + percent} * {{h}} >= {percent} * ({{a}} + {{b}})"
-    own = named.where("hub <> node").where(enough.format(h="h", a="s", b="hub_s")).select("hub", "node")
+    least = standing.groupBy("part").agg(F.min(F.struct("s", "node")).alias("low"))
+    own = standing.join(least, "part").where("node <> low.node").where(enough.format(h="h", a="s", b="low.s")).select(F.col("low.node").alias("hub"), "node")
     # Sets are similar only if their hot parts are, so a part's first h - least + 1 features hold a shared one.
-    standing = rows.join(named.where("hub = node").select("node", "h"), "node")
-    first = standing.withColumn("k", F.expr("row_number() over (partition by node order by df, f)")).where(f"k <= h - ceil({percent} * h / 100) + 1").select("f", "node", "h", "s")
-    other = first.select("f", F.col("node").alias("other"), F.col("h").alias("other_h"), F.col("s").alias("other_s"))
-    met = first.join(other, "f").where("node <> other").where(enough.format(h="least(h, other_h)", a="s", b="other_s")).select("node", "other").distinct()
-    across = named.select(F.col("hub").alias("of"), "node", "s", "h").join(met.withColumnRenamed("node", "of"), "of")
-    across = across.join(named.where("hub = node").select(F.col("node").alias("other"), F.col("h").alias("other_h"), F.col("s").alias("other_s")), "other")
-    across = across.where(enough.format(h="least(h, other_h)", a="s", b="other_s")).select(F.col("other").alias("hub"), "node")
-    return own.union(across)
+    first = rows.select("f", "df", "node").join(standing, "node").withColumn("k", F.expr("row_number() over (partition by node order by df, f)"))
+    first = first.where(f"k <= h - ceil({percent} * h / 100) + 1").select("f", "node", "comp", "part", "h", "s")
+    other = first.select("f", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"), F.col("part").alias("hub_part"), F.col("h").alias("hub_h"), F.col("s").alias("hub_s"))
+    met = first.join(other, "f").where("comp <> hub_comp and hub < node and part <> hub_part").where(enough.format(h="least(h, hub_h)", a="s", b="hub_s"))
+    return own.union(met.select("hub", "node"))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
