@@ -256,7 +256,7 @@ def _hot_pairs(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     links with a set links with the smallest of equal hot part in its component. So
     that one stands for them. Of equal hot parts, each component's meets the
     smallest of all; for others, pairs of different components are made by the
-    rarest features of their hot parts.
+    rarest features of their hot parts, where enough others follow.
     """
     part = "struct(count(*) as h, bit_xor(xxhash64(f)) as x, bit_xor(xxhash64(f, 1L)) as y)"
     named = rows.groupBy("node", "comp", "s").agg(F.expr(part).alias("part"))
@@ -265,11 +265,12 @@ def _hot_pairs(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     enough = f"{100 + percent} * {{h}} >= {percent} * ({{a}} + {{b}})"
     least = standing.groupBy("part").agg(F.min(F.struct("s", "node")).alias("low"))
     own = standing.join(least, "part").where("node <> low.node").where(enough.format(h="h", a="s", b="low.s")).select(F.col("low.node").alias("hub"), "node")
-    # Sets are similar only if their hot parts are, so a part's first h - least + 1 features hold a shared one.
+    # Where the first feature that two parts share is their k-th and hub_k-th, they share no more than follow in
+    # either, and it. So a set's rows end where fewer follow than its links need, whatever the other's size is.
     first = rows.select("f", "df", "node").join(standing, "node").withColumn("k", F.expr("row_number() over (partition by node order by df, f)"))
-    first = first.where(f"k <= h - ceil({percent} * h / 100) + 1").select("f", "node", "comp", "part", "h", "s")
-    other = first.select("f", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"), F.col("part").alias("hub_part"), F.col("h").alias("hub_h"), F.col("s").alias("hub_s"))
-    met = first.join(other, "f").where("comp <> hub_comp and hub < node and part <> hub_part").where(enough.format(h="least(h, hub_h)", a="s", b="hub_s"))
+    first = first.withColumn("left", F.expr("h - k + 1")).where(f"left >= ceil({percent} * s / 100)").select("f", "node", "comp", "part", "left", "s")
+    other = first.select("f", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"), F.col("part").alias("hub_part"), F.col("left").alias("hub_left"), F.col("s").alias("hub_s"))
+    met = first.join(other, "f").where("comp <> hub_comp and hub < node and part <> hub_part").where(enough.format(h="least(left, hub_left)", a="s", b="hub_s"))
     return own.union(met.select("hub", "node"))
 
 
