@@ -569,7 +569,7 @@ def test_language_id(spark):
 def test_language_sample_counts_copies_once(spark):
     # Most rows of one language are copies of one text, those of another of a few texts.
     rows = [("aa", "hot text")] * 3000 + [("aa", f"text {i}") for i in range(200)] + [("bb", f"copy {i % 20}") for i in range(4000)] + [("cc", None), (None, "x")]
-    got = langid.language_sample(spark.createDataFrame(rows, "lang string, text string"), "text", "lang", 50)
+    got = langid.language_sample(spark.createDataFrame(rows, "lang string, text string"), "text", "lang", 50, 10**6)
     assert {lang: (len(t), len(set(t))) for lang, t in got.items()} == {"aa": (50, 50), "bb": (20, 20)}
 
 

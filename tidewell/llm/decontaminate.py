@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from tidewell.llm.scratch import Scratch, packed, unpacked
+from tidewell.llm.scratch import Scratch, column, packed, unpacked
 from tidewell.llm.words import ALNUM, U, Slice, mix, slices
 
 SHIFT_BITS = (16, 24)  # of the table's size, at least and at most
@@ -172,7 +172,7 @@ def find_contamination(
     runs = item_windows(benchmark, item_id, item_text, window)
     new = [StructField("n_words", LongType()), StructField("hit_words", ArrayType(LongType())), StructField("items", ArrayType(LongType()))]
     apart = (text_col, *(f.name for f in new))
-    rows = documents.select(packed(documents, *apart), F.col(f"`{text_col}`").alias("text"))
+    rows = documents.select(packed(documents, *apart), column(text_col).alias("text"))
     rest = unpacked(documents, *apart)
     blocks = max(1, -(-runs.count() // block_patterns))
     if blocks == 1:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidewell.llm.scratch import packed, unpacked
+from tidewell.llm.scratch import column, packed, unpacked
 
 
 TAG_COST = 0.2
@@ -350,6 +350,6 @@ def extract_text(pages: DataFrame, *, html_col: str = "html", training: DataFram
     """
     weights = learn(labelled_sample(pages if training is None else training, html_col, sample))
     apart = (html_col, "text", "n_chars")
-    rows = pages.select(packed(pages, *apart), F.col(f"`{html_col}`").alias("html"))
+    rows = pages.select(packed(pages, *apart), column(html_col).alias("html"))
     schema = StructType([rows.schema["rest"], StructField("text", StringType()), StructField("n_chars", LongType())])
     return rows.mapInArrow(lambda it: _extract(it, weights), schema).select(*unpacked(pages, *apart), "text", "n_chars")

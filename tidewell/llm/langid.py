@@ -20,7 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from tidewell.llm.scratch import column, packed, unpacked
 from tidewell.llm.words import U, mix
 
 SPACE = 32
@@ -297,27 +299,34 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def language_sample(labelled: DataFrame, text_col: str, lang_col: str, per_language: int) -> dict[str, list[str]]:
-    """At most ``per_language`` different whole texts of each language, chosen by hash of the text; copies count once."""
-    labelled = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+def language_sample(labelled: DataFrame, text_col: str, lang_col: str, per_language: int, sample_bytes: int) -> dict[str, list[str]]:
+    """At most ``per_language`` different whole texts of each language, chosen by hash of the text; copies count once.
+
+    All languages share ``sample_bytes`` evenly, in UTF-8; texts longer than a language's share are passed over.
+    """
+    labelled = labelled.select(column(text_col).alias("text"), column(lang_col).alias("lang")).where("text is not null and lang is not null")
+    languages = labelled.agg(F.count_distinct("lang")).first()[0]
+    share = sample_bytes // max(1, languages)
     labelled = labelled.withColumn("h", F.xxhash64("text"))
-    chosen = labelled.select("lang", "h").distinct().withColumn("k", F.expr("row_number() over (partition by lang order by h)")).where(F.col("k") <= per_language)
-    few = labelled.select("lang").distinct().limit(1001).count() <= 1000
+    sized = labelled.groupBy("lang", "h").agg(F.max(F.octet_length("text")).cast("bigint").alias("size")).where(F.col("size") <= share)
+    chosen = sized.withColumn("k", F.expr("row_number() over (partition by lang order by h)")).where(F.col("k") <= per_language)
+    chosen = chosen.withColumn("upto", F.expr("sum(size) over (partition by lang order by k)")).where(F.col("upto") <= share).select("lang", "h", "k")
     # Grouped by text, so tasks merge the copies before they send them.
-    first = labelled.join(F.broadcast(chosen) if few else chosen, ["lang", "h"]).select("lang", "text", "k").distinct()
+    first = labelled.join(F.broadcast(chosen) if languages <= 1000 else chosen, ["lang", "h"]).select("lang", "text", "k").distinct()
     out: dict[str, list[tuple[int, str]]] = {}
-    for row in first.collect():
+    for row in first.collect():  # sample_bytes at most
         out.setdefault(row.lang, []).append((row.k, row.text))
     return {lang: [t for _, t in sorted(texts)[:per_language]] for lang, texts in out.items()}
 
 
 def identify_language(
-    documents: DataFrame, labelled: DataFrame, *, text_col: str = "text", train_text: str = "text", train_lang: str = "lang", order: int = 4, per_language: int = 300
-) -> DataFrame:
+    documents: DataFrame, labelled: DataFrame, *, text_col: str = "text", train_text: str = "text", train_lang: str = "lang", order: int = 4, per_language: int = 300,
+    sample_bytes: int = 64_000_000,
+) -> DataFrame:
     """``documents`` with ``lang_pred, score, entropy, rejected``; the text stays.
 
     Models are fitted on ``per_language`` whole texts of each language of
-    ``labelled`` at most. A word of over 10,000 letters may count as several. ``lang_pred`` is the language of lowest cross-entropy per
+    ``labelled`` at most, ``sample_bytes`` in all. A word of over 10,000 letters may count as several. ``lang_pred`` is the language of lowest cross-entropy per
     symbol, ``und`` for a null text or one without a letter; ``score`` (0 to 1) is
     its share against the other languages, ``rejected`` whether the text is ``und``
     or its cross-entropy lies beyond what calibration texts show: more than SPREAD
@@ -326,9 +335,10 @@ def identify_language(
     Repeated rows repeat; an empty table gives an empty result; other columns,
     also ones that bear the new names, are replaced only by the new ones.
     """
-    model = train(language_sample(labelled, train_text, train_lang, per_language), order)
+    model = train(language_sample(labelled, train_text, train_lang, per_language, sample_bytes), order)
     new = ("lang_pred", "score", "entropy", "rejected")
-    rest = [f for f in documents.schema.fields if f.name != text_col and f.name not in new]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "lang_pred string, score double, entropy double, rejected boolean, _text string"])
-    done = documents.select(*(f.name for f in rest), text_col).mapInArrow(lambda it: _predict(it, model), schema)
-    return done.withColumnRenamed("_text", text_col)
+    rows = documents.select(packed(documents, text_col, *new), column(text_col).alias("_text"))
+    kinds = zip(new, (StringType(), DoubleType(), DoubleType(), BooleanType()))
+    schema = StructType([rows.schema["rest"], *(StructField(n, k) for n, k in kinds), StructField("_text", StringType())])
+    done = rows.mapInArrow(lambda it: _predict(it, model), schema)
+    return done.select(*unpacked(documents, text_col, *new), *new, F.col("_text").alias(text_col))

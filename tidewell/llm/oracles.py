@@ -153,6 +153,60 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN original <> page_id THE
 FROM p LEFT JOIN m ON m.d = p.payload_digest AND p.payload_bytes >= 1000
 """
 
+FIM = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || CAST(doc_id AS VARCHAR)) AS x FROM documents
+),
+h AS (SELECT *, len(u) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h
+),
+p AS (SELECT *, array_to_string(u[1:lo], '') AS prefix, array_to_string(u[lo + 1:hi], '') AS middle, array_to_string(u[hi + 1:], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+LINES = f"""
+WITH l AS MATERIALIZED (
+  SELECT doc_id, i, ls[i] AS line, {_LOWER.format("trim(ls[i], chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')")} AS key
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+),
+k AS MATERIALIZED (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(k.key) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(CASE WHEN k.key IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
+FROM l LEFT JOIN k ON k.key = l.key GROUP BY doc_id
+"""
+
+PHRASES = rf"""
+WITH p AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS MATERIALIZED (
+  SELECT lang, m, phrase, count(*) AS f
+  FROM (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) s(m) WHERE len(ws) >= m))
+  GROUP BY lang, m, phrase HAVING count(*) >= 30
+),
+c AS MATERIALIZED (SELECT lang, m, phrase, f, string_split(phrase, ' ') AS ws FROM g WHERE m > 1),
+v AS MATERIALIZED (SELECT lang, m, phrase, f, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS rest FROM c JOIN (VALUES (1), (2), (3)) x(k) ON x.k < c.m),
+k AS (
+  SELECT v.lang, v.phrase, v.f AS a, x.f AS l, y.f AS r, v.k, (CAST(2000000 AS HUGEINT) * v.f) // (x.f + y.f) AS score
+  FROM v JOIN g x ON x.lang = v.lang AND x.phrase = v.head JOIN g y ON y.lang = v.lang AND y.phrase = v.rest
+),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (
+  SELECT DISTINCT q.lang, q.part FROM (SELECT lang, f, s, array_to_string(ws[i:i + s - 1], ' ') AS part FROM (SELECT lang, f, ws, s, unnest(range(1, m - s + 2)) AS i FROM c JOIN (VALUES (2), (3)) z(s) ON z.s < c.m)) q
+  JOIN c ON c.lang = q.lang AND c.phrase = q.part WHERE CAST(100 AS HUGEINT) * q.f >= CAST(80 AS HUGEINT) * c.f
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n, CAST(score AS BIGINT) AS score
+FROM b JOIN t ON t.lang = b.lang WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.lang = b.lang AND o.part = b.phrase)
+QUALIFY rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": JACCARD,
     "op2_url_filter": URLS,
@@ -160,4 +214,7 @@ ORACLES: dict[str, str] = {
     "op5_benchmark_decontamination": LEAKS,
     "op6_source_mixing": MIXING,
     "op7_warc_revisits": WARC,
+    "op11_fill_in_middle": FIM,
+    "op12_line_dedup": LINES,
+    "op13_collocations": PHRASES,
 }

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.brown import class_model_scores
+from tidewell.llm.collocations import collocations
 from tidewell.llm.decontaminate import find_contamination
+from tidewell.llm.fim import fill_in_middle, restored
 from tidewell.llm.html_text import extract_text
 from tidewell.llm.jaccard import ngram_jaccard_join
 from tidewell.llm.langid import fold, identify_language
+from tidewell.llm.line_dedup import kept_lines, line_keep_bitmaps
 from tidewell.llm.mixing import mix_sources
 from tidewell.llm.suffixes import passage_report
 from tidewell.llm.urls import url_filter
@@ -75,9 +78,26 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % QUERY_STEP == 0))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    hashes = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashes)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = kept_lines(documents, line_keep_bitmaps(documents))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = (
     op1_ngram_jaccard_join, op2_url_filter, op3_suffix_array_dedup, op4_html_extraction, op5_benchmark_decontamination,
     op6_source_mixing, op7_warc_revisits, op8_brown_scores, op9_language_id, op10_nearest_neighbours,
+    op11_fill_in_middle, op12_line_dedup, op13_collocations,
 )
 
 

@@ -34,14 +34,21 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def column(name: str) -> Column:
+    """The column of that very name, whatever marks it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def packed(df: DataFrame, *apart: str) -> Column:
-    """All columns but those named as one struct column ``rest``, so that their names meet none used inside."""
-    return F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in df.columns if c not in apart)).alias("rest")
+    """All columns but those named as one struct column ``rest`` with plain field names, so that their names meet none used inside."""
+    kept = [c for c in df.columns if c not in apart]
+    return F.struct(F.lit(0).alias("none"), *(column(c).alias(f"c{i}") for i, c in enumerate(kept))).alias("rest")
 
 
 def unpacked(df: DataFrame, *apart: str) -> list[Column]:
     """The columns of ``df`` that ``packed(df, *apart)`` holds, under their names."""
-    return [F.col("rest").getField(c).alias(c) for c in df.columns if c not in apart]
+    kept = [c for c in df.columns if c not in apart]
+    return [F.col("rest").getField(f"c{i}").alias(c) for i, c in enumerate(kept)]
 
 
 class Scratch:

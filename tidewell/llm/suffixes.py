@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from tidewell.llm.scratch import Scratch, packed
+from tidewell.llm.scratch import Scratch, column, packed
 from tidewell.llm.words import _BASE, _BASE_INV, U, Slice, _powers, buffers, mix, signed, slices
 
 GRAM = 8
@@ -330,7 +330,7 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     """
     spans = repeated_passages(documents, id_col=id_col, text_col=text_col, least=least)
     spans = spans.select(F.col("id").alias("_span_id"), F.col("t").alias("_span_t"), F.col("spans").alias("_span_list"))
-    rows = documents.select(packed(documents, text_col), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = documents.select(packed(documents, text_col), column(id_col).cast("bigint").alias("id"), column(text_col).alias("text"))
     joined = rows.join(spans, F.col("id").eqNullSafe(F.col("_span_id")) & (F.xxhash64("text") == F.col("_span_t")), "left")
     done = joined.select("rest", F.col("_span_list").alias("spans"), "text").mapInArrow(_cut, StructType([rows.schema["rest"], StructField("cut", BooleanType()), StructField("text", StringType())]))
     kept = done.where("not cut or text rlike '[^\\x20\\x09-\\x0D]'")

@@ -41,8 +41,8 @@ def path_of(url: Column) -> Column:
 
 
 def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
-    """The longest rule (host and path together) that fits, as a struct, or null."""
-    ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
+    """The longest rule (host and path together) that fits, as a struct, or null; of equal lengths allow first, then by text."""
+    ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0], r[1] + r[2]))
 
     def fits(r: Rule) -> Column:
         return ((host == r[1]) | host.endswith("." + r[1])) & path.startswith(r[2])
@@ -57,8 +57,8 @@ def with_rules(urls: DataFrame, rules: DataFrame | Sequence[Rule]) -> DataFrame:
 
     A rule table ``(verdict, host, path)`` may be of any size. Each different host
     and path meets the rules of its host and of the domains above it, so a URL row
-    is shuffled once and a host gives no more rows than it has labels. Of equal
-    rules with both verdicts, allow counts.
+    is shuffled once and a host gives no more rows than it has labels.
+    Of rules of one length that fit, an allowing one counts, then the first by text.
     """
     if not isinstance(rules, DataFrame):
         if len(rules) <= COMPILED_RULES:
