@@ -680,3 +680,47 @@ def test_relaxed_pruning_keeps_recall(spark):
     exact = {(r.query_id, r.vec_id) for r in vptree.nearest_neighbours(df, ask).collect()}
     near = {(r.query_id, r.vec_id) for r in vptree.nearest_neighbours(df, ask, factor=0.7).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_jaccard_links_rows_without_an_id(spark):
+    rng, vocab = random.Random(21), vocabulary(21)
+    base = text(rng, vocab, 60).split()
+    near = " ".join([*base[:59], "other"])
+    far = text(rng, vocab, 60)
+    rows = [(1, " ".join(base)), (None, near), (None, far), (None, far.upper()), (None, far + " more"), (None, None), (2, "")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.ngram_jaccard_join(docs(spark, rows)).collect()), key=str)
+    n = lambda t: len({tuple(w) for w in zip(*(t.lower().split()[k:] for k in range(5)))})
+    assert got == sorted([(1, n(" ".join(base)), 1), (None, n(near), 1), (None, n(far), None), (None, n(far), None), (None, n(far + " more"), None), (None, 0, None), (2, 0, 2)], key=str)
+    roots = {r.root for r in jaccard.ngram_jaccard_join(docs(spark, rows[2:5])).collect()}
+    assert len(roots) == 1
+
+
+@pytest.mark.parametrize("compiled", [50, 0])
+def test_rule_ties_whatever_their_number(spark, monkeypatch, compiled):
+    monkeypatch.setattr(urls, "COMPILED_RULES", compiled)
+    pages = spark.createDataFrame([(1, "http://a.com/x", ""), (2, "http://b.a.com/xy", ""), (3, "http://c.org/p", "")], "page_id int, url string, html string")
+    tied = [("block", "a.com", "/"), ("allow", "a.com", "/"), ("block", "b.a.com", "/"), ("allow", "a.com", "/xy"), ("block", "c.org", "/p"), ("block", "org", "/")]
+    for rules in (tied, tied[::-1], tied + [("block", f"x{i}.net", "/") for i in range(60)]):
+        got = {r.page_id: (r.rule, r.verdict) for r in urls.url_filter(pages, rules).collect()}
+        assert got == {1: ("a.com/", "allow"), 2: ("a.com/xy", "allow"), 3: ("c.org/p", "block")}
+
+
+STORY = "".join(f"<p>Long paragraph number {i} of the main story with many words in it.</p>" for i in range(12))
+
+
+@pytest.mark.parametrize("weights", [html_text.Weights(), html_text.Weights(0.5, {"comments": -4.0, "promo": -4.0})])
+@pytest.mark.parametrize("page,least,without", [
+    ("<article><p>We walked to the <a href='/hidden-valley'>X</a> and on.</p></article>", 26, "@"),
+    ("<article><p title='A hidden gem' id>Words of a gem here now.</p></article>", 24, "@"),
+    ("<article><div data-hidden='false'>Kept words stay here now.</div></article>", 25, "@"),
+    ("<article><p data-id='ad-cookie' \"role='menu' x>Kept words stay here now too.</p></article>", 0, "@"),
+    (f"<body><nav><a href=x>menu</a></nav><div class='comments'>{STORY}</div><footer>foot words</footer></body>", 700, "foot"),
+    (f"<body><div class='promo'>{STORY}</div></body>", 700, "@"),
+    (f"<body><div class='comments'><article>{STORY}</article></div></body>", 700, "@"),
+    (f"<body><article>{STORY}</article><div class='comments'><p>reader {STORY}</p></div></body>", 700, "reader"),
+    (f"<body><div class=story>{STORY}</div><div class='comments'><p>reader short</p></div></body>", 700, "reader"),
+    ("<article><p hidden>no</p><p aria-hidden='true'>no</p><p style='display:none'>no</p><p>yes it is here</p></article>", 14, "no"),
+])
+def test_attributes_and_names_of_elements(page, least, without, weights):
+    got = html_text.main_text(page, weights)
+    assert len(got) >= least and without not in got

@@ -49,7 +49,7 @@ def test_stages(spark, tmp_path):
     assert all(r.taken <= 3 * r.size for r in mixed)
 
 
-CLASHING = "items,hit_words,n_words,rest,text_hash,root,node,id,t,i,_spans,spans,cut,rejected,score,lang_pred,entropy,size,target,taken,k,part".split(",")
+CLASHING = "items,hit_words,n_words,rest,text_hash,root,node,id,t,i,_spans,spans,cut,rejected,score,lang_pred,entropy,size,target,taken,k,part,a b,a.b,x:y,q`t,_,none,c0,n_lines".split(",")
 
 
 def odd_table(spark):
@@ -64,7 +64,7 @@ def odd_table(spark):
     rows = [(i, t, None if k % 9 == 8 else "xx", [None, "a", "b", "c"][k % 4], len(t or "") if k % 5 else None) for k, (i, t) in enumerate(rows)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     items = spark.createDataFrame([(1, z), (2, None), (None, w(12))], "item_id bigint, text string")
-    return df.withColumns({c: F.lit(c) for c in CLASHING}), items, rows
+    return df.select("*", *(F.lit(c).alias(c) for c in CLASHING)), items, rows
 
 
 def test_stages_on_odd_rows(spark, tmp_path):

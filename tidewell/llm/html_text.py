@@ -30,6 +30,7 @@ from tidewell.llm.scratch import column, packed, unpacked
 TAG_COST = 0.2
 FOR, AGAINST = 2.0, 4.0  # bounds of the weight of one surrounding, and FOR of a word's score
 BLOCK_COST = 20.0  # most that one block can count against a stretch
+WRAPPED = 8  # tenths of a page's words from which an element wraps it
 TAUGHT = 20  # words with a surrounding in labelled pages, from which its learnt weight counts
 
 # Fixed values of HTML.
@@ -55,7 +56,8 @@ PRIOR |= dict.fromkeys("ad ads adv advert adverts advertisement advertising adse
 PRIOR |= dict.fromkeys("promotion banner nav navbar navigation menu menubar sidebar aside footer header masthead topbar discussion notice notices alert modal share sharing social related recommended recommendations breadcrumb breadcrumbs widget toolbar login search pagination pager copyright skip".split(), -1.0)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[a-zA-Z/][^>]*(?:>|\Z)|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: A tag's attributes one after another, so that none is looked for inside another's name or value.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
 SPACE = re.compile(r"[\s ]+")
 
 
@@ -69,10 +71,11 @@ class Block:
 
 @dataclass
 class Element:
-    """An open element: ``features`` count for what it holds unless it turns out to wrap the page."""
+    """An open element: ``features`` and ``names`` count for what it holds unless it turns out to wrap the page."""
 
     tag: str
     features: frozenset
+    names: frozenset
     silent: bool
     words: int = 0  # of the page before it, then in it
     marks: tuple[int, int] = (0, 0)  # main and article elements of the page before it, then in it
@@ -81,6 +84,11 @@ class Element:
         """Whether it holds a main element, or is a form that holds an article or most of the page's words."""
         return self.marks[0] > 0 or self.tag == "form" and (self.marks[1] > 0 or 2 * self.words > total)
 
+    def names_page(self, total: int, marks: list[int]) -> bool:
+        """Whether its names are those of the whole page: it is or holds every article and main element, or, on a page without any, most words."""
+        own = (self.tag == "main") + (self.tag == "article")
+        return not self.silent and (sum(self.marks) + own == sum(marks) if sum(marks) else 10 * self.words > WRAPPED * total)
+
 
 @dataclass
 class Weights:
@@ -96,15 +104,15 @@ def _attributes(raw: str) -> tuple[list[str], bool]:
     """Names and role as features, and whether the element is hidden."""
     names, hidden = [], False
     for m in ATTRIBUTE.finditer(raw) if raw.strip() else ():
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        key, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
             names += [n for n in re.split(r"[^a-z0-9]+", value) if n]
         elif key == "role":
             names.append(f"role:{value}")
         elif key == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
-        else:
-            hidden |= key == "hidden" or value == "true"
+        elif key == "hidden" or key == "aria-hidden" and value == "true":
+            hidden = True
     return names, hidden
 
 
@@ -141,7 +149,8 @@ class Page:
     def _push(self, tag: str, raw: str) -> None:
         names, hidden = _attributes(raw)
         own = [] if tag in INLINE or tag in PLAIN else [f"<{tag}>"]
-        element = Element(tag, frozenset([*own, *names]), tag in SILENT or hidden, self.total, (self.marks[0], self.marks[1]))
+        roles = [n for n in names if n.startswith("role:")]
+        element = Element(tag, frozenset([*own, *roles]), frozenset(names) - frozenset(roles), tag in SILENT or hidden, self.total, (self.marks[0], self.marks[1]))
         if tag in ("main", "article") and not self.silent:
             self.marks[tag == "article"] += 1
         self.silent += element.silent
@@ -239,7 +248,8 @@ class Page:
                     if not held[f]:
                         yield f, False, None
             else:
-                opened.append(frozenset() if e.wraps(self.total) else e.features)
+                names = frozenset() if e.names_page(self.total, self.marks) else e.names
+                opened.append(frozenset() if e.wraps(self.total) else e.features | names)
                 for f in opened[-1]:
                     held[f] += 1
                     if held[f] == 1:

@@ -293,9 +293,9 @@ def ngram_jaccard_join(
     ``text_hash`` is xxhash64 of the text.
 
     Null or wordless text: ``n_shingles`` 0, ``node`` and ``root`` null, linked with nothing.
-    A null id is never a component_id (unless no equal text has an id); a text that
-    only null ids hold is tied to equal texts alone. Rows with one id and several
-    texts are judged each by its text.
+    A null id is never a component_id unless its component holds no other; null-id
+    rows link as any other. Rows with one id and several texts are judged each by its
+    text.
     Repeated rows give repeated results; an empty table gives an empty result;
     extra columns of ``documents`` are ignored. Sets are compared by 64-bit
     hashes: among n different sets, n*n / 2**65 wrongly equal ones are expected.
@@ -311,7 +311,9 @@ def ngram_jaccard_join(
     rows = scratch.save(rows.dropDuplicates(["sig", "node"]), "shared")
     open_rows = scratch.save(_without_hot(rows.withColumn("size", F.expr(f"count(*) over ({group})"))), "open0")
     scratch.drop("shared")
-    reps = profile.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"))
+    # A text that only null ids hold goes by its hash; where that is also an id, the text of the other is passed over.
+    reps = profile.where("node is not null").groupBy("node").agg(F.coalesce(F.min("id"), F.min("t")).alias("id"))
+    texts = texts.where("id is not null").union(texts.where("id is null").select(F.xxhash64("text").alias("id"), "text").distinct())
     links = spark.range(0).selectExpr("id AS a", "id AS b")
     root = spark.range(0).selectExpr("id AS node", "id AS root")
     for k in range(rounds + 1):

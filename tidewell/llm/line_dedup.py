@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from tidewell.llm.scratch import Scratch, column, packed, unpacked
+from tidewell.llm.scratch import Scratch, column, packed, replaced
 
 BLANK = b" \t\n\v\f\r"
 BATCH_LINES = 500_000
@@ -260,5 +260,4 @@ def kept_lines(documents: DataFrame, bitmaps: DataFrame, *, id_col: str = "doc_i
     met = docs.join(which, F.col("i").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h")), "left").select("rest", "text", "keep", "n_lines", "n_dropped")
     schema = StructType([met.schema["rest"], StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
     done = met.mapInArrow(_apply, schema)
-    kept = {c: done_c for c, done_c in zip((c for c in documents.columns if c not in (text_col, *new)), unpacked(documents, text_col, *new))}
-    return done.select(*(F.col("text").alias(text_col) if c == text_col else kept[c] for c in documents.columns if c not in new), *new)
+    return done.select(*replaced(documents, text_col, F.col("text"), *new), *new)

@@ -51,6 +51,12 @@ def unpacked(df: DataFrame, *apart: str) -> list[Column]:
     return [F.col("rest").getField(f"c{i}").alias(c) for i, c in enumerate(kept)]
 
 
+def replaced(df: DataFrame, name: str, value: Column, *apart: str) -> list[Column]:
+    """The columns of ``df`` in order, from ``packed(df, name, *apart)``, with ``value`` in the place of ``name`` and without ``apart``."""
+    held = iter(unpacked(df, name, *apart))
+    return [value.alias(c) if c == name else next(held) for c in df.columns if c not in apart]
+
+
 class Scratch:
     """Tables of one operator call. ``drop`` frees those that its result doesn't read."""
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from tidewell.llm.scratch import Scratch, column, packed
+from tidewell.llm.scratch import Scratch, column, packed, replaced
 from tidewell.llm.words import _BASE, _BASE_INV, U, Slice, _powers, buffers, mix, signed, slices
 
 GRAM = 8
@@ -334,4 +334,4 @@ def remove_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     joined = rows.join(spans, F.col("id").eqNullSafe(F.col("_span_id")) & (F.xxhash64("text") == F.col("_span_t")), "left")
     done = joined.select("rest", F.col("_span_list").alias("spans"), "text").mapInArrow(_cut, StructType([rows.schema["rest"], StructField("cut", BooleanType()), StructField("text", StringType())]))
     kept = done.where("not cut or text rlike '[^\\x20\\x09-\\x0D]'")
-    return kept.select(*(F.col("text").alias(text_col) if c == text_col else F.col("rest").getField(c).alias(c) for c in documents.columns))
+    return kept.select(*replaced(documents, text_col, F.col("text")))
