@@ -15,7 +15,7 @@ from tidewell.llm.decontaminate import find_contamination
 from tidewell.llm.jaccard import ngram_jaccard_join
 from tidewell.llm.langid import identify_language
 from tidewell.llm.mixing import mix_sources
-from tidewell.llm.scratch import Scratch, packed, unpacked
+from tidewell.llm.scratch import Scratch, column, packed, unpacked
 from tidewell.llm.suffixes import remove_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -67,7 +67,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows equal in id and text are one document, cut alike. An empty table stays
     empty; extra columns stay, whatever their names.
     """
-    return remove_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return remove_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*map(column, docs.columns))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
