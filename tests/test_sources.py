@@ -83,6 +83,24 @@ def test_migration_stops_at_quota_and_waits(spark, tmp_path):
         jobs.parse_datasets("income_statement, nope")
 
 
+def test_migration_keeps_what_it_loaded(spark, tmp_path):
+    """A loader that breaks ends the run; rows and outcomes of the jobs before it are stored."""
+    tables = store.TableStore(spark, f"file://{tmp_path}/db")
+
+    def load(symbol):
+        if symbol == "B":
+            raise RuntimeError("no data")
+        if symbol == "C":
+            raise ValueError("broken")
+        return rows_of(spark, statement(symbol, 1))
+
+    with pytest.raises(ValueError, match="broken"):
+        migrate(spark, tables, load)
+    assert [r.symbol for r in tables.read("income_statements").collect()] == ["A"]
+    queue = {r.symbol: (r.status, r.attempts, r.rows_written) for r in tables.read("fundamental_migration_progress").collect()}
+    assert queue == {"A": ("success", 1, 1), "B": ("retry", 1, 0), "C": ("pending", 0, 0)}
+
+
 INDEX = """<table id="constituents"><thead><tr><th>Symbol</th><th>Security</th><th>GICS Sector</th></tr></thead>
 <tbody><tr><td>AB.C</td><td>A&nbsp;b<br>c</td><td>Tech</td><td>extra</td></tr><tr><td>short</td></tr><tr><td></td><td>x</td><td>y</td></tr></tbody></table>"""
 NIKKEI = """<div class="idx-componentslist-header"><div><p class="title">Technology</p><ul><li class="list-item"><a href="#C1">Pharma</a></li></ul></div></div>

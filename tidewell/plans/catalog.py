@@ -7,6 +7,7 @@ ticks are ``events`` by user, the job queue is ``orders`` by status.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import scalars as S
 from tidewell.operators import matrix, regime, series, technical
 from tidewell.plans import jobs
+from tidewell.shared import shared_dir
 from tidewell.sources import payloads, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,17 +153,28 @@ def max_drawdown(spark, d):
     return _rounded(_backtest(spark, d)["metrics"].select("user_id", "max_drawdown"), "max_drawdown")
 
 
+def _stored(spark: SparkSession, name: str, rows: DataFrame, key: list[str]) -> store.TableStore:
+    """A store in the shared folder that holds one table, with these rows."""
+    tables = store.TableStore(spark, f"{shared_dir(spark)}/tidewell/store-{uuid.uuid4().hex}", {name: (rows.schema, key)})
+    tables.rewrite(name, lambda _: rows)
+    return tables
+
+
 def upsert_latest(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
     incoming = c.where("c_custkey % 3 = 0").select("c_custkey", F.lit("new").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal")).withColumn("ord", F.lit(1))
     again = incoming.where("c_custkey % 2 = 0").withColumns({"c_name": F.lit("newer"), "ord": F.lit(2)})
-    return store.merged(c, incoming.union(again), ["c_custkey"], order="ord").withColumn("c_acctbal", F.round("c_acctbal", 6))
+    tables = _stored(spark, "customer", c, ["c_custkey"])
+    tables.upsert("customer", incoming.union(again), order="ord")
+    return tables.read("customer").withColumn("c_acctbal", F.round("c_acctbal", 6))
 
 
 def insert_ignore(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     incoming = n.select((F.col("n_nationkey") + 20).alias("n_nationkey"), F.lit("added").alias("n_name"))
-    return store.with_new_keys(n, incoming, ["n_nationkey"])
+    tables = _stored(spark, "nation", n, ["n_nationkey"])
+    tables.insert_ignore("nation", incoming)
+    return tables.read("nation")
 
 
 def seed_cross(spark, d):

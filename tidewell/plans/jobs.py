@@ -119,8 +119,8 @@ def migrate(
     """Work off due jobs: load, upsert, note the outcome; stop at the first quota error.
 
     ``loaders[dataset](symbol)`` gives statement rows or raises RuntimeError; other
-    errors end the run. A run's rows are upserted once for each table, and its
-    outcomes are then written to the queue at once.
+    errors end the run, but what was loaded before stays. A run's rows are upserted
+    once for each table, and its outcomes are then written to the queue at once.
     """
     if max_requests <= 0 or retry_delay_minutes <= 0 or quota_retry_minutes <= 0:
         raise RuntimeError("max_requests, retry_delay_minutes and quota_retry_minutes must be positive")
@@ -134,22 +134,26 @@ def migrate(
     due = due_jobs(queue, F.lit(at), max_requests).collect()  # at most max_requests rows
     outcomes, quota = [], False
     loaded: dict[str, list[DataFrame]] = {}
-    for job in due:
-        try:
-            found = loaders[job.dataset](job.symbol)
-            outcomes.append((job.symbol, job.dataset, found.count(), None, None))
-            loaded.setdefault(tables[job.dataset], []).append(found)
-        except RuntimeError as e:
-            quota = is_quota_message(str(e))
-            delay = quota_retry_minutes if quota else retry_delay_minutes * 2 ** min(job.attempts, 4)
-            outcomes.append((job.symbol, job.dataset, 0, str(e), now() + timedelta(minutes=delay)))
-            if quota:
-                break
-    for name, frames in loaded.items():
-        store.upsert(name, union_all(frames))
-    if outcomes:
-        made = spark.createDataFrame(outcomes, "symbol string, dataset string, rows bigint, error string, retry_ts timestamp_ntz")
-        store.rewrite("fundamental_migration_progress", lambda jobs: apply_outcomes(jobs, made, F.lit(now())))
+    try:
+        for job in due:
+            try:
+                found = loaders[job.dataset](job.symbol).persist()  # counted and upserted, but made once
+                outcomes.append((job.symbol, job.dataset, found.count(), None, None))
+                loaded.setdefault(tables[job.dataset], []).append(found)
+            except RuntimeError as e:
+                quota = is_quota_message(str(e))
+                delay = quota_retry_minutes if quota else retry_delay_minutes * 2 ** min(job.attempts, 4)
+                outcomes.append((job.symbol, job.dataset, 0, str(e), now() + timedelta(minutes=delay)))
+                if quota:
+                    break
+    finally:
+        for name, frames in loaded.items():
+            store.upsert(name, union_all(frames))
+            for frame in frames:
+                frame.unpersist()
+        if outcomes:
+            made = spark.createDataFrame(outcomes, "symbol string, dataset string, rows bigint, error string, retry_ts timestamp_ntz")
+            store.update("fundamental_migration_progress", made, lambda jobs: apply_outcomes(jobs, made, F.lit(now())))
     after = store.read("fundamental_migration_progress")
     total = status_rollup(after).first()
     good = sum(o[3] is None for o in outcomes)
@@ -158,6 +162,13 @@ def migrate(
     )
 
 
+def table_counts(tables: Mapping[str, DataFrame]) -> dict[str, int]:
+    """Rows of each table, by one aggregate over all."""
+    named = union_all([df.select(F.lit(name).alias("name")) for name, df in tables.items()])
+    found = {r["name"]: r["n"] for r in named.groupBy("name").agg(F.count("*").alias("n")).collect()}
+    return {name: found.get(name, 0) for name in tables}
+
+
 def migration_status(store: TableStore, failure_limit: int = 10) -> dict:
     """Counts by status, next retry, recent failures and rows of each statement table."""
     jobs = store.read("fundamental_migration_progress").cache()
@@ -170,7 +181,7 @@ def migration_status(store: TableStore, failure_limit: int = 10) -> dict:
         "pending_jobs": total.pending,
         "status_counts": {r.status: r.n for r in jobs.groupBy("status").agg(F.count("*").alias("n")).orderBy("status").collect()},
         "next_retry_ts": next_retry(jobs).first()[0],
-        "table_counts": {name: store.read(name).count() for name in STATEMENT_MEASURES},
+        "table_counts": table_counts({name: store.read(name) for name in STATEMENT_MEASURES}),
         "recent_failures": failures,
     }
     jobs.unpersist()
