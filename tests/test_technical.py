@@ -4,25 +4,95 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import technical
+from tidewell.operators import scan, technical
+from tidewell.sources.store import asof_join
 
 
-def test_rsi_bounds_and_warm_up():
-    out = technical.wilder_rsi(np.array([100, 101, 102, 101, 103, 104, 103, 105, 106, 105, 107, 108, 107, 109, 109.5]), 14)
-    assert np.isnan(out[:14]).all()
-    assert 0 <= out[14] <= 100
-    assert technical.wilder_rsi(np.full(20, 5.0), 14)[-1] == 100
-    assert np.isnan(technical.wilder_rsi(np.arange(14.0), 14)).all()
+def wilder(close, period):
+    """Wilder's RSI of one ordered series by a plain loop; NaN for its first ``period`` values."""
+    out = np.full(len(close), np.nan)
+    if len(close) <= period:
+        return out
+    change = np.diff(close)
+    gain, loss = np.maximum(change, 0.0), np.maximum(-change, 0.0)
+    up, down = gain[:period].mean(), loss[:period].mean()
+    for i in range(period, len(close)):
+        if i > period:
+            up = (up * (period - 1) + gain[i - 1]) / period
+            down = (down * (period - 1) + loss[i - 1]) / period
+        out[i] = 100.0 if down == 0 else 100.0 - 100.0 / (1.0 + up / down)
+    return out
 
 
-def test_rsi_of_many_series(spark):
+def bars(spark, series):
+    return spark.createDataFrame([(k, i, float(x)) for k, v in series.items() for i, x in enumerate(v)], "k int, seq int, close double")
+
+
+def rsi_of(df, k):
+    return df[df.k.isna() if k is None else df.k == k].sort_values("seq").rsi.astype(float)
+
+
+def test_rsi_bounds_and_warm_up(spark):
+    series = {1: [100, 101, 102, 101, 103, 104, 103, 105, 106, 105, 107, 108, 107, 109, 109.5], 2: np.full(20, 5.0), 3: np.arange(14.0)}
+    got = technical.rsi(bars(spark, series), by=["k"], order=["seq"]).toPandas()
+    one = rsi_of(got, 1).to_numpy()
+    assert np.isnan(one[:14]).all() and 0 <= one[14] <= 100
+    assert rsi_of(got, 2).iloc[-1] == 100 and rsi_of(got, 3).isna().all()
+
+
+@pytest.mark.parametrize("period,rows", [(14, 2_000_000), (14, 100), (1, 50), (2, 100), (5, 300)])
+def test_rsi_of_many_series(spark, period, rows):
+    """Also of series cut into ranges and of several blocks; a null key is a series."""
     rng = np.random.default_rng(1)
-    data = {k: 100 + np.cumsum(rng.normal(0, 1, 40)) for k in range(5)}
-    df = spark.createDataFrame([(k, i, float(x)) for k, v in data.items() for i, x in enumerate(v)] + [(9, 0, 1.0)], "k int, seq int, close double")
-    got = technical.rsi(df, by=["k"], order=["seq"]).toPandas().sort_values(["k", "seq"])
-    for k, v in data.items():
-        np.testing.assert_allclose(got[got.k == k].rsi.astype(float), technical.wilder_rsi(v, 14))
-    assert got[got.k == 9].rsi.isna().all()
+    series = {k: 100 + np.cumsum(rng.normal(0, 1, 40)) for k in (0, 1, 2, None)}
+    series |= {4: 100 + np.cumsum(rng.normal(0, 1, 900)), 5: np.concatenate([np.arange(400.0), np.arange(400.0)[::-1]]), 9: [1.0]}
+    df = bars(spark, series).union(spark.createDataFrame([(4, 10_000, None)], "k int, seq int, close double"))
+    got = technical.rsi(df, by=["k"], order=["seq"], period=period, range_rows=rows).toPandas()
+    assert len(got) == sum(map(len, series.values()))
+    for k, v in series.items():
+        np.testing.assert_allclose(rsi_of(got, k), wilder(np.asarray(v), period), rtol=1e-9)
+
+
+def test_rsi_of_one_long_series(spark):
+    """A million bars without a key, cut into ranges and blocks, without Python workers."""
+    n = 1_000_000
+    df = spark.range(n).select("id", (F.rand(3) + F.sin(F.col("id") / 1e5) * 100 + F.when(F.col("id").between(300_000, 340_000), F.col("id")).otherwise(0)).alias("close"))
+    df.write.mode("overwrite").parquet(path := spark.conf.get("spark.checkpoint.dir") + "/long-series")
+    df = spark.read.parquet(path)
+    out = technical.rsi(df, order=["id"], range_rows=100_000)
+    assert "Python" not in out._jdf.queryExecution().toString()
+    got = out.toPandas().sort_values("id")
+    np.testing.assert_allclose(got.rsi.astype(float), wilder(got.close.to_numpy(), 14), rtol=1e-9)
+
+
+def test_scans_equal_windows_whatever_the_ranges(spark):
+    rng = np.random.default_rng(8)
+    rows = [(None if k == 3 else k, int(i // 3), int(i), None if rng.random() < 0.4 else float(rng.normal(1, 0.2))) for k in range(4) for i in range([5, 400, 90, 200][k])]
+    df = spark.createDataFrame(rows, "k int, t int, u int, x double")
+    x = F.col("x")
+    made = {"fill": scan.filled(x), "prev": scan.previous(x), "n": scan.row_number(), "top": scan.running_max(x), "prod": scan.running_product(x)}
+    want = sorted(map(str, scan.scanned(df, made, by=["k"], order=["t", "u"]).withColumn("prod", F.round("prod", 9)).collect()))
+    for size in (1, 7, 64, 199):
+        cut = scan.Ranges(df, ["k"], ["t", "u"], size)
+        assert cut.cuts is not None and cut.marked(df).agg(F.max("_range")).first()[0] >= 400 // size // 4
+        got = scan.scanned(df, made, by=["k"], order=["t", "u"], rows=size).withColumn("prod", F.round("prod", 9)).collect()
+        assert sorted(map(str, got)) == want
+    w = scan.Window.partitionBy("k").orderBy("t", "u")
+    plain = df.select("*", F.last("x", True).over(w).alias("fill"), F.lag("x").over(w).alias("prev"), F.row_number().over(w).cast("bigint").alias("n"), F.max("x").over(w).alias("top"), F.round(F.product("x").over(w), 9).alias("prod"))
+    assert sorted(map(str, plain.collect())) == want
+
+
+def test_backtest_and_asof_join_on_cut_series(spark):
+    rng = np.random.default_rng(2)
+    df = bars(spark, {k: 100 + np.cumsum(rng.normal(0, 1, n)) for k, n in ((1, 500), (2, 30))}).withColumn("strength", (F.col("seq") % 5) / 10)
+    runs = [technical.rsi_backtest(df, by=["k"], oversold=45, overbought=55, strength="strength", range_rows=r) for r in (10**6, 40)]
+    for part in ("series", "metrics"):
+        a, b = (r[part].toPandas().sort_values(["k", "seq"] if part == "series" else ["k"]).reset_index(drop=True) for r in runs)
+        for c in a.columns:
+            assert np.allclose(a[c].astype(float), b[c].astype(float), equal_nan=True) if c != "signal" else (a[c] == b[c]).all()
+    left, right = df.select("k", F.col("seq").alias("at"), F.col("close").alias("id")), df.where("seq % 7 = 3").select("k", F.col("seq").alias("at"), F.col("close").alias("v"))
+    one, two = (sorted(map(str, asof_join(left, right, by=["k"], on="at", values=["v"], range_rows=r).collect())) for r in (10**6, 25))
+    assert one == two and len(one) == 530
 
 
 def test_signal(spark):

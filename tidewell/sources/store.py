@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.operators.scan import RANGE_ROWS, filled, scanned
 from tidewell.schemas import TABLES
 
 #: Buckets of a new table; ``rebucket`` changes their number as it grows.
@@ -44,14 +45,16 @@ def with_new_keys(stored: DataFrame, incoming: DataFrame, key: Sequence[str]) ->
     return stored.unionByName(fresh.select(*stored.columns))
 
 
-def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], on: str, values: Sequence[str]) -> DataFrame:
-    """Each left row with the last right row of its key at or before it, by one sorted pass over both."""
+def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], on: str, values: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Each left row with the last right row of its key at or before it, by one sorted pass over both.
+
+    A key with very many rows is cut into ranges of time, see ``scan``.
+    """
     other = [c for c in left.columns if c not in (*by, on)]
     a = left.select(*by, on, *other, *(F.lit(None).cast(right.schema[v].dataType).alias(f"_v_{v}") for v in values), F.lit(1).alias("_side"))
     b = right.select(*by, on, *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in other), *(F.col(v).alias(f"_v_{v}") for v in values), F.lit(0).alias("_side"))
-    w = Window.partitionBy(*by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    filled = a.unionByName(b).withColumns({v: F.last(f"_v_{v}", ignorenulls=True).over(w) for v in values})
-    return filled.where("_side = 1").select(*by, on, *other, *values)
+    met = scanned(a.unionByName(b), {v: filled(F.col(f"_v_{v}")) for v in values}, by=by, order=[on, "_side"], rows=range_rows)
+    return met.where("_side = 1").select(*by, on, *other, *values)
 
 
 def run_sql(spark: SparkSession, sql: str, frames: Mapping[str, DataFrame], args: Sequence | None = None) -> DataFrame:
