@@ -80,13 +80,43 @@ def test_sample_is_stable(spark, data):
         matrix.sample_rows(df, 0, "id")
 
 
-def test_kendall_of_too_many_rows_raises(spark, monkeypatch):
-    monkeypatch.setattr(matrix, "KENDALL_ROWS", 20)
-    df = spark.range(21).selectExpr("id", "id % 5 as a", "id % 3 as b")
-    with pytest.raises(ValueError, match="sample"):
-        matrix.correlation_matrix(df, features=["a", "b"], method="kendall", key="id")
-    few = matrix.sample_rows(df, 20, "id")
-    assert matrix.correlation_matrix(few, features=["a", "b"], method="kendall", key="id").count() == 3
+def tau(x, y):
+    """Kendall's tau-b by all pairs."""
+    dx, dy = np.sign(x[:, None] - x[None, :]), np.sign(y[:, None] - y[None, :])
+    untied = (dx != 0).sum() * (dy != 0).sum()
+    return (dx * dy).sum() / np.sqrt(float(untied)) if untied else None
+
+
+@pytest.mark.parametrize("rows,cuts", [(500_000, 500), (50, 500), (7, 40), (1, 3)])
+def test_kendall_whatever_the_ranges(spark, rows, cuts):
+    rng = np.random.default_rng(rows)
+    x = np.concatenate([rng.normal(size=250), np.full(200, 0.3), rng.integers(-3, 3, 150)])
+    y = np.concatenate([x[:250] + rng.normal(size=250), rng.normal(size=200), rng.integers(0, 2, 150)])
+    nulls = [(None, 1.0), (2.0, None), (None, None), (float("nan"), 3.0)]
+    df = spark.createDataFrame([*((float(a), float(b)) for a, b in zip(x, y)), *nulls], "x double, y double")
+    assert matrix.kendall_tau(df, "x", "y", range_rows=rows, most_cuts=cuts) == pytest.approx(tau(x, y), abs=1e-12)
+    assert matrix.kendall_tau(df.withColumn("y", df.x * 0 + 1), "x", "y") is None and matrix.kendall_tau(df.limit(0), "x", "y") is None
+
+
+def test_counting_pairs():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 5, 60):
+        x, y = rng.integers(0, 9, n).astype(float), rng.integers(0, 9, n).astype(float)
+        assert matrix.inversions(y) == sum(y[i] > y[j] for j in range(n) for i in range(j))
+        assert matrix.concordance(x, y) == sum(int(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j])) for j in range(n) for i in range(j))
+        cells = [(int(a), int(b), 10**15) for a, b in zip(x, y)]
+        assert matrix._grid_concordance(cells) == 10**30 * matrix.concordance(x, y)
+
+
+def test_spearman_ranks_whole_columns_once(spark, monkeypatch):
+    calls = []
+    plain = matrix.average_ranks
+    monkeypatch.setattr(matrix, "average_ranks", lambda df, columns: calls.append(list(columns)) or plain(df, columns))
+    df = spark.range(50).selectExpr("id % 7 as a", "id * id % 11 as b", "if(id % 5 = 0, null, id) as c", "1 as d")
+    got = {(r.row, r.col): r["corr"] for r in matrix.correlation_matrix(df, method="spearman").collect()}
+    assert sorted(map(len, calls)) == [2, 2, 2, 3]
+    want = df.toPandas().astype(float).corr(method="spearman")
+    assert all((c is None and np.isnan(want.loc[k])) or c == pytest.approx(want.loc[k], abs=1e-10) for k, c in got.items()) and len(got) == 10
 
 
 def test_ranks_over_many_ranges_equal_pandas(spark):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +15,10 @@ from pyspark.sql import types as T
 from tidewell.functions.scalars import no_nan
 
 
-#: Ranges that ranks are counted in, and most rows whose pairs Kendall's tau compares.
-RANGES, KENDALL_ROWS = 64, 10_000
+#: Ranges that ranks are counted in.
+RANGES = 64
+#: Kendall's grid: rows of a range, about, and most cuts of a column, which bound its cells.
+KENDALL_ROWS, KENDALL_CUTS = 500_000, 500
 
 
 def numeric_columns(df: DataFrame, features: Sequence[str] | None = None, exclude: Sequence[str] = ()) -> list[str]:
@@ -67,11 +71,122 @@ def _unpivot(df: DataFrame, pairs: list[tuple[str, str]], values: list[Column])
     return wide.select(F.inline(rows))
 
 
+def _spearman(df: DataFrame, columns: Sequence[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """Columns without nulls are ranked once for all pairs; a pair with nulls is ranked over the rows that have both."""
+    holes = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).first()
+    whole = [c for c in columns if not holes[c]]
+    shared = [(a, b) for a, b in pairs if a in whole and b in whole]
+    out = None
+    if shared:
+        out = _unpivot(average_ranks(df.select(*whole), whole), shared, [safe_corr(F.col(a), F.col(b)) for a, b in shared])
+    for a, b in pairs:
+        if (a, b) in shared:
+            continue
+        if a == b:  # one, unless the column doesn't vary
+            one = df.agg(F.when(F.min(a) < F.max(a), F.lit(1.0)).alias("corr"))
+        else:
+            ranked = average_ranks(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b")), ["a", "b"])
+            one = ranked.agg(safe_corr(F.col("a"), F.col("b")).alias("corr"))
+        one = one.select(F.lit(a).alias("row"), F.lit(b).alias("col"), "corr")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def inversions(values: np.ndarray) -> int:
+    """Pairs of which the first is larger than a later one, by halving the value range: each bit sorts stably and counts ones before zeros."""
+    rank = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    total = 0
+    for bit in range(int(rank.max()).bit_length() - 1, -1, -1) if len(rank) else ():
+        group, one = rank >> (bit + 1), (rank >> bit) & 1
+        ones = np.cumsum(one)
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        base = np.repeat(ones[starts] - one[starts], np.diff(np.append(starts, len(rank))))
+        total += int((ones - base)[one == 0].sum())
+        rank = rank[np.argsort(rank >> bit, kind="stable")]
+    return total
+
+
+def _tied(*sorted_columns: np.ndarray) -> int:
+    """Pairs of rows that agree in all columns; equal rows stand together."""
+    new = np.zeros(len(sorted_columns[0]), bool)
+    for c in sorted_columns:
+        new[1:] |= c[1:] != c[:-1]
+    new[:1] = True
+    sizes = np.diff(np.append(np.flatnonzero(new), len(new))).astype(object)
+    return int((sizes * (sizes - 1) // 2).sum()) if len(sizes) else 0
+
+
+def concordance(x: np.ndarray, y: np.ndarray) -> int:
+    """Concordant less discordant pairs of rows."""
+    n = len(x)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    distinct = n * (n - 1) // 2 - _tied(x) - _tied(np.sort(y)) + _tied(x, y)
+    return distinct - 2 * inversions(y)
+
+
+def _grid_concordance(cells: list[tuple[int, int, int]]) -> int:
+    """The same between rows of cells ``(x, y, rows)`` that differ in both, exactly: integers of any size."""
+    if not cells:
+        return 0
+    xs, ys = (sorted({c[k] for c in cells}) for k in (0, 1))
+    grid = np.zeros((len(xs), len(ys)), object)
+    at = ({v: i for i, v in enumerate(xs)}, {v: i for i, v in enumerate(ys)})
+    for x, y, n in cells:
+        grid[at[0][x], at[1][y]] += n
+    total, seen = 0, np.zeros(len(ys), object)  # rows of smaller x, by y
+    for row in grid:
+        below = np.cumsum(seen) - seen
+        total += int((row * (below - (seen.sum() - below - seen))).sum())
+        seen = seen + row
+    return total
+
+
+def _parts(df: DataFrame, column: str, cuts: list[float]) -> Column:
+    """The number of a value's range. A cut is a range of its own, so a value that very many rows have stands alone."""
+    if not cuts:
+        return F.lit(0)
+    listed = F.array(*map(F.lit, cuts))
+    return F.size(F.filter(listed, lambda c: c < F.col(column))) * 2 + F.array_contains(listed, F.col(column)).cast("int")
+
+
+def kendall_tau(df: DataFrame, x: str, y: str, *, range_rows: int = KENDALL_ROWS, most_cuts: int = KENDALL_CUTS) -> float | None:
+    """Kendall's tau-b over the rows that have both values; None where a column doesn't vary.
+
+    Both columns are cut at quantiles. Pairs of rows in different ranges of both are
+    told by the ranges: they are counted from the grid of rows by ranges, a table of
+    ``(2 most_cuts + 1)²`` cells at most, with sums over smaller ones. Pairs in one range
+    of x are counted inside it, by a sort and a count of inversions, pairs in one range
+    of y but different ones of x likewise. A range of one value has no pair to count and
+    is left out, so only ranges of about ``range_rows`` rows come together in a task.
+    """
+    rows = df.select(no_nan(F.col(x).cast("double")).alias("x"), no_nan(F.col(y).cast("double")).alias("y")).where("x is not null and y is not null")
+    n = rows.count()
+    parts = min(most_cuts, max(2, -(-n // range_rows)))
+    found = rows.approxQuantile(["x", "y"], [i / parts for i in range(1, parts)], 0.1 / parts) if n else [[], []]
+    cuts = [sorted(set(c)) for c in found]
+    marked = rows.select("x", "y", _parts(rows, "x", cuts[0]).alias("px"), _parts(rows, "y", cuts[1]).alias("py"))
+    ties = {c: rows.groupBy(c).agg(F.count("*").cast("decimal(38,0)").alias("t")).agg(F.coalesce(F.sum(F.expr("t * (t - 1) / 2")), F.lit(0)).cast("decimal(38,0)").alias("n")).first()["n"] for c in ("x", "y")}
+    total = _grid_concordance([tuple(r) for r in marked.groupBy("px", "py").agg(F.count("*").alias("n")).collect()])
+
+    def one(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"s": [str(concordance(batch["u"].to_numpy(), batch["v"].to_numpy()))]})
+
+    # A cut's own range (odd) holds one value: its pairs tie in that column.
+    within = marked.where("px % 2 = 0").select("px", F.col("x").alias("u"), F.col("y").alias("v")).groupBy("px").applyInPandas(one, "s string")
+    across = marked.where("py % 2 = 0").select("py", F.col("px").cast("double").alias("u"), F.col("y").alias("v")).groupBy("py").applyInPandas(one, "s string")
+    total += sum(int(r["s"]) for r in within.union(across).collect())  # a row a range
+    pairs = n * (n - 1) // 2
+    untied = [pairs - int(ties[c]) for c in ("x", "y")]
+    return total / (math.sqrt(untied[0]) * math.sqrt(untied[1])) if all(untied) else None
+
+
 def correlation_matrix(df: DataFrame, *, features: Sequence[str] | None = None, exclude: Sequence[str] = (), method: str = "pearson", key: str | None = None) -> DataFrame:
     """``(row, col, corr)`` for the lower triangle and the diagonal, pairwise complete.
 
-    ``kendall`` (tau-b) compares pairs of rows; it needs ``key`` and raises for more
-    than KENDALL_ROWS rows: take ``sample_rows`` first.
+    ``spearman`` ranks columns without nulls once; ``kendall`` is tau-b by inversion
+    counting (``kendall_tau``), whose figures come from jobs run here. ``key`` is not
+    needed any more.
     """
     columns = numeric_columns(df, features, exclude)
     if len(columns) < 2:
@@ -80,28 +195,12 @@ def correlation_matrix(df: DataFrame, *, features: Sequence[str] | None = None,
     if method == "pearson":
         return _unpivot(df, pairs, [safe_corr(F.col(a), F.col(b)) for a, b in pairs])
     if method == "spearman":
-        out = None
-        for a, b in pairs:
-            ranked = average_ranks(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b")), ["a", "b"])
-            one = ranked.agg(safe_corr(F.col("a"), F.col("b")).alias("corr")).select(F.lit(a).alias("row"), F.lit(b).alias("col"), "corr")
-            out = one if out is None else out.union(one)
-        return out
+        return _spearman(df, columns, pairs)
     if method != "kendall":
         raise ValueError(f"unknown method {method}")
-    if key is None:
-        raise ValueError("kendall needs a key column")
-    if df.limit(KENDALL_ROWS + 1).count() > KENDALL_ROWS:
-        raise ValueError(f"kendall compares pairs of rows: sample {KENDALL_ROWS} at most")
-    left, right = df.select(F.col(key).alias("_k"), *columns), df.select(F.col(key).alias("_l"), *(F.col(c).alias(f"_{c}") for c in columns))
-    met = left.join(right, F.col("_k") < F.col("_l"))
-
-    def tau(a: str, b: str) -> Column:
-        x, y = F.signum(F.col(a) - F.col(f"_{a}")), F.signum(F.col(b) - F.col(f"_{b}"))
-        both = x.isNotNull() & y.isNotNull()
-        untied = F.count_if(both & (x != 0)).cast("double") * F.count_if(both & (y != 0)).cast("double")
-        return F.try_divide(F.sum(x * y), F.sqrt(untied))
-
-    return _unpivot(met, pairs, [tau(a, b) for a, b in pairs])
+    varies = df.agg(*(F.coalesce(F.min(no_nan(F.col(c).cast("double"))) < F.max(no_nan(F.col(c).cast("double"))), F.lit(False)).alias(c) for c in columns)).first()
+    found = [(a, b, (1.0 if varies[a] else None) if a == b else kendall_tau(df, a, b)) for a, b in pairs]
+    return df.sparkSession.createDataFrame(found, "row string, col string, corr double")
 
 
 def zscores(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import scalars as S
-from tidewell.operators import matrix, regime, series, technical
+from tidewell.operators import matrix, regime, scan, series, technical
 from tidewell.plans import jobs
 from tidewell.shared import shared_dir
 from tidewell.sources import payloads, store
@@ -271,6 +271,10 @@ def corr_kendall(spark, d):
     return _rounded(matrix.correlation_matrix(table(spark, d, "supplier"), features=["s_nationkey", "s_acctbal"], method="kendall", key="s_suppkey"), "corr")
 
 
+def corr_kendall_rows(spark, d):
+    return _rounded(matrix.correlation_matrix(table(spark, d, "lineitem"), features=["l_quantity", "l_discount", "l_tax"], method="kendall"), "corr")
+
+
 def zscore(spark, d):
     return _rounded(matrix.zscores(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"]), "p_size", "p_retailprice")
 
@@ -317,8 +321,17 @@ def _sql(text: str) -> Query:
     return query
 
 
+def series_scans(spark, d):
+    """All of ``lineitem`` as one series, cut into ranges: last discounted price, highest price so far, price before."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_discount", "l_extendedprice")
+    price = F.col("l_extendedprice")
+    made = {"place": scan.row_number(), "discounted": scan.filled(F.when(F.col("l_discount") > 0.08, price)), "highest": scan.running_max(price), "before": scan.previous(price)}
+    out = scan.scanned(line, made, order=["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"], rows=line.count() // 40 + 1)
+    return out.select("l_orderkey", "l_linenumber", *made)
+
+
 def asof_join(spark, d):
-    """Each order with the last event before it that has a value, by customer and user."""
+    """Each order with the highest price shipped at or before it under its customer's number, taken as a supplier's."""
     left = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"))
     right = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_shipdate").alias("at"), F.col("l_extendedprice").alias("v")).groupBy("k", "at").agg(F.max("v").alias("v"))
     return store.asof_join(left, right, by=["k"], on="at", values=["v"]).select("id", F.round("v", 6).alias("v"))
@@ -327,7 +340,7 @@ def asof_join(spark, d):
 QUERIES: tuple[Callable, ...] = (
     month_end_last, log_returns, lagged_returns, rolling_beta_36m, policy_ffill, rolling_corr_36m, regime_labels, regime_counts, current_regimes, model_input_frame, regime_filtered_summary,
     regime_weighted_summary, rsi_14, rsi_signal, rsi_position, equity_curve, rsi_backtest_metrics, max_drawdown, upsert_latest, insert_ignore, seed_cross, due_jobs_topk, recent_failures_topk,
-    status_counts, next_retry, status_rollup, backoff_delay, mark_outcomes, to_int_clean, json_fields, canonical_props, free_cash_flow, price_validation, corr_pearson, corr_spearman, corr_kendall,
+    status_counts, next_retry, status_rollup, backoff_delay, mark_outcomes, to_int_clean, json_fields, canonical_props, free_cash_flow, price_validation, corr_pearson, corr_spearman, corr_kendall, corr_kendall_rows, series_scans,
     zscore, numeric_model_frame, row_sample, pca_projection, time_points, asof_join,
 )
 

@@ -74,6 +74,21 @@ def _tau(a: str, b: str) -> str:
 FROM supplier x JOIN supplier y ON x.s_suppkey < y.s_suppkey"""
 
 
+def _tau_by_value(a: str, b: str) -> str:
+    """Over the pairs of distinct values, each with its rows."""
+    return f"""SELECT '{a}' AS row, '{b}' AS col, round(s / nullif(sqrt(p - ta) * sqrt(p - tb), 0), 6) AS corr FROM
+(SELECT CAST(sum(x.n * y.n * sign(x.a - y.a) * sign(x.b - y.b)) AS DOUBLE) / 2 AS s FROM c_{a}_{b} x, c_{a}_{b} y),
+(SELECT CAST(sum(n) AS DOUBLE) * (sum(n) - 1) / 2 AS p FROM c_{a}_{b}),
+(SELECT CAST(sum(n * (n - 1) / 2) AS DOUBLE) AS ta FROM (SELECT sum(n) AS n FROM c_{a}_{b} GROUP BY a)),
+(SELECT CAST(sum(n * (n - 1) / 2) AS DOUBLE) AS tb FROM (SELECT sum(n) AS n FROM c_{a}_{b} GROUP BY b))"""
+
+
+def _tau_rows(table: str, columns: list[str]) -> str:
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[: i + 1]]
+    counts = ", ".join(f"c_{a}_{b} AS (SELECT {a} AS a, {b} AS b, count(*) AS n FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL)" for a, b in pairs)
+    return f"WITH {counts} " + " UNION ALL ".join(_tau_by_value(a, b) for a, b in pairs)
+
+
 def _payload(kind: str) -> str:
     api = [c for c, f in FIELDS[kind].items() if f]
     sums = [f"CAST(sum(CAST(l_quantity AS BIGINT) * {i + 3}) AS BIGINT) AS {c}" for i, c in enumerate(api)]
@@ -129,6 +144,10 @@ CASE attempts WHEN 1 THEN NULL WHEN 2 THEN TIMESTAMP '1998-01-01' ELSE next_retr
     "corr_pearson": _corr_rows("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]),
     "corr_spearman": _corr_rows("part", ["p_size", "p_retailprice", "p_partkey"], "spearman"),
     "corr_kendall": " UNION ALL ".join(_tau(a, b) for a, b in (("s_nationkey", "s_nationkey"), ("s_acctbal", "s_nationkey"), ("s_acctbal", "s_acctbal"))),
+    "corr_kendall_rows": _tau_rows("lineitem", ["l_quantity", "l_discount", "l_tax"]),
+    "series_scans": """SELECT l_orderkey, l_linenumber, row_number() OVER w AS place, last_value(CASE WHEN l_discount > 0.08 THEN l_extendedprice END IGNORE NULLS) OVER s AS discounted,
+max(l_extendedprice) OVER s AS highest, lag(l_extendedprice) OVER w AS before
+FROM lineitem WINDOW w AS (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_discount), s AS (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_discount ROWS UNBOUNDED PRECEDING)""",
     "zscore": "SELECT p_partkey, round((p_size - avg(p_size) OVER ()) / coalesce(nullif(stddev_pop(p_size) OVER (), 0), 1), 6) AS p_size, round((p_retailprice - avg(p_retailprice) OVER ()) / coalesce(nullif(stddev_pop(p_retailprice) OVER (), 0), 1), 6) AS p_retailprice FROM part",
     "numeric_model_frame": "SELECT s_suppkey, s_nationkey, round(s_acctbal, 6) AS s_acctbal FROM supplier WHERE s_suppkey IS NOT NULL AND s_nationkey IS NOT NULL AND s_acctbal IS NOT NULL",
     "row_sample": "SELECT p_partkey FROM part ORDER BY md5('42:' || CAST(p_partkey AS VARCHAR)), p_partkey LIMIT 50",
