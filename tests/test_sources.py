@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell import cli, config
+from tidewell.functions import scalars
 from tidewell.plans import jobs
 from tidewell.schemas import TABLES
 from tidewell.sources import html_tables, payloads, rest, snapshots, store
@@ -32,6 +33,24 @@ def test_payload_rows(spark):
     assert [f.name for f in TABLES["cash_flow_statements"][0].fields] == rows_of(spark, p, "cash_flow").columns
 
 
+def test_payloads_are_parsed_in_the_jvm(spark):
+    odd = {"fiscalDateEnding": "2020-06-30", "b": {"z": 1, "a": [1.5, None, True]}, "a": "é 𝄞 \" \\ \n", "totalRevenue": 7, "ebit": "-", "reportedCurrency": None}
+    p = {"symbol": "Y", "annualReports": {"not": "a list"}, "quarterlyReports": [odd, None, "text", [1], {"fiscalDateEnding": ""}, {"fiscalDateEnding": None}, {"fiscalDateEnding": "2020-03-31"}]}
+    out = rows_of(spark, p)
+    assert "Python" not in out._jdf.queryExecution().toString()
+    rows = out.orderBy("fiscal_date_ending").collect()
+    assert [(str(r.fiscal_date_ending), r.period_type, r.total_revenue, r.ebit, r.reported_currency) for r in rows] == [("2020-03-31", "quarterly", None, None, None), ("2020-06-30", "quarterly", 7, None, None)]
+    assert rows[1].raw_payload_json == json.dumps(odd, sort_keys=True, separators=(",", ":"))
+    with pytest.raises(Exception, match="payload without symbol"):
+        rows_of(spark, {"annualReports": []}).collect()
+
+
+def test_canonical_json(spark):
+    texts = ['{"b": 1, "a": {"d": [1, 2.5, null], "c": "\u00e9"}}', " [ ] ", "not json", None, '"x"', '{"k":"' + "\U0001d11e" + '"}', "{", '{"a":1,"a":2}']
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", scalars.canonical_json(F.col("t")).alias("c")).orderBy("i").select("c").collect()]
+    assert got == ['{"a":{"c":"\\u00e9","d":[1,2.5,null]},"b":1}', "[]", "not json", None, '"x"', '{"k":"\\ud834\\udd1e"}', "{", '{"a":1,"a":2}']
+
+
 def test_payload_checks():
     with pytest.raises(RuntimeError, match="quota reached"):
         payloads.check_payload({"Note": "Our standard API call frequency is 5"})

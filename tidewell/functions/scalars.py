@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 
 def no_nan(x: Column) -> Column:
@@ -71,16 +69,19 @@ def label_map(x: Column, mapping: Mapping[str, float]) -> Column:
     return out
 
 
-def _canonical(text: str | None) -> str | None:
-    try:
-        return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=True)
-    except ValueError:
-        return text
+def ascii_json(text: Column) -> Column:
+    """JSON text with characters beyond ASCII as \\u escapes of their UTF-16 units."""
+    escaped = F.transform(F.split(text, ""), lambda c: F.when(c.rlike("[^\\x00-\\x7F]"), F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", "\\\\u$1")).otherwise(c))
+    return F.when(text.rlike("[^\\x00-\\x7F]"), F.array_join(escaped, "")).otherwise(text)
 
 
 def canonical_json(x: Column) -> Column:
-    """JSON text with sorted keys, no blanks and ASCII escapes; what isn't JSON stays. Arrow batches."""
-    return pandas_udf(lambda s: s.map(_canonical), "string")(x)
+    """JSON text with sorted keys, no blanks and ASCII escapes; what isn't JSON stays.
+
+    By way of a VARIANT, so numbers come in their shortest decimal form (1.0 as 1) and an
+    object that repeats a key isn't JSON.
+    """
+    return F.coalesce(ascii_json(F.to_json(F.try_parse_json(x))), x)
 
 
 def scalar_text(value: object) -> object:

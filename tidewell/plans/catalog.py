@@ -247,7 +247,7 @@ def _payload(kind: str):
 
 
 def free_cash_flow(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") - F.col("l_discount"), 6).alias("free_cash_flow"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(payloads.free_cash_flow(F.col("l_extendedprice"), F.col("l_discount")), 6).alias("free_cash_flow"))
 
 
 def price_validation(spark, d):
