@@ -125,3 +125,28 @@ def test_ranks_over_many_ranges_equal_pandas(spark):
     got = matrix.average_ranks(spark.createDataFrame(list(enumerate(values)), "id int, v double"), ["v"]).orderBy("id").toPandas()["v"]
     want = pd.Series(values, dtype="float64").rank()
     assert np.allclose(got, want, equal_nan=True)
+
+
+def test_five_hundred_columns(spark):
+    rng = np.random.default_rng(3)
+    n, d = 400, 500
+    x = rng.normal(size=(n, 8)) @ rng.normal(size=(8, d)) + rng.normal(size=(n, d)) + 1e6
+    x[:, 7] = 5.5
+    names = [f"v{i}" for i in range(d)]
+    whole = spark.createDataFrame(pd.DataFrame(x, columns=names)).repartition(7)
+    got = matrix.pca(whole, [c for c in names if c != "v7"], 2)
+    z = np.delete(x, 7, 1)
+    z = (z - z.mean(0)) / z.std(0)
+    _, s, vt = np.linalg.svd(z, full_matrices=False)
+    np.testing.assert_allclose(got.explained_variance_ratio, (s**2 / (s**2).sum())[:2], rtol=1e-9)
+    np.testing.assert_allclose(np.sort(np.abs(got.embedding.toPandas()["pc1"])), np.sort(np.abs(z @ vt[0])), rtol=1e-6)
+    holes = pd.DataFrame(np.where(rng.random((n, d)) < 0.2, np.nan, x), columns=names)
+    holes["v9"] = np.nan
+    want = holes.drop(columns="v7").corr()
+    cells = matrix.correlation_matrix(spark.createDataFrame(holes.astype(object).where(holes.notna(), None), ", ".join(f"{c} double" for c in names)).repartition(5)).collect()
+    assert len(cells) == d * (d + 1) // 2
+    for r in cells:
+        if "v7" in (r.row, r.col) or "v9" in (r.row, r.col):
+            assert r["corr"] is None
+        else:
+            assert r["corr"] == pytest.approx(want.at[r.row, r.col], abs=1e-9)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,9 @@ RANGES = 64
 #: Kendall's grid: rows of a range, about, and most cuts of a column, which bound its cells.
 KENDALL_ROWS, KENDALL_CUTS = 500_000, 500
 
+#: From more columns than this, moments come from products of blocks of rows instead of one expression a pair.
+GRAM_COLUMNS = 40
+
 
 def numeric_columns(df: DataFrame, features: Sequence[str] | None = None, exclude: Sequence[str] = ()) -> list[str]:
     """The chosen columns less the excluded; by default all numeric ones."""
@@ -71,6 +76,82 @@ def _unpivot(df: DataFrame, pairs: list[tuple[str, str]], values: list[Column])
     return wide.select(F.inline(rows))
 
 
+@dataclass
+class Moments:
+    """For columns i and j over the rows that have both: their number, the sums of i and of i squared, and of i times j."""
+
+    n: np.ndarray
+    s: np.ndarray
+    q: np.ndarray
+    p: np.ndarray
+
+    def covariance(self) -> np.ndarray:
+        """Of the population, pair by pair."""
+        with np.errstate(all="ignore"):
+            return np.where(self.n > 0, (self.p - self.s * self.s.T / self.n) / self.n, 0.0)
+
+    def correlation(self) -> np.ndarray:
+        """NaN where a column doesn't vary over the rows of the pair."""
+        with np.errstate(all="ignore"):
+            var = self.q - self.s**2 / self.n
+            var[var <= 1e-12 * self.q] = np.nan  # what rounding leaves of a constant
+            return (self.p - self.s * self.s.T / self.n) / np.sqrt(var) / np.sqrt(var.T)
+
+
+def _partial_moments(batches: Iterator[pa.RecordBatch], centre: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The task's moments: a row for each column i, its four rows of the matrices end to end."""
+    d = len(centre)
+    sums = np.zeros((d, 4, d))
+    for batch in batches:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns]) - centre
+        has = ~np.isnan(x)
+        x[~has] = 0.0
+        mask = has.astype(np.float64)
+        for k, (a, b) in enumerate(((mask, mask), (x, mask), (x * x, mask), (x, x))):
+            sums[:, k] += a.T @ b
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), pa.array(np.full(d, TaskContext.get().partitionId(), np.int32)), pa.array(list(sums.reshape(d, -1)), pa.list_(pa.float64()))], ["i", "part", "v"])
+
+
+def _added_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    part = 0
+    for batch in batches:
+        part = batch.column(1)[0].as_py() if batch.num_rows else part
+        for i, v in zip(batch.column(0).to_pylist(), batch.column(2)):
+            sums[i] = sums.get(i, 0) + v.values.to_numpy()
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([part] * len(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["i", "part", "v"])
+
+
+def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
+    """Pairwise moments of any number of columns, from their means on.
+
+    Each task multiplies blocks of rows and gives ``4 d²`` sums; these are added in two
+    levels, by groups of tasks and then for all, a row a column. The result, ``4 d²``
+    numbers, comes to the driver.
+    """
+    numbers = df.select(*(no_nan(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)))
+    means = numbers.agg(*(F.avg(c).alias(c) for c in numbers.columns)).first()
+    centre = np.array([m or 0.0 for m in means])
+    schema = "i int, part int, v array<double>"
+    found = numbers.mapInArrow(lambda it: _partial_moments(it, centre), schema)
+    fold = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found.repartition(fold, F.col("part") % fold).mapInArrow(_added_moments, schema)
+    found = found.repartition(fold, "i").mapInArrow(_added_moments, schema)
+    d = len(columns)
+    sums = np.zeros((d, 4, d))
+    for r in found.select("i", "v").toLocalIterator():
+        sums[r["i"]] = np.array(r["v"]).reshape(4, d)
+    return Moments(*(sums[:, k] for k in range(4)))
+
+
+def _added(terms: Sequence[Column]) -> Column:
+    """The sum of many terms as a tree whose depth grows with the logarithm of their number."""
+    if len(terms) <= 1:
+        return terms[0] if terms else F.lit(0.0)
+    return _added(terms[: len(terms) // 2]) + _added(terms[len(terms) // 2 :])
+
+
 def _spearman(df: DataFrame, columns: Sequence[str], pairs: list[tuple[str, str]]) -> DataFrame:
     """Columns without nulls are ranked once for all pairs; a pair with nulls is ranked over the rows that have both."""
     holes = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).first()
@@ -192,6 +273,10 @@ def correlation_matrix(df: DataFrame, *, features: Sequence[str] | None = None,
     if len(columns) < 2:
         raise ValueError("at least two numeric features are needed")
     pairs = [(columns[i], columns[j]) for i in range(len(columns)) for j in range(i + 1)]
+    if method == "pearson" and len(columns) > GRAM_COLUMNS:
+        found = moments(df, columns).correlation()
+        cells = [(columns[i], columns[j], None if np.isnan(found[i, j]) else float(found[i, j])) for i in range(len(columns)) for j in range(i + 1)]
+        return df.sparkSession.createDataFrame(cells, "row string, col string, corr double")
     if method == "pearson":
         return _unpivot(df, pairs, [safe_corr(F.col(a), F.col(b)) for a, b in pairs])
     if method == "spearman":
@@ -221,8 +306,8 @@ class Pca:
 def pca(df: DataFrame, columns: Sequence[str], n_components: int, keep: Sequence[str] = ()) -> Pca:
     """Principal components of z-scored columns; each component's largest loading is positive.
 
-    The covariance of the scaled columns comes from one aggregate, features by
-    features; the projection of every row is a DataFrame expression.
+    The covariance of the scaled columns comes from one aggregate, or of many columns
+    from blocked products (``moments``); the projection of every row is a DataFrame expression.
     """
     d = len(columns)
     if not 1 <= n_components <= d:
@@ -230,17 +315,20 @@ def pca(df: DataFrame, columns: Sequence[str], n_components: int, keep: Sequence
     if set(keep) & set(columns):
         raise ValueError("columns to keep must not be among those to project")
     scaled = zscores(df.select(*keep, *columns), columns)
-    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    row = scaled.agg(*(F.covar_pop(F.col(columns[i]), F.col(columns[j])) for i, j in pairs)).first()
-    cov = np.zeros((d, d))
-    for (i, j), v in zip(pairs, row):
-        cov[i, j] = cov[j, i] = v or 0.0
+    if d > GRAM_COLUMNS:
+        cov = moments(scaled, columns).covariance()
+    else:
+        pairs = [(i, j) for i in range(d) for j in range(i + 1)]
+        row = scaled.agg(*(F.covar_pop(F.col(columns[i]), F.col(columns[j])) for i, j in pairs)).first()
+        cov = np.zeros((d, d))
+        for (i, j), v in zip(pairs, row):
+            cov[i, j] = cov[j, i] = v or 0.0
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(values)[::-1]
     values, vectors = np.maximum(values[order], 0), vectors[:, order].T
     vectors *= np.where(vectors[np.arange(d), np.abs(vectors).argmax(axis=1)] < 0, -1, 1)[:, None]
     parts = vectors[:n_components]
-    projected = [sum((F.col(c) * float(parts[k, i]) for i, c in enumerate(columns)), F.lit(0.0)).alias(f"pc{k + 1}") for k in range(n_components)]
+    projected = [_added([F.col(c) * float(parts[k, i]) for i, c in enumerate(columns)]).alias(f"pc{k + 1}") for k in range(n_components)]
     return Pca(scaled.select(*keep, *projected), parts, values[:n_components] / max(values.sum(), 1e-300))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import scalars as S
-from tidewell.operators import matrix, regime, scan, series, technical
+from tidewell.operators import intervals, matrix, regime, scan, series, technical
 from tidewell.plans import jobs
 from tidewell.shared import shared_dir
 from tidewell.sources import payloads, store
@@ -337,11 +337,28 @@ def asof_join(spark, d):
     return store.asof_join(left, right, by=["k"], on="at", values=["v"]).select("id", F.round("v", 6).alias("v"))
 
 
+def point_in_interval(spark, d):
+    """For each supplier, the orders of its weeks: days from its number on, as many as its nation's number."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    begin = "timestamp_ntz '1994-01-01 00:00:00' + make_dt_interval(cast(s_suppkey * 13 % 1500 as int))"
+    weeks = table(spark, d, "supplier").select("s_suppkey", F.expr(begin).alias("begins"), F.expr(f"{begin} + make_dt_interval(s_nationkey)").alias("ends"))
+    met = intervals.point_join(orders, weeks, point="o_orderdate", ends=("begins", "ends"))
+    return met.groupBy(F.col("right.s_suppkey").alias("s_suppkey")).agg(F.count("*").alias("orders"), F.min("left.o_orderkey").alias("first_order"))
+
+
+def interval_overlap(spark, d):
+    """Parts and customers whose stretches of numbers meet, by part."""
+    parts = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") + F.col("p_size")).alias("p_end"))
+    customers = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") * 2).alias("c_start"), (F.col("c_custkey") * 2 + F.col("c_nationkey") * F.col("c_nationkey")).alias("c_end"))
+    met = intervals.overlap_join(parts, customers, left_ends=("p_partkey", "p_end"), right_ends=("c_start", "c_end"))
+    return met.groupBy(F.col("left.p_partkey").alias("p_partkey")).agg(F.count("*").alias("customers"), F.min("right.c_custkey").alias("first_customer"))
+
+
 QUERIES: tuple[Callable, ...] = (
     month_end_last, log_returns, lagged_returns, rolling_beta_36m, policy_ffill, rolling_corr_36m, regime_labels, regime_counts, current_regimes, model_input_frame, regime_filtered_summary,
     regime_weighted_summary, rsi_14, rsi_signal, rsi_position, equity_curve, rsi_backtest_metrics, max_drawdown, upsert_latest, insert_ignore, seed_cross, due_jobs_topk, recent_failures_topk,
     status_counts, next_retry, status_rollup, backoff_delay, mark_outcomes, to_int_clean, json_fields, canonical_props, free_cash_flow, price_validation, corr_pearson, corr_spearman, corr_kendall, corr_kendall_rows, series_scans,
-    zscore, numeric_model_frame, row_sample, pca_projection, time_points, asof_join,
+    zscore, numeric_model_frame, row_sample, pca_projection, time_points, asof_join, point_in_interval, interval_overlap,
 )
 
 

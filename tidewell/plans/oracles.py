@@ -154,6 +154,9 @@ FROM lineitem WINDOW w AS (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_exte
     "time_points": "SELECT o_orderdate AS x, o_totalprice AS y, o_orderpriority AS color FROM orders",
     "asof_join": """WITH q AS (SELECT l_suppkey AS k, l_shipdate AS at, max(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2)
 SELECT o.o_orderkey AS id, round(q.v, 6) AS v FROM orders o ASOF LEFT JOIN q ON q.k = o.o_custkey AND q.at <= o.o_orderdate""",
+    "point_in_interval": """WITH w AS (SELECT s_suppkey, TIMESTAMP '1994-01-01' + to_days(CAST(s_suppkey * 13 % 1500 AS INTEGER)) AS b, TIMESTAMP '1994-01-01' + to_days(CAST(s_suppkey * 13 % 1500 + s_nationkey AS INTEGER)) AS e FROM supplier)
+SELECT s_suppkey, CAST(count(*) AS BIGINT) AS orders, min(o_orderkey) AS first_order FROM w JOIN orders ON o_orderdate BETWEEN b AND e GROUP BY s_suppkey""",
+    "interval_overlap": """SELECT p_partkey, CAST(count(*) AS BIGINT) AS customers, min(c_custkey) AS first_customer FROM part JOIN customer ON p_partkey <= c_custkey * 2 + c_nationkey * c_nationkey AND c_custkey * 2 <= p_partkey + p_size GROUP BY p_partkey""",
     "html_links": "SELECT page_id, CAST(pos - 1 AS BIGINT) AS pos, h[pos] AS href FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages))",
     "html_table_rows": "SELECT p_name AS company, 'T' || CAST(p_partkey AS VARCHAR) AS ticker, p_type || ' x' AS sector FROM part",
     **{f"payload_{kind}": _payload(kind) for kind in FIELDS},
