@@ -2,13 +2,12 @@
 
 An intermediate result that several later steps read is written once as Parquet
 under the folder named by ``spark.checkpoint.dir``, which every executor sees, so
-a lost executor only costs a re-read. Where that setting is absent (tests on one
-machine) a temporary folder is chosen and stored in the session.
+a lost executor only costs a re-read. Where that setting is absent, on one machine
+only, a temporary folder is chosen and stored in the session.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,22 +15,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate data; sets one only if none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.conf.get("spark.tidewell.scratch", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidewell-")
-        spark.conf.set("spark.tidewell.scratch", found)
-    return found.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through the file system that Spark uses for it."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+from tidewell.shared import remove, shared_dir
 
 
 def column(name: str) -> Column:

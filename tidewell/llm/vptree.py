@@ -215,15 +215,15 @@ def nearest_neighbours(
     blocks = max(1, -(-size // query_bytes))
     asked = asked.withColumn("place", F.monotonically_increasing_id())
     asked = scratch.save(asked.withColumn("block", F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("int")), "queries")
-    found = None
+    # All blocks' finds go under one folder, which is read once.
+    kinds = "place bigint, query_id bigint, vec_id bigint, score double, own boolean"
     for b in range(blocks):
         table = asked.where(F.col("block") == b).select("dim", "place", "id", "v").toArrow()
         sent = spark.sparkContext.broadcast(_by_dim(table))
         with row_batches(spark, 1):
-            got = index.mapInArrow(lambda it, sent=sent: _searched(it, sent.value, k + 1, factor), "place bigint, query_id bigint, vec_id bigint, score double, own boolean")
-            got = scratch.save(got, f"found{b}")
+            index.mapInArrow(lambda it, sent=sent: _searched(it, sent.value, k + 1, factor), kinds).write.mode("append").parquet(scratch.path("found"))
         sent.destroy()
-        found = got if found is None else found.union(got)
+    found = spark.read.schema(kinds).parquet(scratch.path("found"))
     of_query = "over (partition by place"
     ranked = found.withColumn("n", F.expr(f"row_number() {of_query} order by score desc, vec_id, own)"))
     ranked = ranked.withColumn("itself", F.expr(f"coalesce(min(if(own, n, null)) {of_query}), {k + 2})")).where("n <> itself")
