@@ -724,3 +724,24 @@ STORY = "".join(f"<p>Long paragraph number {i} of the main story with many words
 def test_attributes_and_names_of_elements(page, least, without, weights):
     got = html_text.main_text(page, weights)
     assert len(got) >= least and without not in got
+
+
+def test_uncompressed_archives_in_several_splits(spark, tmp_path):
+    """Records whose payloads hold record starts, in files that Spark reads in pieces of 4,000 bytes."""
+    rng = random.Random(9)
+    want = []
+    for name in ("a.warc", "b.warc", "c.warc.gz"):
+        data = b""
+        for i in range(70):
+            body = b"".join(rng.choice([b"x" * rng.randint(1, 90), b"\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc", b"\r\n\r\n", b"WARC/1."]) for _ in range(rng.randint(0, 6)))
+            want.append((f"<urn:{name}:{i}>", body))
+            data += f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{name}:{i}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+        (tmp_path / name).write_bytes(gzip.compress(data) if name.endswith("gz") else data)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4000")
+    try:
+        got = [(r.record_id, bytes(r.payload), r.cut) for r in warc.read_warc(spark, f"file://{tmp_path}").collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(got) == sorted((i, b, False) for i, b in want)

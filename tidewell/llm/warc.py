@@ -203,7 +203,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     ``cut`` is true.
     """
     text = spark.read.option("lineSep", END + MARK).option("recursiveFileLookup", "true").text(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary")).mapInArrow(_records, RECORD_SCHEMA)
+    pieces = text.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary"), F.col("_metadata.file_block_start").alias("start"))
+    if all(f.endswith(".gz") for f in text.inputFiles()):  # which one task reads from its first byte on
+        return pieces.select("file", "value").mapInArrow(_records, RECORD_SCHEMA)
+    # Other files come in several splits, and a record may lie in two: a file's pieces are put in order in one task.
+    whole = F.col("file").endswith(".gz")
+    split = pieces.where(~whole).withColumn("place", F.monotonically_increasing_id()).repartition("file").sortWithinPartitions("file", "start", "place")
+    parts = [df.select("file", "value").mapInArrow(_records, RECORD_SCHEMA) for df in (pieces.where(whole), split)]
+    return parts[0].union(parts[1])
 
 
 def warc_round_trip(pages: DataFrame, **columns) -> DataFrame:
