@@ -147,11 +147,12 @@ def _parsed(pieces: Iterator[tuple[str, bytes]]) -> Iterator[dict]:
     while file is not None:
         if first and piece.startswith(MARK.encode()):
             piece = piece[len(MARK) :]
-        head, _, block = piece.partition(end)
+        head, ended, block = piece.partition(end)
         size = _length(head)
         here, (file, piece) = file, next(pieces, (None, b""))
         while len(block) < size and file == here:
-            block += mark + piece
+            block += mark + piece if ended else mark[len(end) :] + piece  # the block begins like a record
+            ended = end
             file, piece = next(pieces, (None, b""))
         first = file != here
         fields = {k.decode("utf-8", "replace").lower(): v.decode("utf-8", "replace") for k, v in RECORD.findall(head)}
