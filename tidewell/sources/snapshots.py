@@ -45,11 +45,16 @@ def snapshot_schema(kind: str) -> T.StructType:
 
 def json_schema(kind: str) -> dict:
     """JSON Schema of a snapshot, from its columns."""
-    properties: dict = {c: {"type": "string", "minLength": 1} for c in COLUMNS[kind]}
+    properties: dict = {c: {"type": "string", "minLength": 1, "description": f"{c.replace('_', ' ').capitalize()} of the constituent, as its page gives it."} for c in COLUMNS[kind]}
     if kind == "nikkei225":
-        properties["source"] = {"type": "string", "const": "nikkei_indexes"}
+        properties["source"] = {"type": "string", "const": "nikkei_indexes", "description": "Where the rows come from."}
     item = {"type": "object", "properties": properties, "required": COLUMNS[kind], "additionalProperties": False}
-    return {"$schema": "https://json-schema.org/draft/2020-12/schema", "title": f"{kind} constituents", "type": "array", "items": item}
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema", "$id": f"{kind}_constituents.schema.json", "title": f"{kind} constituents", "type": "array", "items": item}
+
+
+def project_path(path: str | Path) -> Path:
+    """A relative path below the project's folder, wherever the program was started."""
+    return Path(__file__).resolve().parents[2] / path  # an absolute one stays as it is
 
 
 def read_snapshot(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -60,6 +65,10 @@ def write_snapshot(rows: list[dict], path: Path, kind: str) -> None:
     """One small array file (hundreds of rows) and its schema beside it."""
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(json.dumps(rows, indent=2) + "\n", encoding="utf-8")
+    write_json_schema(path, kind)
+
+
+def write_json_schema(path: Path, kind: str) -> None:
     path.with_suffix(".schema.json").write_text(json.dumps(json_schema(kind), indent=2) + "\n", encoding="utf-8")
 
 
@@ -69,9 +78,10 @@ def is_current(path: Path, today: datetime | None = None) -> bool:
 
 
 def ensure_snapshot(spark: SparkSession, kind: str, path: str | Path, fetch: Callable[[str], str] = fetch_page) -> RefreshSummary:
-    """Today's snapshot: kept if present, else fetched and parsed. RuntimeError if it can't be fetched."""
-    path = Path(path)
+    """Today's snapshot: kept if present, with its schema written again, else fetched and parsed. RuntimeError if it can't be fetched."""
+    path = project_path(path)
     if is_current(path):
+        write_json_schema(path, kind)
         return RefreshSummary(str(path), False, len(json.loads(path.read_text(encoding="utf-8"))), "cache")
     try:
         page = fetch(PAGES[kind])
