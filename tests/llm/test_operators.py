@@ -311,20 +311,30 @@ def test_scores_against_nested_elements():
     rng = random.Random(18)
     weights = html_text.Weights(0.3, {"x": -1.0, "y": 1.5, "<blockquote>": 0.25, "links:none": 0.1})
 
-    def make(depth, around):
-        out, want = "", []
-        for _ in range(rng.randint(1, 3)):
-            if depth and rng.random() < 0.7:
-                tag, name = rng.choice(["div", "section", "blockquote"]), rng.choice(["x", "y", "z", "x y"])
-                inner, more = make(depth - 1, around | {f"<{tag}>"} - {"<div>", "<section>"} | set(name.split()))
-                out, want = f'{out}<{tag} class="{name}">{inner}</{tag}>', want + more
-            else:
-                out, want = out + "<p>one two three</p>", want + [min(html_text.FOR, 0.3 + 0.1 + sum(weights.of(f) for f in around | {"<p>"}))]
-        return out, want
+    def make(depth):
+        """(tag, names, children) trees; a child that is None is a paragraph of three words."""
+        return [(rng.choice(["div", "section", "blockquote"]), rng.choice(["x", "y", "z", "x y"]), make(depth - 1)) if depth and rng.random() < 0.7 else None for _ in range(rng.randint(1, 3))]
+
+    def html_of(nodes):
+        return "".join("<p>one two three</p>" if n is None else f'<{n[0]} class="{n[1]}">{html_of(n[2])}</{n[0]}>' for n in nodes)
+
+    def size(nodes):
+        return sum(3 if n is None else size(n[2]) for n in nodes)
+
+    def wanted(nodes, around, total):
+        out = []
+        for n in nodes:
+            if n is None:
+                out.append(min(html_text.FOR, 0.3 + 0.1 + sum(weights.of(f) for f in around | {"<p>"})))
+            else:  # names of what holds over eight tenths of the page don't count
+                names = set() if 10 * size(n[2]) > 8 * total else set(n[1].split())
+                out += wanted(n[2], around | {f"<{n[0]}>"} - {"<div>", "<section>"} | names, total)
+        return out
 
     for _ in range(30):
-        page, want = make(5, set())
-        assert [w for _, w, _ in html_text.scored(page, weights)] == pytest.approx(want)
+        nodes = make(5)
+        got = [w for _, w, _ in html_text.scored(html_of(nodes), weights)]
+        assert got == pytest.approx(wanted(nodes, set(), size(nodes)))
 
 
 def test_html_time_is_linear_in_nesting():
