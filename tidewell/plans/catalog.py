@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import scalars as S
+from tidewell.functions import tables
 from tidewell.operators import intervals, matrix, regime, scan, series, technical
 from tidewell.plans import jobs
 from tidewell.shared import shared_dir
@@ -354,11 +355,20 @@ def interval_overlap(spark, d):
     return met.groupBy(F.col("left.p_partkey").alias("p_partkey")).agg(F.count("*").alias("customers"), F.min("right.c_custkey").alias("first_customer"))
 
 
+def rising_runs(spark, d):
+    """Each user's stretches of rising values, by a table function with a partition and an order."""
+    tables.register(spark)
+    view = f"ticks_{uuid.uuid4().hex}"
+    _ticks(spark, d).createOrReplaceTempView(view)
+    runs = spark.sql(f"SELECT user_id, n, close FROM rising_runs(TABLE({view}) PARTITION BY (user_id) ORDER BY (seq), 'user_id', 'close')")
+    return runs.groupBy("user_id").agg(F.count("*").alias("runs"), F.max("n").alias("longest"), F.round(F.max("close"), 6).alias("highest_start"))
+
+
 QUERIES: tuple[Callable, ...] = (
     month_end_last, log_returns, lagged_returns, rolling_beta_36m, policy_ffill, rolling_corr_36m, regime_labels, regime_counts, current_regimes, model_input_frame, regime_filtered_summary,
     regime_weighted_summary, rsi_14, rsi_signal, rsi_position, equity_curve, rsi_backtest_metrics, max_drawdown, upsert_latest, insert_ignore, seed_cross, due_jobs_topk, recent_failures_topk,
     status_counts, next_retry, status_rollup, backoff_delay, mark_outcomes, to_int_clean, json_fields, canonical_props, free_cash_flow, price_validation, corr_pearson, corr_spearman, corr_kendall, corr_kendall_rows, series_scans,
-    zscore, numeric_model_frame, row_sample, pca_projection, time_points, asof_join, point_in_interval, interval_overlap,
+    zscore, numeric_model_frame, row_sample, pca_projection, time_points, asof_join, point_in_interval, interval_overlap, rising_runs,
 )
 
 

@@ -157,6 +157,11 @@ SELECT o.o_orderkey AS id, round(q.v, 6) AS v FROM orders o ASOF LEFT JOIN q ON
     "point_in_interval": """WITH w AS (SELECT s_suppkey, TIMESTAMP '1994-01-01' + to_days(CAST(s_suppkey * 13 % 1500 AS INTEGER)) AS b, TIMESTAMP '1994-01-01' + to_days(CAST(s_suppkey * 13 % 1500 + s_nationkey AS INTEGER)) AS e FROM supplier)
 SELECT s_suppkey, CAST(count(*) AS BIGINT) AS orders, min(o_orderkey) AS first_order FROM w JOIN orders ON o_orderdate BETWEEN b AND e GROUP BY s_suppkey""",
     "interval_overlap": """SELECT p_partkey, CAST(count(*) AS BIGINT) AS customers, min(c_custkey) AS first_customer FROM part JOIN customer ON p_partkey <= c_custkey * 2 + c_nationkey * c_nationkey AND c_custkey * 2 <= p_partkey + p_size GROUP BY p_partkey""",
+    "rising_runs": """WITH t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, value FROM events),
+s AS (SELECT *, CASE WHEN value > lag(value) OVER (PARTITION BY user_id ORDER BY seq) THEN 0 ELSE 1 END AS starts FROM t),
+r AS (SELECT user_id, value, seq, sum(starts) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM s),
+g AS (SELECT user_id, run, count(value) AS n, arg_min(value, seq) AS first FROM r WHERE value IS NOT NULL GROUP BY user_id, run)
+SELECT user_id, CAST(count(*) AS BIGINT) AS runs, CAST(max(n) AS BIGINT) AS longest, round(max(first), 6) AS highest_start FROM g GROUP BY user_id""",
     "html_links": "SELECT page_id, CAST(pos - 1 AS BIGINT) AS pos, h[pos] AS href FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages))",
     "html_table_rows": "SELECT p_name AS company, 'T' || CAST(p_partkey AS VARCHAR) AS ticker, p_type || ' x' AS sector FROM part",
     **{f"payload_{kind}": _payload(kind) for kind in FIELDS},
