@@ -548,6 +548,43 @@ def test_brown_classes_of_rare_words(spark):
     assert brown.grown(50_000, 600, 40) == (600, 40) and brown.grown(6_400_000, 600, 40) == (2400, 80)
 
 
+@pytest.mark.parametrize("known", [10_000, 40, 0])
+def test_brown_surroundings_against_dictionaries(spark, known):
+    """Classes beside every word, and class pairs, whatever part of the words is sent with the tasks."""
+    rng, vocab = random.Random(23), vocabulary(23, 120)
+    weight = [1 / (i + 1) for i in range(120)]
+    texts = [" ".join(rng.choices(vocab, weight, k=rng.randint(0, 40))) for _ in range(150)] + ["", "once only words", None, "rare " * 3]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    name = {w: int(brown._tokens(next(slices(pa.array([w]))))[0][0]) for t in texts for w in words(t)}
+    count, classes = Counter(w for t in texts for w in words(t)), 5
+    of = {w: rng.randrange(classes) if n > 1 else classes + 1 for w, n in count.items()} | {None: classes}
+    counts = spark.createDataFrame([(name[w], n) for w, n in count.items()] + [(brown.END, len(texts))], "word bigint, n bigint")
+    found = brown._known(counts, known)
+    assert (found.least > 2) == (known < 10_000)
+    by_name = {name[w]: of[w] for w in count} | {brown.END: classes}
+    of_word = np.array([by_name[w] for w in found.word.tolist()] + [classes + 1])
+    slot = np.append(np.where(found.rank < 15, found.rank, -1), -1)
+    classed = spark.createDataFrame([(name[w], of[w]) for w in count], "word bigint, class int") if found.least > 2 else None
+    table, near = brown._surroundings(train, found, of_word, slot, 15, classes + 2, classed, Scratch(spark, "t"), "beside")
+    width, want, want_near = classes + 2, Counter(), Counter()
+    for t in texts:
+        seq = [None, *words(t), None]
+        for a, b in zip(seq, seq[1:]):
+            want[of[a], of[b]] += 1
+            if b is not None:
+                want_near[name[b], "before", of[a]] += 1
+            if a is not None:
+                want_near[name[a], "after", of[b]] += 1
+    assert {(a, b): table[a, b] for a, b in zip(*np.nonzero(table))} == want
+    got = Counter()
+    for r in near.collect():
+        for code, n in np.frombuffer(r.near, np.uint32).reshape(-1, 2).tolist():
+            for side, c in (("before", code // (width + 1)), ("after", code % (width + 1))):
+                if c < width:
+                    got[r.word, side, c] += n
+    assert got == want_near
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(0)
     follow = np.zeros((20, 20))

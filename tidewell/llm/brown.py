@@ -10,8 +10,10 @@ count. Words seen once stand for unseen ones and make up one class. A text's
 probability is the product of class transitions (Witten-Bell smoothed) and word
 emissions; its perplexity is the inverse of the mean probability of its tokens.
 
-All counts cover all training texts. Tables sent with tasks are bounded by the
-numbers of words, not by the corpus; counts and classes of rarer words are joined.
+All counts cover all training texts. Tables sent with tasks are bounded by a
+number of words, not by the corpus; counts and classes of rarer words are joined,
+in the exchange as in the scores, so every word seen more than once counts with
+its own class as another's neighbour.
 """
 
 from __future__ import annotations
@@ -81,15 +83,21 @@ class Vocabulary:
         return np.where(self.word[at] == tokens, at, -1) if len(self.word) else np.full(len(tokens), -1)
 
 
-def _bigrams(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, symbol: np.ndarray, symbols: int) -> Iterator[pa.RecordBatch]:
-    """Counts of neighbouring symbols; a text's first word follows END."""
+def _pairs(part: Slice, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word before and word at each token of a slice, by name and by index; a text's first word follows END."""
+    tokens, _ = _tokens(part)
+    found = vocabulary.find(tokens)
+    return np.concatenate([[END], tokens[:-1]]), tokens, np.concatenate([vocabulary.find(np.array([END])), found[:-1]]), found
+
+
+def _bigrams(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, symbol: np.ndarray, symbols: int, joined: bool) -> Iterator[pa.RecordBatch]:
+    """Counts of neighbouring symbols; where others are ``joined``, of known words only."""
     total = np.zeros(symbols * symbols, np.int64)
     for batch in batches:
         for part in slices(batch.column(0)):
-            tokens, _ = _tokens(part)
-            s = symbol[vocabulary.find(tokens)]
-            before = np.concatenate([[symbol[vocabulary.find(np.array([END]))[0]]], s[:-1]])
-            np.add.at(total, before * symbols + s, 1)
+            _, _, before, at = _pairs(part, vocabulary)
+            k = (before >= 0) & (at >= 0) if joined else slice(None)
+            np.add.at(total, symbol[before[k]] * symbols + symbol[at[k]], 1)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
 
@@ -104,12 +112,90 @@ def _listed(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(word[first]), near], ["word", "near"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, of_word: np.ndarray, slot: np.ndarray, slots: int, width: int) -> Iterator[pa.RecordBatch]:
+def _summed(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """The same with entries in any order, which are added up."""
+    order = np.lexsort((code, word))
+    word, code, n = word[order], code[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (code[1:] != code[:-1])]))
+    return _listed(word[first], code[first], np.add.reduceat(n, first))
+
+
+def _open(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """For each word that is not known, the known words beside it: entries of index and side, odd where they follow it."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def merged() -> pa.RecordBatch:
+        word, code = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        return _summed(word, code, np.ones(len(word), np.int64))
+
+    for batch in batches:
+        for part in slices(batch.column(0)):
+            before, at, i, j = _pairs(part, vocabulary)
+            k, m = np.flatnonzero((i >= 0) & (j < 0)), np.flatnonzero((i < 0) & (j >= 0))
+            held.append((np.concatenate([at[k], before[m]]), np.concatenate([i[k] * 2, j[m] * 2 + 1])))
+            size += len(k) + len(m)
+            if size > 1_000_000:
+                yield merged()
+                held, size = [], 0
+    if size:
+        yield merged()
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """Neighbouring words of which neither is known, once for each time."""
+    for batch in batches:
+        for part in slices(batch.column(0)):
+            before, at, i, j = _pairs(part, vocabulary)
+            k = (i < 0) & (j < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(before[k]), pa.array(at[k])], ["a", "b"])
+
+
+def _class_pairs(total: np.ndarray) -> pa.RecordBatch:
+    """Counts of class pairs as one row without a word."""
+    some = np.flatnonzero(total)
+    row = _listed(np.zeros(len(some), np.int64), some, total[some]) if len(some) else pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], ["word", "near"])
+    return pa.RecordBatch.from_arrays([pa.nulls(row.num_rows, pa.int64()), row.column(1)], ["word", "near"])
+
+
+def _beside_known(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, of_word: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    """Entries of known words from (class, near) of the words beside them, and the counts of those class pairs."""
+    total = np.zeros(width * width, np.int64)
+    end = vocabulary.find(np.array([END]))[0]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        off, raw = buffers(batch.column(1))
+        entry = raw.view(np.uint32).reshape(-1, 2).astype(np.int64)
+        own = np.repeat(batch.column(0).to_numpy().astype(np.int64), np.diff(off) // 8)
+        index, follows, n = entry[:, 0] // 2, entry[:, 0] % 2 == 1, entry[:, 1]
+        of = of_word[index]
+        np.add.at(total, np.where(follows, own * width + of, of * width + own), n)
+        code = np.where(follows, own * (width + 1) + width, width * (width + 1) + own)
+        k = index != end
+        if k.any():
+            yield _summed(vocabulary.word[index[k]], code[k], n[k])
+    yield _class_pairs(total)
+
+
+def _beside_open(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The same from (a, b, class of a, class of b)."""
+    total = np.zeros(width * width, np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            a, b, c, d = (batch.column(i).to_numpy().astype(np.int64) for i in range(4))
+            np.add.at(total, c * width + d, 1)
+            yield _summed(np.concatenate([a, b]), np.concatenate([width * (width + 1) + d, c * (width + 1) + width]), np.ones(2 * len(a), np.int64))
+    yield _class_pairs(total)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, of_word: np.ndarray, slot: np.ndarray, slots: int, width: int, joined: bool) -> Iterator[pa.RecordBatch]:
     """How often which classes surround each word.
 
     An entry's code is ``before * (width + 1) + after``, with ``width`` for a side
     that the entry leaves out. ``slot`` is -2 for words without contexts; words with
-    a slot are summed by side, all others, -1, are listed.
+    a slot are summed by side, all others, -1, are listed. Where the classes of words
+    that are not known are ``joined``, their sides are left out.
     """
     total = np.zeros((slots, 2 * width), np.int64)
     flat = total.reshape(-1)
@@ -118,24 +204,23 @@ def _contexts(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, of_word
 
     def merged() -> pa.RecordBatch:
         word, code = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-        order = np.lexsort((code, word))
-        word, code = word[order], code[order]
-        first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (code[1:] != code[:-1])]))
-        return _listed(word[first], code[first], np.diff(np.append(first, len(word))))
+        return _summed(word, code, np.ones(len(word), np.int64))
 
     for batch in batches:
         for part in slices(batch.column(0)):
             tokens, _ = _tokens(part)
             found = vocabulary.find(tokens)
             c, w = of_word[found], slot[found]
+            if joined:
+                c = np.where(found < 0, width, c)
             before = np.concatenate([[of_word[vocabulary.find(np.array([END]))[0]]], c[:-1]])
             after = np.concatenate([c[1:], c[:1]])  # a slice ends with END, which has no contexts
             w[-1] = -2
             w[tokens == END] = -2
-            k = np.flatnonzero(w >= 0)
-            np.add.at(flat, w[k] * 2 * width + before[k], 1)
-            np.add.at(flat, w[k] * 2 * width + width + after[k], 1)
-            k = np.flatnonzero(w == -1)
+            for near, start in ((before, 0), (after, width)):
+                k = np.flatnonzero((w >= 0) & (near < width))
+                np.add.at(flat, w[k] * 2 * width + start + near[k], 1)
+            k = np.flatnonzero((w == -1) & ((before < width) | (after < width)))
             held.append((tokens[k], (before[k] * (width + 1) + after[k]).astype(np.uint32)))
             size += len(k)
             if size > 1_000_000:
@@ -350,9 +435,10 @@ def class_model_scores(
     ``clustered`` words start the ``classes`` off, for up to GROWS_FROM words seen
     more than once; with more, both grow (see ``grown``). Every word seen more than
     once is then exchanged ``rounds`` times. ``known`` words are sent with tasks and
-    ``assigned`` words' contexts summed inside them; neither bounds the words that
-    have classes, but a word beyond the known ones counts, as a neighbour in the
-    exchange, with those seen once.
+    ``assigned`` words' contexts summed inside them; the classes of other words are
+    joined. Neither changes what counts once words have classes; only in the first
+    round, which starts from ``clustered`` words, do words beyond the known ones
+    count as neighbours with those seen once.
 
     A null text is empty: its end is its only token. A null id has the fold of
     empty text. Repeated rows count and are scored each. Ties between equally
@@ -416,14 +502,39 @@ def _known(counts: DataFrame, most: int) -> Vocabulary:
     return Vocabulary(name, count, rank, least)
 
 
-def _counted(train: DataFrame, vocabulary: Vocabulary, symbol: np.ndarray, symbols: int) -> np.ndarray:
+def _counted(train: DataFrame, vocabulary: Vocabulary, symbol: np.ndarray, symbols: int, joined: bool = False) -> np.ndarray:
     """How often symbol b follows a."""
-    got = train.mapInArrow(lambda it: _bigrams(it, vocabulary, symbol, symbols), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    got = train.mapInArrow(lambda it: _bigrams(it, vocabulary, symbol, symbols, joined), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(symbols * symbols)
     counts[got["pair"].to_numpy()] = got["n"].to_numpy()
     return counts.reshape(symbols, symbols)
 
 
+def _surroundings(train: DataFrame, vocabulary: Vocabulary, of_word: np.ndarray, slot: np.ndarray, slots: int, width: int, classed: DataFrame | None, scratch: Scratch, name: str) -> tuple[np.ndarray, DataFrame]:
+    """How often class b follows a, and ``(word, near)``: the classes beside each word.
+
+    Known words have the classes of ``of_word``; others those of ``classed(word,
+    class)``, or without it that of the last of ``of_word``.
+    """
+    joined = classed is not None
+    table = _counted(train, vocabulary, of_word, width, joined)
+    near = train.mapInArrow(lambda it: _contexts(it, vocabulary, of_word, slot, slots, width, joined), "word bigint, near binary")
+    if joined:
+        rare = int(of_word[-1])
+        one = train.mapInArrow(lambda it: _open(it, vocabulary), "word bigint, near binary").join(classed.select("word", "class"), "word", "left").select(F.coalesce("class", F.lit(rare)).alias("class"), "near")
+        both = train.mapInArrow(lambda it: _open_pairs(it, vocabulary), "a bigint, b bigint")
+        for side in ("a", "b"):
+            both = both.join(classed.select(F.col("word").alias(side), F.col("class").alias(f"of_{side}")), side, "left")
+        both = both.select("a", "b", F.coalesce("of_a", F.lit(rare)), F.coalesce("of_b", F.lit(rare)))
+        beside = one.mapInArrow(lambda it: _beside_known(it, vocabulary, of_word, width), "word bigint, near binary").union(both.mapInArrow(lambda it: _beside_open(it, width), "word bigint, near binary"))
+        beside = scratch.save(beside, name)
+        for row in beside.where("word is null").select("near").toLocalIterator():  # one row a task, at most width² entries
+            entry = np.frombuffer(row.near, np.uint32).reshape(-1, 2)
+            np.add.at(table.reshape(-1), entry[:, 0].astype(np.int64), entry[:, 1])
+        near = near.union(beside.where("word is not null"))
+    return table, near
+
+
 def _fit(train: DataFrame, vocabulary: Vocabulary, scratch: Scratch, assigned: int, rounds: int, clustered: int, classes: int) -> tuple[Classes, DataFrame]:
     """Classes of known words, and ``(word, n, class)`` of all words of the training texts."""
     size = len(vocabulary.word)
@@ -446,18 +557,19 @@ def _fit(train: DataFrame, vocabulary: Vocabulary, scratch: Scratch, assigned: i
     chosen = around
     for k in range(max(1, rounds)):
         if k:
-            around, width = chosen, classes + 2
-            table = _counted(train, vocabulary, around, width)
+            # All words seen more than once are known, or the others' classes are joined.
+            table, near = _surroundings(train, vocabulary, chosen, slot, assigned, classes + 2, classed if vocabulary.least > 2 else None, scratch, f"beside{k}")
+        else:
+            near = train.mapInArrow(lambda it: _contexts(it, vocabulary, around, slot, assigned, width, False), "word bigint, near binary")
         # The gain of a word's move, but for what it changes in its own class's sums.
         smooth = table[:classes] + 0.1
         ahead = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T
         smooth = table[:, :classes] + 0.1
         behind = np.log(smooth / smooth.sum(axis=0, keepdims=True))
-        near = train.mapInArrow(lambda it, around=around, width=width: _contexts(it, vocabulary, around, slot, assigned, width), "word bigint, near binary")
         classed = near.repartition("word").sortWithinPartitions("word").mapInArrow(lambda it, behind=behind, ahead=ahead: _assign(it, behind, ahead), "word bigint, n bigint, class int")
         classed = scratch.save(classed, f"classed{k}")
         if k:
-            scratch.drop(f"classed{k - 1}")
+            scratch.drop(f"classed{k - 1}", f"beside{k}")
         top = classed.where(F.col("n") >= vocabulary.least).select("word", "class").toArrow()
         at = vocabulary.find(top["word"].to_numpy())
         chosen = np.full(size + 1, classes + 1)
