@@ -1,8 +1,9 @@
-"""REST providers as a Spark data source: one partition per symbol, pluggable transport."""
+"""REST providers as a Spark data source, read whole or as a stream that resumes: one partition per request, pluggable transport."""
 
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable, Iterator
 from urllib.error import HTTPError, URLError
 from urllib.parse import urlencode
@@ -10,10 +11,12 @@ from urllib.request import urlopen
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.streaming import StreamingQuery
 
 from tidewell.functions.scalars import scalar_text
 from tidewell.sources import payloads
+from tidewell.sources.store import TableStore
 
 BASE = "https://www.alphavantage.co/query"
 FUNCTIONS = {"overview": "OVERVIEW", "income_statement": "INCOME_STATEMENT", "cash_flow": "CASH_FLOW", "balance_sheet": "BALANCE_SHEET"}
@@ -23,9 +26,13 @@ def is_rate_limit(error: BaseException) -> bool:
     return isinstance(error, HTTPError) and error.code == 429 or getattr(getattr(error, "response", None), "status_code", None) == 429
 
 
-def fetch_json(function: str, symbol: str, api_key: str, base: str = BASE, opener: Callable = urlopen) -> dict:
+def api_base() -> str:
+    return os.environ.get("TIDEWELL_API_BASE") or BASE
+
+
+def fetch_json(function: str, symbol: str, api_key: str, base: str | None = None, opener: Callable = urlopen) -> dict:
     """One payload; RuntimeError for HTTP failures, rate limits and roots that aren't objects."""
-    url = f"{base}?{urlencode({'function': function, 'symbol': symbol, 'apikey': api_key})}"
+    url = f"{base or api_base()}?{urlencode({'function': function, 'symbol': symbol, 'apikey': api_key})}"
     try:
         with opener(url, timeout=30) as response:
             payload = json.loads(response.read().decode("utf-8"))
@@ -36,9 +43,26 @@ def fetch_json(function: str, symbol: str, api_key: str, base: str = BASE, opene
     return payload
 
 
-class _Symbol(InputPartition):
-    def __init__(self, symbol: str) -> None:
-        self.symbol = symbol
+class _Request(InputPartition):
+    def __init__(self, symbol: str, dataset: str) -> None:
+        self.symbol, self.dataset = symbol, dataset
+
+
+def _listed(options: dict, name: str) -> list[str]:
+    return [x.strip() for x in options.get(name, "").split(",") if x.strip()]
+
+
+def _requests(options: dict) -> list[_Request]:
+    """Every symbol with every dataset, by symbol, so that symbols added at the end change no earlier place."""
+    datasets = _listed(options, "datasets") or ["overview"]
+    wrong = [d for d in datasets if d not in FUNCTIONS]
+    if wrong:
+        raise ValueError(f"Unsupported datasets: {', '.join(wrong)}")
+    return [_Request(s, d) for s in _listed(options, "symbols") for d in datasets]
+
+
+def _fetched(options: dict, request: _Request) -> dict:
+    return fetch_json(FUNCTIONS[request.dataset], request.symbol, options.get("apikey", ""), options.get("base", BASE))
 
 
 class _Reader(DataSourceReader):
@@ -46,32 +70,92 @@ class _Reader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        return [_Symbol(s.strip()) for s in self.options.get("symbols", "").split(",") if s.strip()]
+        return _requests(self.options)
+
+    def read(self, partition: _Request | None) -> Iterator[tuple]:
+        if partition is not None:  # Spark's only partition where there are no requests
+            yield partition.symbol, partition.dataset, json.dumps(_fetched(self.options, partition))
+
+
+class _StreamReader(DataSourceStreamReader):
+    """Offsets are places in the list of requests. A started query learns its place from the last batch planned before it."""
+
+    def __init__(self, options: dict) -> None:
+        self.options = options
+        self.requests = _requests(options)
+        self.most = int(options.get("requestspertrigger", "5"))
+        if self.most <= 0:
+            raise ValueError("requestsPerTrigger must be positive")
+        self.at = 0
 
-    def read(self, partition: _Symbol) -> Iterator[tuple]:
-        o = self.options
-        payload = fetch_json(o.get("function", "OVERVIEW"), partition.symbol, o.get("apikey", ""), o.get("base", BASE))
-        yield partition.symbol, json.dumps(payload)
+    def initialOffset(self) -> dict:  # noqa: N802 - Spark's names
+        return {"next": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"next": max(self.at, min(self.at + self.most, len(self.requests)))}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if end["next"] < start["next"]:
+            raise RuntimeError("a restarted request stream needs a processing-time trigger, which plans its last batch first")
+        self.at = end["next"]
+        return self.requests[start["next"] : end["next"]]
+
+    def read(self, partition: _Request) -> Iterator[tuple]:
+        yield partition.symbol, partition.dataset, json.dumps(payloads.check_payload(_fetched(self.options, partition)))
 
 
 class RestSource(DataSource):
-    """``spark.read.format("tidewell-rest")`` with options symbols, function, apikey, base."""
+    """``spark.read`` or ``spark.readStream.format("tidewell-rest")``: rows ``(symbol, dataset, payload)``.
+
+    Options: symbols and datasets (comma-separated), apikey, base, and for a stream
+    requestsPerTrigger. Batches of a stream hold at most so many requests; a quota note
+    or error ends the query, and one started again on its checkpoint repeats only the
+    batch that was not committed.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "tidewell-rest"
 
     def schema(self) -> str:
-        return "symbol string, payload string"
+        return "symbol string, dataset string, payload string"
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return _Reader(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: ANN001, N802
+        return _StreamReader({k.lower(): v for k, v in self.options.items()})
+
+
+def _options(symbols: list[str], datasets: list[str], api_key: str, base: str | None) -> dict[str, str]:
+    return {"symbols": ",".join(symbols), "datasets": ",".join(datasets), "apikey": api_key, "base": base or api_base()}
+
 
-def read_payloads(spark: SparkSession, symbols: list[str], dataset: str, api_key: str, base: str = BASE) -> DataFrame:
+def read_payloads(spark: SparkSession, symbols: list[str], dataset: str, api_key: str, base: str | None = None) -> DataFrame:
     spark.dataSource.register(RestSource)
-    reader = spark.read.format("tidewell-rest").option("symbols", ",".join(symbols)).option("function", FUNCTIONS[dataset])
-    return reader.option("apikey", api_key).option("base", base).load()
+    return spark.read.format("tidewell-rest").options(**_options(symbols, [dataset], api_key, base)).load()
+
+
+def stream_payloads(spark: SparkSession, symbols: list[str], datasets: list[str], api_key: str, base: str | None = None, *, per_trigger: int = 5) -> DataFrame:
+    """A stream of ``(symbol, dataset, payload)``, at most ``per_trigger`` requests a batch; see ``RestSource``."""
+    spark.dataSource.register(RestSource)
+    return spark.readStream.format("tidewell-rest").options(**_options(symbols, datasets, api_key, base), requestsPerTrigger=str(per_trigger)).load()
+
+
+def store_statements(stream: DataFrame, tables: TableStore, checkpoint: str, *, every: str = "1 minute") -> StreamingQuery:
+    """Upsert the statements of ``stream_payloads`` batch by batch, one each ``every``. Repeating a batch changes nothing but its load time."""
+
+    def store(batch: DataFrame, _: int) -> None:
+        batch = batch.persist()  # the requests are made once
+        try:
+            for dataset in sorted(r.dataset for r in batch.select("dataset").distinct().collect()):
+                if dataset in payloads.TABLE_OF:
+                    rows = payloads.statement_rows(batch.where(F.col("dataset") == dataset), dataset, "payload", F.lit("alphavantage"), F.current_timestamp())
+                    tables.upsert(payloads.TABLE_OF[dataset], rows)
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def load_statements(spark: SparkSession, symbol: str, dataset: str, api_key: str, fetch: Callable[..., dict] = fetch_json) -> DataFrame:
