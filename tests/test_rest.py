@@ -103,6 +103,16 @@ def test_stream_goes_on_where_it_stopped(spark, server, tmp_path):
     assert held("balance_sheets") == [*symbols, "F"]
 
 
+def test_one_batch_a_run(spark, server, tmp_path):
+    """With availableNow each run makes the next requests, no more than the limit."""
+    got = []
+    for _ in range(3):
+        stream = rest.stream_payloads(spark, ["A", "B", "C"], ["overview"], "k", per_trigger=2).writeStream
+        stream = stream.foreachBatch(lambda batch, n: got.append(sorted(r.symbol for r in batch.collect()))).option("checkpointLocation", str(tmp_path / "check"))
+        stream.trigger(availableNow=True).start().awaitTermination(60)
+    assert got == [["A", "B"], ["C"]]
+
+
 def out_of(capsys):
     return json.loads(capsys.readouterr().out)
 

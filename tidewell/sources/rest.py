@@ -96,7 +96,7 @@ class _StreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         if end["next"] < start["next"]:
-            raise RuntimeError("a restarted request stream needs a processing-time trigger, which plans its last batch first")
+            raise RuntimeError(f"request offsets went back from {start['next']} to {end['next']}")
         self.at = end["next"]
         return self.requests[start["next"] : end["next"]]
 
