@@ -3,9 +3,12 @@
 Headers (id, URL, payload digest and size) are shuffled by digest; the original of
 each digest is found and joined with the others, which become revisit records
 without their pages being touched again. Responses are written from where their
-pages lie: a page whose slot, a hash of id and digest, no revisit has is a
-response for certain. Only pages that share a slot with a revisit and are named by
-a response's second slot are shuffled with their payloads, to be told apart.
+pages lie: a page that a Bloom filter of the revisits' ids and digests doesn't hold
+is a response for certain. The filter grows with the revisits, 16 slots each, so it
+holds about one response in 400; their headers make a second filter. Only pages that
+both hold are shuffled with their payloads, to be told apart. From 67 million
+revisits on, where the filter has its greatest size, it holds more responses: one in
+six at 268 million.
 
 Each record is compressed as a gzip member of its own, so that it can be read
 alone. Spark's text sink writes the members: the last byte of a member, that of
@@ -34,8 +37,10 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 #: Records of one archive file.
 FILE_RECORDS = 20_000
-#: Slots that tell pages without a revisit; a set of slots is broadcast, 8 MB at most.
-SLOTS = 1 << 20
+#: Slots of a filter at most; it goes with the tasks, so with 128 MB at most.
+SLOTS = 1 << 30
+#: Slots for each key of a filter, those that a key takes, and those of one row of it.
+KEY_SLOTS, PROBES, BLOCK = 16, 4, 1 << 15
 #: Bytes of a gzip member, so that the highest byte of its size is zero.
 MEMBER = (1 << 24) - 1
 
@@ -54,22 +59,37 @@ def resolve_revisits(headers: DataFrame, least: int = 1000) -> DataFrame:
     return large.join(several, F.col("payload_digest") == F.col("d")).where("id <> refers_to").drop("d")
 
 
-def _slot(salt: int) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "payload_digest", F.lit(salt)), F.lit(SLOTS)).cast("int")
+def _place(salt: int, among: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "payload_digest", F.lit(salt)), F.lit(among))
 
 
-def response_pages(pages: DataFrame, headers: DataFrame, revisits: DataFrame) -> DataFrame:
+def _met(rows: DataFrame, keys: DataFrame, salt: int) -> tuple[DataFrame, Column]:
+    """``rows(id, payload_digest, ...)`` with ``slots``, and whether a filter of ``keys`` holds a row: always if it is one of them.
+
+    A key takes PROBES slots of one block, a row of the filter.
+    """
+    blocks = max(1, min(-(-keys.count() * KEY_SLOTS // BLOCK), SLOTS // BLOCK))
+    block, places = _place(salt, blocks), [_place(salt + k, min(BLOCK, SLOTS)) for k in range(1, PROBES + 1)]
+    table = keys.select(block.alias("block"), F.explode(F.array(*places)).alias("place")).groupBy("block").agg(F.bitmap_construct_agg("place").alias("slots"))
+    hit = F.col("slots").isNotNull()
+    for place in places:
+        eight = F.conv(F.hex(F.substring("slots", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit &= F.getbit(eight, (place % 8).cast("int")) == 1
+    return rows.join(F.broadcast(table), block == F.col("block"), "left").drop("block"), hit
+
+
+def response_pages(pages: DataFrame, headers: DataFrame, revisits: DataFrame, scratch: Scratch) -> DataFrame:
     """``pages(id, url, html)`` that aren't revisits, with digest and size."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     full = pages.withColumns({"payload_bytes": F.octet_length(payload).cast("bigint"), "payload_digest": F.sha1(payload)})
-    taken = F.broadcast(revisits.select(_slot(0).alias("s")).distinct())
-    sure = full.join(taken, _slot(0) == F.col("s"), "left_anti")
     keys = revisits.select(F.col("id").alias("i"), F.col("payload_digest").alias("d")).distinct()
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("payload_digest") == F.col("d"))
-    unsure = headers.join(taken, _slot(0) == F.col("s"), "left_semi").join(keys, same, "left_anti")
-    named = F.broadcast(unsure.select(_slot(1).alias("s")).distinct())
-    rest = full.join(taken, _slot(0) == F.col("s"), "left_semi").join(named, _slot(1) == F.col("s"), "left_semi").join(keys, same, "left_anti")
-    return sure.union(rest)
+    met, hit = _met(headers.select("id", "payload_digest"), revisits, 0)
+    unsure = scratch.save(met.where(hit).drop("slots").join(keys, same, "left_anti"), "unsure")
+    met, hit = _met(full, revisits, 0)
+    sure = met.where(~hit).drop("slots")
+    met, named = _met(met.where(hit).drop("slots"), unsure, PROBES + 1)
+    return sure.union(met.where(named).drop("slots").join(keys, same, "left_anti"))
 
 
 def _record(kind: str, date: str) -> Column:
@@ -114,11 +134,11 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     headers = scratch.save(page_headers(own), "headers")
     revisits = scratch.save(resolve_revisits(headers, least), "revisits")
-    records = response_pages(own, headers, revisits).select(_record("response", date).alias("value")).union(revisits.select(_record("revisit", date)))
+    records = response_pages(own, headers, revisits, scratch).select(_record("response", date).alias("value")).union(revisits.select(_record("revisit", date)))
     members = records.mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
     members.write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
     _name_archives(spark, path)
-    scratch.drop("headers", "revisits")
+    scratch.drop("headers", "revisits", "unsure")
 
 
 def _name_archives(spark: SparkSession, path: str) -> None:
