@@ -119,6 +119,18 @@ def test_jaccard_sets_of_common_passages(spark, monkeypatch, hot):
     assert got == components(dict(rows))
 
 
+def test_jaccard_deals_heavy_groups_to_many_tasks(spark, monkeypatch):
+    """Groups known as heavy beforehand: their rows are those of the plain windows, though no window holds a group whole."""
+    monkeypatch.setattr(jaccard, "HOT", 5)
+    rows = [(s, n, 1) for s in range(12) for n in range(2 * s)] * 2 + [(50, 1, 1)]
+    df = spark.createDataFrame(rows, "sig bigint, node bigint, need int")
+    plain, dealt = (sorted(map(tuple, jaccard._shared(df, spark.createDataFrame([(s,) for s in heavy], "sig bigint")).collect())) for heavy in ([], range(3, 12)))
+    assert plain == dealt == sorted((s, n, 1, 2 * s > 5) for s in range(1, 12) for n in range(2 * s))
+    monkeypatch.setattr(jaccard, "HEAVY_SHARE", 1)
+    texts = families(2)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.ngram_jaccard_join(docs(spark, texts)).collect()} == components(dict(texts))
+
+
 def test_jaccard_odd_tables(spark):
     assert jaccard.ngram_jaccard_join(docs(spark, [])).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)]
@@ -450,6 +462,15 @@ def test_warc_records_and_responses(spark, tmp_path, monkeypatch, slots):
     assert members == len(pages)
 
 
+def test_warc_filter_tells_most_responses(spark):
+    """It holds every revisit and about one other page in 400, whatever their number is."""
+    every = spark.range(40_000).select("id", F.sha1(F.col("id").cast("string").cast("binary")).alias("payload_digest"))
+    for n in (20_000, 300, 0):
+        met, hit = warc._met(every, every.where(F.col("id") < n), 0)
+        own, others = met.agg(F.count_if(hit & (F.col("id") < n)), F.count_if(hit & (F.col("id") >= n))).first()
+        assert own == n and others < 0.006 * (40_000 - n)
+
+
 def test_archives_of_other_writers(spark, tmp_path):
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
 

@@ -25,6 +25,10 @@ have ``h + 1`` open signatures, go into the next round with other hubs. What is
 left after ``rounds`` is resolved by counting, for pairs in different components,
 their shared signatures; those with ``h + 1`` are compared exactly. All decisions
 are made on whole sets of 64-bit feature hashes.
+
+Groups are told by windows over signatures, but for heavy ones, which are dealt to
+many tasks: a group that holds more than HOT of one in HEAVY_SHARE different sets is
+shared and hot whatever the others are, so it needn't be counted.
 """
 
 from __future__ import annotations
@@ -44,6 +48,9 @@ FINE = 256  # bands that end here or below have a partition for every feature
 HUB_MEMBERS = 400  # texts that one task compares with one copy of a hub's text
 HUBS = 6  # that a set is compared with in each round but the first
 HOT = 64  # a group of more sets is hot
+HEAVY_SHARE = 64  # one set in so many is looked at beforehand for groups that no task should hold alone
+HEAVY = 100_000  # such groups at most; 8 bytes of each go with the tasks
+SALTS = 256  # parts that they are dealt to
 
 
 def bands() -> np.ndarray:
@@ -183,8 +190,17 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, pe
     return rows.mapInArrow(lambda it: _compare(it, size, percent), "a bigint, b bigint").distinct()
 
 
+def _shared(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``(sig, node, need, hot)``: the rows of signatures that several sets have, once each."""
+    salted = rows.join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), "sig", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    salted = salted.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0).cast("int"))
+    group = "partition by sig, salt"
+    several = salted.select("*", F.expr(f"heavy or min(node) over ({group}) <> max(node) over ({group})").alias("shared")).where("shared").drop("shared")
+    return several.dropDuplicates(["sig", "salt", "node"]).select("sig", "node", "need", F.expr(f"heavy or count(*) over ({group}) > {HOT}").alias("hot"))
+
+
 def _without_hot(rows: DataFrame) -> DataFrame:
-    """``rows(sig, node, need, size)`` less what no link needs, as ``(sig, node, band, need, hot, free)``.
+    """``rows(sig, node, need, hot)`` less what no link needs, as ``(sig, node, band, need, hot, free)``.
 
     Similar sets share ``need`` rows. A set with fewer than ``need`` hot rows shares
     another row with every similar set, so its hot rows go and its need falls by
@@ -193,7 +209,7 @@ def _without_hot(rows: DataFrame) -> DataFrame:
     have dropped theirs. Hotness is settled here, once for all rows.
     """
     own = "over (partition by node, need)"
-    judged = rows.select("sig", "node", F.col("need").alias("band"), "need", (F.col("size") > HOT).alias("hot"))
+    judged = rows.select("sig", "node", F.col("need").alias("band"), "need", "hot")
     judged = judged.select("*", F.expr(f"count(*) {own}").alias("n"), F.expr(f"count_if(hot) {own}").alias("n_hot")).where("n >= need")
     kept = judged.select("*", (F.col("n_hot") >= F.col("need")).alias("free")).where("free or not hot")
     return kept.withColumn("need", F.when(F.col("free"), F.col("need")).otherwise(F.col("need") - F.col("n_hot")).cast("int")).drop("n", "n_hot")
@@ -305,12 +321,10 @@ def ngram_jaccard_join(
     texts = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     profile = texts.select("id", F.xxhash64("text").alias("t"), "text").mapInArrow(lambda it: _profile(it, size), "id bigint, t bigint, n bigint, node bigint")
     profile = scratch.save(profile, "profile")
-    rows = texts.select("text").mapInArrow(lambda it: _signature_rows(it, size, percent), "sig bigint, node bigint, need int")
-    group = "partition by sig"
-    rows = rows.select("*", F.expr(f"min(node) over ({group}) <> max(node) over ({group})").alias("shared")).where("shared").drop("shared")
-    rows = scratch.save(rows.dropDuplicates(["sig", "node"]), "shared")
-    open_rows = scratch.save(_without_hot(rows.withColumn("size", F.expr(f"count(*) over ({group})"))), "open0")
-    scratch.drop("shared")
+    rows, few = (df.select("text").mapInArrow(lambda it: _signature_rows(it, size, percent), "sig bigint, node bigint, need int") for df in (texts, texts.where(F.pmod(F.xxhash64("text"), F.lit(HEAVY_SHARE)) == 0)))
+    heavy = few.select("sig", "node").distinct().groupBy("sig").count().where(F.col("count") > HOT).orderBy(F.desc("count"), "sig").limit(HEAVY).select("sig")
+    open_rows = scratch.save(_without_hot(_shared(rows, scratch.save(heavy, "heavy"))), "open0")
+    scratch.drop("heavy")
     # A text that only null ids hold goes by its hash; where that is also an id, the text of the other is passed over.
     reps = profile.where("node is not null").groupBy("node").agg(F.coalesce(F.min("id"), F.min("t")).alias("id"))
     texts = texts.where("id is not null").union(texts.where("id is null").select(F.xxhash64("text").alias("id"), "text").distinct())
@@ -318,8 +332,8 @@ def ngram_jaccard_join(
     root = spark.range(0).selectExpr("id AS node", "id AS root")
     for k in range(rounds + 1):
         comp = open_rows.join(root, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        comp = comp.select("*", F.expr(f"min(comp) over ({group}) <> max(comp) over ({group})").alias("several"), F.expr(f"count(*) over ({group})").alias("size"))
-        comp = scratch.save(_still_open(comp.where("several").drop("several")), f"open{k + 1}")
+        groups = comp.groupBy("sig").agg((F.min("comp") != F.max("comp")).alias("several"), F.count("*").alias("size")).where("several").select("sig", "size")
+        comp = scratch.save(_still_open(comp.join(groups, "sig")), f"open{k + 1}")
         scratch.drop(f"open{k}")
         open_rows = comp.drop("comp", "size")
         if comp.isEmpty():
