@@ -142,3 +142,13 @@ def test_price_validation(spark):
     good, bad = series.validate_prices(spark.createDataFrame(rows, "asset_id string, date string, close string"))
     assert bad == 2
     assert [(str(r.date), r.close) for r in good.collect()] == [("2024-01-03", 2.5)]
+
+
+def test_valid_prices_runs_no_job(spark):
+    df = spark.createDataFrame([("A", None, "1.0"), ("A", "2024-01-03", "x"), ("A", "2024-01-04", "2.5")], "asset_id string, date string, close string")
+    spark.sparkContext.setJobGroup("no-job", "")
+    good = series.valid_prices(df)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("no-job")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 0
+    assert [(str(r.date), r.close) for r in good.collect()] == [("2024-01-04", 2.5)]

@@ -137,13 +137,23 @@ def drawdown(equity: str, w: WindowSpec) -> Column:
     return F.try_divide(F.col(equity), F.max(equity).over(w.rowsBetween(Window.unboundedPreceding, 0))) - 1
 
 
-def validate_prices(df: DataFrame) -> tuple[DataFrame, int]:
-    """Rows with a date and a close, numbers coerced, and the number of rows left out."""
+def _coerced_prices(df: DataFrame) -> tuple[DataFrame, Column]:
+    """``df`` with its numbers and dates coerced, and whether a row has a date and a close."""
     require_columns(df, "asset_id", "date", "close")
     numbers = {c: to_double(F.col(c)) for c in ("open", "high", "low", "close") if c in df.columns}
     if "volume" in df.columns:
         numbers["volume"] = F.col("volume").try_cast("double").cast("bigint")
-    coerced = df.withColumns({"date": to_date(F.col("date")), **numbers})
-    good = F.col("date").isNotNull() & F.col("close").isNotNull()
+    return df.withColumns({"date": to_date(F.col("date")), **numbers}), F.col("date").isNotNull() & F.col("close").isNotNull()
+
+
+def valid_prices(df: DataFrame) -> DataFrame:
+    """Rows with a date and a close, numbers coerced. Runs no job."""
+    coerced, good = _coerced_prices(df)
+    return coerced.where(good)
+
+
+def validate_prices(df: DataFrame) -> tuple[DataFrame, int]:
+    """``valid_prices(df)`` and the number of rows that it leaves out, which one job counts."""
+    coerced, good = _coerced_prices(df)
     bad = coerced.agg(F.count_if(~good)).first()[0]
     return coerced.where(good), int(bad)

@@ -253,8 +253,7 @@ def free_cash_flow(spark, d):
 
 def price_validation(spark, d):
     raw = _prices(spark, d).select("asset_id", "tie", F.when(F.col("tie") % 7 != 0, F.date_format("date", "yyyy-MM-dd")).alias("date"), F.when(F.col("tie") % 11 == 0, "n/a").otherwise(F.col("close").cast("string")).alias("close"))
-    good, _ = series.validate_prices(raw)
-    return good.select("asset_id", "tie", "date", F.round("close", 6).alias("close"))
+    return series.valid_prices(raw).select("asset_id", "tie", "date", F.round("close", 6).alias("close"))
 
 
 PART_COLUMNS = ["p_size", "p_retailprice", "p_partkey"]

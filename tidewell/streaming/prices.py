@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewell.operators.series import validate_prices
+from tidewell.operators.series import valid_prices
 from tidewell.schemas import TABLES, require_columns
 from tidewell.sources.store import TableStore
 
@@ -70,7 +70,7 @@ def upsert_prices(stream: DataFrame, store: TableStore, checkpoint: str) -> Stre
     """Upsert each micro-batch of valid price rows; a batch run again after a failure changes nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
-        good, _bad = validate_prices(batch)
+        good = valid_prices(batch)
         schema = TABLES["prices"][0]
         store.upsert("prices", good.select(*(F.col(f.name).cast(f.dataType) if f.name in good.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields)))
 
