@@ -13,6 +13,11 @@ def no_nan(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def log10(x: Column) -> Column:
+    """The decimal logarithm, minus infinity for zero; Spark's own has NULL there. NULL below zero."""
+    return F.when(x == 0, float("-inf")).otherwise(F.log10(x))
+
+
 def to_int(x: Column) -> Column:
     """A whole number from API text; blanks, None, null, NULL, - and anything else give NULL."""
     text = F.regexp_replace(F.trim(x.cast("string")), ",", "")
