@@ -133,9 +133,12 @@ def rsi_backtest(
     bars = ranges.scan(bars, {"_peak": running_max(F.col("equity")), "_n": row_number()})
     bars = bars.withColumns({"drawdown": F.try_divide("equity", "_peak") - 1, "_first": F.col("_n") == 1}).drop("_peak", "_n")
     active = (F.col("position") == 1) & ~F.col("_first")
+    # What is left in the end is kept beside the return, which from 1e-16 on is -1 whatever is left.
     metrics = bars.groupBy(*by).agg(
         (F.max_by("equity", order) - 1).alias("total_return"),
         (F.max_by("buy_and_hold", order) - 1).alias("buy_and_hold_return"),
+        F.max_by("equity", order).alias("equity"),
+        F.max_by("buy_and_hold", order).alias("buy_and_hold"),
         F.count_if("entry").cast("bigint").alias("trades"),
         F.coalesce(F.try_divide(F.count_if(active & (F.col("strategy_return") > 0)), F.count_if(active)), F.lit(0.0)).alias("hit_rate"),
         F.min("drawdown").alias("max_drawdown"),
