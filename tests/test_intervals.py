@@ -56,3 +56,29 @@ def test_text_is_no_axis(spark):
     df = spark.createDataFrame([("a", "b")], "s string, e string")
     with pytest.raises(ValueError):
         intervals.overlap_join(df, df, left_ends=("s", "e"), right_ends=("s", "e"))
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+@pytest.mark.parametrize("width", [0.3, None])
+def test_totals_equal_those_of_the_pairs(spark, by, width):
+    """Also with ends cut into ranges, with equal rows, null keys and ends, and points on one side."""
+    schema = "id int, k string, s double, e double"
+    left = spark.createDataFrame(rows(1, 120, 1.0), schema)
+    right = spark.createDataFrame(rows(2, 90, width or 1.0), schema).withColumn("x", F.when(F.col("id") % 3 > 0, F.col("id") * 10))
+    ends = ("s", "e") if width else ("s", "s")
+    totals = {"n": ("count", "*"), "nx": ("count", "x"), "total": ("sum", "x"), "least": ("min", "x"), "most": ("max", "x")}
+    got = intervals.overlap_totals(left, right, left_ends=("s", "e"), right_ends=ends, totals=totals, by=by, range_rows=40)
+    met = intervals.overlap_join(left.distinct(), right, left_ends=("s", "e"), right_ends=ends, by=by).groupBy("left.id")
+    made = met.agg(F.count("*").alias("n"), F.count("right.x").alias("nx"), F.sum("right.x").alias("total"), F.min("right.x").alias("least"), F.max("right.x").alias("most"))
+    want = left.join(made, "id", "left").fillna(0, ["n", "nx"]).select(*left.columns, *totals)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert want.agg(F.max("n")).first()[0] > 20
+
+
+def test_totals_of_nine_million_pairs(spark):
+    """Three thousand times three thousand equal rows: nine million pairs, of which none is made."""
+    df = spark.range(3000).select("id", F.lit(1).alias("s"), F.lit(5).alias("e"))
+    out = intervals.overlap_totals(df, df.select(F.col("id").alias("other"), F.col("s").alias("b"), F.col("e").alias("c")), left_ends=("s", "e"), right_ends=("b", "c"), totals={"n": ("count", "*"), "first": ("min", "other")})
+    assert out.groupBy("n", "first").count().collect() == [(3000, 0, 3000)]
+    with pytest.raises(ValueError):
+        intervals.overlap_totals(df, df, left_ends=("s", "e"), right_ends=("s", "e"), totals={"id": ("count", "*")})

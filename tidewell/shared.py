@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,6 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder and read back, so that several jobs use it but one makes it."""
+    path = f"{shared_dir(df.sparkSession)}/tidewell/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through the file system that Spark uses for it."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
