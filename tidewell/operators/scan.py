@@ -67,6 +67,11 @@ def running_max(x: Column) -> Scan:
     return Scan(lambda w: F.max(x).over(_so_far(w)), lambda order: F.max(x), lambda s, w: F.max(s).over(w), lambda local, carry, first: F.greatest(local, carry))
 
 
+def running_sum(x: Column) -> Scan:
+    """The sum of the values so far; nulls are left out."""
+    return Scan(lambda w: F.sum(x).over(_so_far(w)), lambda order: F.sum(x), lambda s, w: F.sum(s).over(w), lambda local, carry, first: F.coalesce(local + carry, local, carry))
+
+
 def running_product(x: Column) -> Scan:
     """The product of the values so far; nulls are left out."""
     return Scan(
