@@ -1,7 +1,8 @@
 """A corpus pipeline: five stages over ``documents``, each written and read again.
 
 Language ID, near duplicates, repeated passages, benchmark passages, mixing. All
-stages but the last return the columns of ``documents``.
+stages but the last return the columns of ``documents``. Stages that send texts to
+Python limit the bytes of the session's Arrow batches, where it has no limit yet.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from tidewell.llm.decontaminate import find_contamination
 from tidewell.llm.jaccard import ngram_jaccard_join
 from tidewell.llm.langid import identify_language
 from tidewell.llm.mixing import mix_sources
-from tidewell.llm.scratch import Scratch, column, packed, unpacked
+from tidewell.llm.scratch import Scratch, byte_batches, column, packed, unpacked
 from tidewell.llm.suffixes import remove_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -29,6 +30,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null ids and sources change nothing. An empty table stays empty; without any
     language all documents are rejected. Extra columns stay, whatever their names.
     """
+    byte_batches(spark)
     rows = docs.select(packed(docs), F.col("text").alias("text"), F.col("lang").alias("lang"))
     return identify_language(rows, rows).where("not rejected").select(*unpacked(docs))
 
@@ -41,6 +43,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     their group. Documents without words are tied with nothing and stay, repeated or
     not. An empty table stays empty; extra columns stay, whatever their names.
     """
+    byte_batches(spark)
     scratch = Scratch(spark, "near-duplicates")
     found = ngram_jaccard_join(docs).where("root is not null").groupBy("doc_id", "text_hash").agg(F.first("root").alias("root"), F.count("*").alias("n"))
     found = scratch.save(found, "documents")
@@ -67,6 +70,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows equal in id and text are one document, cut alike. An empty table stays
     empty; extra columns stay, whatever their names.
     """
+    byte_batches(spark)
     return remove_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*map(column, docs.columns))
 
 
@@ -76,6 +80,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null and wordless texts hold nothing and stay, as do repeated rows of clean
     texts and all extra columns, whatever their names. An empty table stays empty.
     """
+    byte_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = docs.select(packed(docs), F.col("text").alias("text"))
     return find_contamination(rows, benchmark).where(F.size("hit_words") == 0).select(*unpacked(docs))

@@ -8,6 +8,7 @@ from brute import components, leaks, repeats, shingles, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidewell.llm.scratch import BATCH_BYTES
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -134,3 +135,28 @@ def test_run_is_its_stages(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.count() > 0 and sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
+
+
+@pytest.mark.parametrize("name", ["language_id", "near_duplicates", "repeated_passages", "decontamination"])
+def test_stages_send_texts_to_python_in_small_batches(spark, tmp_path, name):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.concat(F.col("id"), F.lit(" ")), 2000).alias("text"))
+    docs = spark.createDataFrame([(1, "one two three", "web", "en", 13)], "doc_id long, text string, source string, lang string, n_chars long")
+    spark.createDataFrame([(1, "four five")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.conf.unset(key)
+    try:
+        dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+        sent = texts.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in sent) == 2000
+        assert max(r["size"] for r in sent) < 1.1 * BATCH_BYTES
+        spark.conf.set(key, "123456")
+        dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+        assert spark.conf.get(key) == "123456"
+    finally:
+        spark.conf.unset(key)

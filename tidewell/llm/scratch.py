@@ -61,6 +61,21 @@ class Scratch:
             remove(self.spark, self.path(name))
 
 
+BATCH_BYTES = 4_000_000  # of rows that go to Python at once
+
+
+def byte_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """From now on Arrow batches of the session hold some ``size`` bytes at most, unless it has a limit of its own.
+
+    A plan takes the setting when it runs, and what an operator returns runs later, so it stays. Without it a batch of
+    10,000 whole texts is held several times over: by the task in Arrow's memory, and by its Python worker as rows that
+    came, as strings and as rows that go. A longer text is a batch alone.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(size))
+
+
 @contextmanager
 def row_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most so many rows for the plans that run inside."""
