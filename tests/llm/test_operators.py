@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -256,6 +257,35 @@ def test_passages_shared_by_classes(spark, seed):
     assert got == want
 
 
+def test_suffixes_that_match_none_are_shuffled_once(spark, monkeypatch):
+    """Of texts with little in common only what two of them share goes on, and what is left of the rest is freed at once."""
+    rng, vocab = random.Random(31), vocabulary(31, 900)
+    rows = [(i, text(rng, vocab, 400)) for i in range(40)]
+    rows += [(50, f"{text(rng, vocab, 90)} {' '.join(rows[3][1].split()[100:170])} {text(rng, vocab, 90)}"), (51, rows[5][1]), (None, rows[6][1])]
+    saved, save = {}, suffixes.Scratch.save
+
+    def counted(self, df, name):
+        left = {k for k in saved if os.path.exists(self.path(k).removeprefix("file:"))}
+        saved[name] = (save(self, df, name).count(), left)
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    monkeypatch.setattr(suffixes.Scratch, "save", counted)
+    got = {r.doc_id: (r.n_repeated, r.n_removed, [x for x in r.first_ids if x is not None]) for r in suffixes.passage_report(docs(spark, rows)).collect()}
+    assert got == repeats(rows)
+    assert saved["suffixes"][0] > 800
+    assert saved["classes"][0] < saved["suffixes"][0] / 5
+    assert "suffixes" not in saved["classes"][1]
+
+
+def test_copies_that_fill_all_ranges(spark):
+    """Three classes over four ranges, so that some lie across a border; rows equal in id and text, and null ids."""
+    rng, vocab = random.Random(32), vocabulary(32, 300)
+    words_ = [rng.choice(vocab) for _ in range(70)]
+    copies = [(i, " ".join(words_)) for i in range(60)] + [(7, " ".join(words_)), (None, " ".join(words_)), (70, " ".join(words_[5:]))]
+    got = {r.doc_id: (r.n_repeated, r.n_removed, [x for x in r.first_ids if x is not None]) for r in suffixes.passage_report(docs(spark, copies)).collect()}
+    assert got == repeats(copies)
+
+
 ARTICLE = "<p>First &eacute;t&eacute; words&nbsp;here of the <a href=x>story</a> told.</p><p>Second<br>para &amp; more.</p>"
 OUTER = '<nav><ul><li><a href=1>Home</a></li><li><a href=2>About</a></li></ul></nav><div class="ad">Buy this</div>{}<aside>Side things</aside><section class="comments"><p>Nice one, thanks a lot for it</p></section><footer>&copy; me</footer>'
 WANTED = "Title\nFirst été words here of the story told.\nSecond para & more."

@@ -4,9 +4,10 @@ Only suffixes at minimiser positions are kept: every run of ``least`` words has
 anchor, the smallest hash of a k-gram among its first starts, chosen by content
 alone, so equal runs have equal anchors. The consecutive runs of one anchor make a
 segment, which is all that a match of such a run can cover. A suffix has a head,
-the hash of the words from the anchor on that every run of it contains. Suffixes
-with equal head and segment match over all of it and make a class, for which its
-first member stands.
+the hash of the words from the anchor on that every run of it contains. All
+are sorted by head and segment once, and those with a neighbour of equal head go
+on: no other suffix can match the rest. Suffixes with equal head and segment match
+over all of it and make a class, for which its first member stands.
 
 The classes are sorted by head and segment, and those with a neighbour of equal
 head go on as suffixes proper: they are sorted by head and by their words after it,
@@ -143,7 +144,7 @@ def _same_head(rows: pa.RecordBatch) -> np.ndarray:
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of classes in order of head and segment, those with a neighbour of equal head."""
+    """Of suffixes or classes in order of head and segment, those with a neighbour of equal head, and those at the ends."""
     for rows, same in neighbours(batches, _same_head, 1):
         yield rows.filter(pa.array(same > 0))
 
@@ -225,20 +226,24 @@ def repeated_passages(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     texts = documents.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).where("text is not null")
     rows = texts.mapInArrow(lambda it: _suffixes(it, least), "id bigint, t bigint, pos int, n int, a int, head bigint, segment bigint")
     rows = scratch.save(rows, "suffixes")
-    place = F.struct("id", "t", "pos")
-    classes = rows.groupBy("head", "segment").agg(F.min(F.struct("id", "t", "pos", "n", "a")).alias("first"), F.max(place).alias("last"))
-    classes = classes.select("head", "segment", "first", (F.struct("first.id", "first.t", "first.pos") != F.col("last")).alias("again"))
-    classes = scratch.save(classes, "classes")
+    place_names = ("id", "t", "pos")
+    place = F.struct(*place_names)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def in_order(df: DataFrame, *keys: str) -> DataFrame:
         return df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
 
+    # The only shuffle that all suffixes take part in. What it keeps is in order, so that a class is met whole or nearly so.
+    rows = scratch.save(in_order(rows, "head", "segment", *place_names).mapInArrow(_crowded, rows.schema), "met")
+    scratch.drop("suffixes")
+    classes = rows.groupBy("head", "segment").agg(F.min(F.struct("id", "t", "pos", "n", "a")).alias("first"), F.max(place).alias("last"))
+    classes = classes.select("head", "segment", "first", (F.struct("first.id", "first.t", "first.pos") != F.col("last")).alias("again"))
+    classes = scratch.save(classes, "classes")
+
     crowded = in_order(classes.select("head", "segment", "first.*"), "head", "segment")
     crowded = crowded.select("id", "t", "pos", "n", "a", "head").mapInArrow(_crowded, "id bigint, t bigint, pos int, n int, a int, head bigint")
     extend = crowded.groupBy("id", "t").agg(F.collect_list(F.struct("pos", "n", "a", "head")).alias("segments")).withColumnsRenamed({"id": "i", "t": "u"})
     found = texts.join(extend, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("u"))).select("id", "t", "text", "segments")
-    place_names = ("id", "t", "pos")
     suffix = "id bigint, t bigint, pos int, n int, a int, head bigint, right binary, left binary, runs binary"
     found = found.mapInArrow(lambda it: _contexts(it, least), suffix)
     found = in_order(found, "head", "right", *place_names).mapInArrow(lambda it: _rightwards(it, least), "id bigint, t bigint, pos int, a int, head bigint, left binary, runs binary, upto int")
@@ -259,7 +264,7 @@ def repeated_passages(documents: DataFrame, *, id_col: str = "doc_id", text_col:
         F.collect_list(F.struct("start", "end", "removed")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("removed"), F.col("ids")))))).alias("first_ids")
     )
     spans = scratch.save(spans, "spans")
-    scratch.drop("suffixes", "classes", "runs")
+    scratch.drop("met", "classes", "runs")
     return spans
 
 
